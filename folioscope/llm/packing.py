@@ -95,6 +95,31 @@ def _knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def _greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis: fill a bin largest first, repeat that pattern until a size runs out, and go on without that size.
+
+    A size does not occur in the columns after the one that used it up, so the basis is triangular and can be inverted.
+    """
+    m = len(sizes)
+    basis, amount, left = np.zeros((m, m)), np.zeros(m), demand.copy()
+    open_sizes = list(range(m - 1, -1, -1))
+    while open_sizes:
+        room, pattern = capacity, np.zeros(m)
+        for j in open_sizes:
+            if n := min(room // sizes[j], int(np.ceil(left[j]))):
+                pattern[j] = n
+                room -= n * sizes[j]
+        on = np.flatnonzero(pattern)
+        times = (left[on] / pattern[on]).min()
+        left[on] -= times * pattern[on]
+        gone = [j for j in open_sizes if left[j] <= 1e-9]
+        basis[:, gone[0]], amount[gone[0]] = pattern, times
+        for j in gone[1:]:
+            basis[j, j] = capacity // sizes[j]
+        open_sizes = [j for j in open_sizes if left[j] > 1e-9]
+    return basis, amount
+
+
 def solve_patterns(counts: np.ndarray, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Patterns with how often each is used, covering ``counts[i]`` items of size i + 1 in bins of size ``len(counts)``.
 
@@ -106,9 +131,8 @@ def solve_patterns(counts: np.ndarray, rounds: int = 3000) -> list[tuple[np.ndar
     if not len(sizes):
         return []
     demand, m = counts[sizes - 1].astype(float), len(sizes)
-    basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1.0 / (capacity // sizes))
-    amount = inverse @ demand
+    basis, amount = _greedy_basis(sizes, demand, capacity)
+    inverse = np.linalg.inv(basis)
     full = np.zeros(capacity)
     for turn in range(rounds):
         prices = np.ones(m) @ inverse
