@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, piece_codec
+from . import exact, language, media, ngram_join, packing, piece_codec, privacy, repeats, toxicity, url_filter
 from .common import table
 
 
@@ -27,14 +27,39 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digests = docs.select("doc_id", F.sha2(exact.normalised(F.col("text")), 256).alias("text_sha256"))
+    return exact.duplicates(docs).join(digests, "doc_id")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_documents(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in privacy.KINDS]
+    return found.select("doc_id", *counts, F.sha2(privacy.spans_text("base"), 256).alias("base_sha256"), privacy.spans_text("base", "terms").alias("spans"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
     model = language.build(language.samples(docs.where(~F.col("held_out"))))
@@ -42,10 +67,52 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_piece_codec": op1_piece_codec,
-    "op3_packing": op3_packing,
-    "op7_media_columns": op7_media_columns,
-    "op9_language": op9_language,
+    f.__name__: f
+    for f in (
+        op1_piece_codec,
+        op2_ngram_join,
+        op3_packing,
+        op4_toxicity,
+        op5_exact_dedup,
+        op6_url_filter,
+        op7_media_columns,
+        op8_privacy,
+        op9_language,
+        op10_repeats,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM n
+    """,
+    "op6_url_filter": r"""
+        WITH u AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ), r AS (
+            SELECT *, CASE
+                WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
+            END AS rule FROM u
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN list_contains(string_split(host, '.'), 'spam-farm') OR list_contains(string_split(host, '.'), 'cheap-pills') THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM r
+    """,
 }
-ORACLES: dict[str, str] = {}
