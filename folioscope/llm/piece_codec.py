@@ -11,6 +11,7 @@ text are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from functools import lru_cache
@@ -25,6 +26,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a worker's memo of encoded words; it is emptied when full.
 MEMO = 400_000
+#: Characters up to which a word's pairs are looked through instead of queued.
+SHORT = 40
 
 
 def _fields(data: bytes):
@@ -161,6 +164,8 @@ class PieceModel:
 
     def _merge(self, word: str) -> list[str]:
         """Best-scored adjacent pair first, the leftmost among equals, until no pair is in the vocabulary."""
+        if len(word) <= SHORT and not self.own:
+            return self._merge_short(list(word))
         parts = []
         at = 0
         while at < len(word):
@@ -190,6 +195,20 @@ class PieceModel:
             offer(a, after[a])
         return [p for p in parts if p]
 
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        """The same for few characters, where looking through all pairs is quicker than a queue."""
+        get, none = self.scores.get, -math.inf
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return parts
+
     def _word(self, word: str) -> tuple[bytes, bytes]:
         """Ids and widths in characters of a word's pieces, as packed integers."""
         ids, widths = [], []
