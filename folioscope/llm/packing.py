@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_batches, materialised
+from .linear import solve, times
 
 CAPACITY, STEP, END_ID = 2048, 8, 1
 #: Entries of a worker's memo of tokenised words; it is emptied when full.
-MEMO = 400_000
+MEMO = 200_000
+#: Characters of text whose words are looked up together.
+TOGETHER = 1 << 19
 
 
 @lru_cache(maxsize=2)
@@ -43,16 +46,27 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     such is tokenised once and remembered.
     """
     tok, memo = _tokeniser(path)
-    split = [t.encode().split() for t in texts]
-    if len(memo) > MEMO:
-        memo.clear()
-    new = list({w for words in split for w in words} - memo.keys())
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+    out: list[bytes] = []
+    held: list[list[bytes]] = []
+
+    def flush() -> None:
+        if len(memo) > MEMO:
+            memo.clear()
+        new = list({w for words in held for w in words} - memo.keys())
+        for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
             memo[w] = np.array(e.ids, "<u4").tobytes()
-    get = memo.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+        out.extend(b"".join(map(memo.__getitem__, words)) for words in held)
+        held.clear()
+
+    size = 0
+    for text in texts:
+        held.append(text.encode().split())
+        size += len(text)
+        if size > TOGETHER:
+            flush()
+            size = 0
+    flush()
+    return out
 
 
 def cut_pieces(df: DataFrame, tokeniser_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,17 +146,17 @@ def solve_patterns(counts: np.ndarray, rounds: int = 3000) -> list[tuple[np.ndar
         return []
     demand, m = counts[sizes - 1].astype(float), len(sizes)
     basis, amount = _greedy_basis(sizes, demand, capacity)
-    inverse = np.linalg.inv(basis)
+    inverse = solve(basis, np.eye(m))
     full = np.zeros(capacity)
     for turn in range(rounds):
-        prices = np.ones(m) @ inverse
+        prices = inverse.sum(axis=0)
         full[:] = 0
         full[sizes - 1] = np.maximum(prices, 0)
         value, pattern = _knapsack(full, capacity)
         if value <= 1 + 1e-7:
             break
         column = pattern[sizes - 1].astype(float)
-        direction = inverse @ column
+        direction = times(inverse, column)
         up = direction > 1e-9
         if not up.any():
             break
@@ -155,8 +169,8 @@ def solve_patterns(counts: np.ndarray, rounds: int = 3000) -> list[tuple[np.ndar
         inverse -= np.outer(direction, row)
         inverse[leave] = row
         if turn % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ demand, 0)
+            inverse = solve(basis, np.eye(m))
+            amount = np.maximum(times(inverse, demand), 0)
     used: list[tuple[np.ndarray, int]] = []
     left = counts.astype(np.int64).copy()
     for j in np.argsort(-amount):

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_batches, materialised
+from .linear import solve, times, weighted_square
 
-SAMPLE, FEATURES, FOLDS, THRESHOLD, MIN_DOCS = 5000, 300, 5, 0.5, 3
+SAMPLE, FEATURES, FOLDS, THRESHOLD, MIN_DOCS = 5000, 100, 5, 0.5, 3
 WORD = re.compile(r"[^\W\d_]+")
 #: A toxic document belongs to the first two categories by the words of these lists that it holds.
 CATEGORIES = (
@@ -50,7 +51,7 @@ class Chain:
         if not self.weights:
             return out + self.prior
         for k, w in enumerate(self.weights):
-            out[:, k] = _sigmoid(_inputs(x, out[:, :k]) @ w)
+            out[:, k] = _sigmoid(times(_inputs(x, out[:, :k]), w))
         return out
 
 
@@ -68,9 +69,9 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, steps: int =
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        gradient = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), gradient)
+        p = _sigmoid(times(x, w))
+        gradient = times(x.T, p - y) + ridge * w
+        step = solve(weighted_square(x, p * (1 - p)) + np.diag(ridge), gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -86,7 +87,7 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, names: list[str], vocabulary:
         for fold in np.unique(folds):
             rest = folds != fold
             if rest.any():
-                out_of_fold[~rest, k] = _sigmoid(inputs[~rest] @ fit_linear(inputs[rest], targets[rest, k]))
+                out_of_fold[~rest, k] = _sigmoid(times(inputs[~rest], fit_linear(inputs[rest], targets[rest, k])))
         weights.append(fit_linear(inputs, targets[:, k]))
     return Chain(vocabulary, names, weights, float(targets[:, -1].mean()))
 
