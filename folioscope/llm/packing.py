@@ -27,46 +27,85 @@ from .linear import solve, times
 
 CAPACITY, STEP, END_ID = 2048, 8, 1
 #: Entries of a worker's memo of tokenised words; it is emptied when full.
-MEMO = 200_000
-#: Characters of text whose words are looked up together.
-TOGETHER = 1 << 19
+MEMO = 400_000
+#: Parts of words that are tokenised in one call, and a mark between them: one digit is always one token.
+TOGETHER, MARK = 2000, "0"
+#: Punctuation that is split off a word's end.
+CLOSING = ".,;:!?\"'()[]{}*&%$#@+-/=_~^"
 
 
-@lru_cache(maxsize=2)
-def _tokeniser(path: str):
-    from tokenizers import Tokenizer
+class WordTokens:
+    """Ids of texts as little-endian 32-bit integers.
 
-    return Tokenizer.from_file(path), {}
+    The tokeniser's rules never join characters across ASCII white space, which they drop, nor letters with punctuation
+    after them; so each word between white space is tokenised once and remembered, and words that differ in nothing but
+    closing punctuation share what is remembered of their letters.
+    """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, parts: list[str]) -> None:
+        """Letters go many to a call, between marks that no such part holds."""
+        letters = [p for p in parts if p.isalpha()]
+        others = [p for p in parts if not p.isalpha()]
+        for at in range(0, len(letters), TOGETHER):
+            some = letters[at : at + TOGETHER]
+            (coded,) = self.tok.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            raw = ids.tobytes()
+            for p, a, b in zip(some, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+                self.parts[p] = raw[a:b]
+        for p, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.words) > MEMO:
+            self.words.clear()
+        if len(self.parts) > MEMO:
+            self.parts.clear()
+        split = []
+        for w in words:
+            text = w.decode()
+            core = text.rstrip(CLOSING)
+            if core.isalpha():
+                split.append((w, core.lower() if core.isascii() else core, text[len(core) :]))
+            else:
+                split.append((w, text, ""))
+        self._encode([p for p in {p for _, *both in split for p in both if p} if p not in self.parts])
+        for w, core, rest in split:
+            self.words[w] = self.parts[core] + self.parts[rest] if rest else self.parts[core]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        get = self.words.get
+        for text in texts:
+            words = text.encode().split()
+            found = list(map(get, words))
+            if None in found:
+                self._learn([w for w in set(words) if w not in self.words])
+                found = list(map(get, words))
+                if None in found:  # the memo was emptied meanwhile
+                    self._learn([w for w in set(words) if w not in self.words])
+                    found = list(map(get, words))
+            out.append(b"".join(found))
+        return out
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
 
-    The tokeniser's rules never join characters across ASCII white space, which they drop; so each word between
-    such is tokenised once and remembered.
-    """
-    tok, memo = _tokeniser(path)
-    out: list[bytes] = []
-    held: list[list[bytes]] = []
-
-    def flush() -> None:
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for words in held for w in words} - memo.keys())
-        for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        out.extend(b"".join(map(memo.__getitem__, words)) for words in held)
-        held.clear()
-
-    size = 0
-    for text in texts:
-        held.append(text.encode().split())
-        size += len(text)
-        if size > TOGETHER:
-            flush()
-            size = 0
-    flush()
-    return out
+@lru_cache(maxsize=2)
+def _tokeniser(path: str) -> WordTokens:
+    return WordTokens(path)
+
+
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit integers."""
+    return _tokeniser(path).ids(texts)
 
 
 def cut_pieces(df: DataFrame, tokeniser_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
