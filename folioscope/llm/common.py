@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that one Arrow batch may hold, so that a worker's memory does not grow with the table.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
 

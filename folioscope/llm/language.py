@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, map_batches
+from .common import map_batches
 
 #: Characters of labelled text taken for each language, pieces of it, and the characters of each.
 SAMPLE_CHARS, SAMPLE_PIECE = 40_000, 400

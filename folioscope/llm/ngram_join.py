@@ -45,11 +45,15 @@ def shingles(text: str, words: int) -> np.ndarray:
     if not parts:
         return np.empty(0, np.uint64)
     memo = _MEMO
-    if len(memo) > 400_000:
+    if len(memo) > 200_000:
         memo.clear()
-    for w in set(parts) - memo.keys():
-        memo[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([memo[w] for w in parts], np.uint64)
+    found = list(map(memo.get, parts))
+    if None in found:
+        for w in set(parts):
+            if w not in memo:
+                memo[w] = xxhash.xxh3_64_intdigest(w)
+        found = list(map(memo.get, parts))
+    h = np.array(found, np.uint64)
     n = min(words, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - n + 1, n, np.uint64)

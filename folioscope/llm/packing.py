@@ -27,7 +27,7 @@ from .linear import solve, times
 
 CAPACITY, STEP, END_ID = 2048, 8, 1
 #: Entries of a worker's memo of tokenised words; it is emptied when full.
-MEMO = 400_000
+MEMO = 700_000
 #: Parts of words that are tokenised in one call, and a mark between them: one digit is always one token.
 TOGETHER, MARK = 2000, "0"
 #: Punctuation that is split off a word's end.

@@ -111,7 +111,8 @@ class PieceModel:
         # crosses the front of a word, and words can be encoded one by one.
         free = not own and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if free else r"(?s).+")
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.widths: dict[str, bytes] = {}
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
         self.is_byte = np.array([k == BYTE for _, _, k in self.pieces])
 
@@ -233,19 +234,20 @@ class PieceModel:
         Of the byte pieces of one character the last covers it, the others are empty.
         """
         norm, source = self.normalise(text)
-        memo, found = self.memo, []
-        for word in self.words.findall(norm):
-            if (got := memo.get(word)) is None:
-                got = self._word(word)
-                if len(word) < 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = got
-            found.append(got)
-        ids = np.frombuffer(b"".join([x[0] for x in found]), "<i4")
+        words = self.words.findall(norm)
+        found = list(map(self.memo.get, words))
+        if None in found:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+                self.widths.clear()
+            for word in set(words):
+                if word not in self.memo:
+                    self.memo[word], self.widths[word] = self._word(word)
+            found = list(map(self.memo.get, words))
+        ids = np.frombuffer(b"".join(found), "<i4")
         if not spans:
             return ids, None, None
-        ends = np.cumsum(np.frombuffer(b"".join([x[1] for x in found]), "<i4"))
+        ends = np.cumsum(np.frombuffer(b"".join(map(self.widths.__getitem__, words)), "<i4"))
         return ids, source[np.concatenate(([0], ends[:-1])).astype(np.int64)] if len(ids) else ends, source[ends]
 
     def decode(self, ids: np.ndarray) -> str:

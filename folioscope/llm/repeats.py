@@ -35,7 +35,7 @@ from .common import id_and_text, map_batches, materialised
 
 LENGTH, GRAM = 200, 48
 #: Window starts parsed at a time, and phrases of one group that a task compares in memory.
-SEGMENT, GROUP = 1 << 19, 20_000
+SEGMENT, GROUP = 1 << 17, 20_000
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,20 +128,25 @@ def _stretches(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 def _compare(frame: pa.Table, length: int, out: dict) -> None:
     """Adds the repeated stretches of the phrases that occur once, among the phrases of one trigger content."""
-    rows = frame.to_pylist()
-    spots = [((r["place"] >> 8 & 255) - i, w) for r in rows for i, w in enumerate(_windows(r["content"], length))]
-    owner = np.repeat(np.arange(len(rows)), [len(r["content"]) - length + 1 for r in rows])
-    ahead = np.array([s for s, _ in spots], np.int64)
-    keys = np.array([w for _, w in spots], np.uint64) + ahead.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-    hit = times[inverse] > 1
+    contents = frame.column("content").to_pylist()
+    places, times, docs = (frame.column(c).to_numpy() for c in ("place", "times", "doc_id"))
+    sizes = np.array([len(c) - length + 1 for c in contents])
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    hashes = np.empty(edges[-1], np.uint64)
+    for i, c in enumerate(contents):
+        hashes[edges[i] : edges[i + 1]] = _windows(c, length)
+    owner = np.repeat(np.arange(len(contents)), sizes)
+    inner = np.arange(edges[-1]) - edges[owner]
+    ahead = (places >> 8 & 255)[owner] - inner
+    with np.errstate(over="ignore"):
+        hashes += ahead.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    _, inverse, seen = np.unique(hashes, return_inverse=True, return_counts=True)
+    hit = (seen[inverse] > 1) & (times[owner] == 1)
     for i in np.unique(owner[hit]):
-        if rows[i]["times"] == 1:
-            mine = np.flatnonzero(owner == i) if len(rows) < 3 else np.arange(np.searchsorted(owner, i), np.searchsorted(owner, i, "right"))
-            starts = np.flatnonzero(hit[mine]) + (rows[i]["place"] >> 16)
-            for a, b in _stretches(starts, length):
-                for c, v in zip(("doc_id", "begin", "end"), (rows[i]["doc_id"], a, b), strict=True):
-                    out[c].append(v)
+        mine = slice(edges[i], edges[i + 1])
+        for a, b in _stretches(np.flatnonzero(hit[mine]) + (places[i] >> 16), length):
+            for c, v in zip(("doc_id", "begin", "end"), (docs[i], a, b), strict=True):
+                out[c].append(v)
 
 
 def _compared(contents: DataFrame, length: int) -> DataFrame:
@@ -150,7 +155,7 @@ def _compared(contents: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        for batch in [*(), *()] if batches is None else batches:
+        for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(pa.Table.from_batches([batch]))

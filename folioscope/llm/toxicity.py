@@ -139,9 +139,9 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
     def work(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").to_pylist()
         x = np.zeros((len(texts), len(chain.vocabulary)))
-        known = chain.vocabulary.keys()
+        known = chain.vocabulary
         for i, t in enumerate(texts):
-            x[i, [chain.vocabulary[w] for w in words_of(t) & known]] = 1
+            x[i, [known[w] for w in words_of(t) if w in known]] = 1
         p = chain.probabilities(x)
         return {"doc_id": batch.column("doc_id"), **{f"p_{n}": p[:, k] for k, n in enumerate(names)}, "n_terms": x.sum(axis=1).astype(np.int64), "toxic": p[:, -1] >= threshold}
 
@@ -157,9 +157,9 @@ def reject(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         import pandas as pd
 
         x = np.zeros((len(texts), len(chain.vocabulary)))
-        known = chain.vocabulary.keys()
+        known = chain.vocabulary
         for i, t in enumerate(texts):
-            x[i, [chain.vocabulary[w] for w in words_of(t or "") & known]] = 1
+            x[i, [known[w] for w in words_of(t or "") if w in known]] = 1
         return pd.Series(chain.probabilities(x)[:, -1] >= threshold)
 
     return df.where(~bad(F.col(text_col)))
