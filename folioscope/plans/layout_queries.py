@@ -1 +1,193 @@
-"""Layout and pixels."""
+"""HTML to blocks, words to lines, pixels, edits: operators of the manuscript's two ends, over stand-ins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import blocks as B
+from ..operators import edits as E
+from ..operators import layout as L
+from ..operators import pixels as P
+from . import standins as S
+from .registry import query
+
+
+@query("e29_html_blocks")
+def e29(spark, d):
+    pages = S.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    return B.finished(B.parse_blocks(pages)).select("doc_id", "ord", "block_id", "kind", "html", "caption", "label")
+
+
+@query("k1_outline")
+def k1(spark, d):
+    pages = S.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    found = B.finished(B.parse_blocks(pages))
+    return B.outline(found, B.block_texts(found))
+
+
+@query("e24_sanitised_html")
+def e24(spark, d):
+    return S.table(spark, d, "pages").select("page_id", B.sanitised("html").alias("html"))
+
+
+def _turns(spark, d):
+    """Consecutive turns of a conversation as a text and what it was edited to."""
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    return S.table(spark, d, "conversations").select("conv_id", "turn", F.lag("text").over(own).alias("before"), F.col("text").alias("after")).where(F.col("before").isNotNull())
+
+
+@query("e8_edit_hunks")
+def e8(spark, d):
+    pairs = _turns(spark, d)
+    key = F.concat(F.lit("b"), F.col("turn").cast("string"))
+    edits = pairs.select(F.col("conv_id").alias("doc_id"), key.alias("block"), F.col("after").alias("text"), F.lit(None).cast("string").alias("html"), F.col("before").alias("baseText"))
+    texts = pairs.select(F.col("conv_id").alias("doc_id"), key.alias("block_id"), F.col("before").alias("text"))
+    blocks = texts.select("doc_id", "block_id", F.lit("p").alias("kind"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(None).cast("string").alias("caption"))
+    return E.find_hunks(edits, blocks, texts).select("doc_id", "block", "hunk_no", "old", "new")
+
+
+@query("e32_tracked_changes")
+def e32(spark, d):
+    pairs = _turns(spark, d).withColumn("pair", F.col("conv_id") * 1000 + F.col("turn"))
+    return E.tracked_changes(pairs, "pair", "before", "after")
+
+
+@query("e33_hunk_context", """WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)
+       SELECT conv_id, turn, array_to_string(w[greatest(1, len(w) - 7):], '') || '[x]' || array_to_string(w[1:8], '') AS context FROM t""")
+def e33(spark, d):
+    w = F.split("text", " ")
+    return S.table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - 7), F.lit(8)), ""), F.lit("[x]"), F.array_join(F.slice(w, F.lit(1), F.lit(8)), "")).alias("context"))
+
+
+@query("w26_overlapping_hunks", """SELECT l_orderkey, s, e, coalesce(lag(e) OVER (PARTITION BY l_orderkey ORDER BY s, e) > s, FALSE) AS clash
+       FROM (SELECT l_orderkey, l_partkey AS s, l_partkey + CAST(l_quantity * 10 AS BIGINT) AS e FROM lineitem)""")
+def w26(spark, d):
+    rows = S.table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("s"), (F.col("l_partkey") + (F.col("l_quantity") * 10).cast("long")).alias("e"))
+    ahead = F.lag("e").over(Window.partitionBy("l_orderkey").orderBy("s", "e"))
+    return rows.withColumn("clash", F.coalesce(ahead > F.col("s"), F.lit(False)))
+
+
+@query("j11_changed_cells", """WITH a AS (SELECT item_id, unnest(string_split(text, ' ')) AS c, generate_subscripts(string_split(text, ' '), 1) AS n FROM benchmark)
+       SELECT x.item_id, x.n, x.c AS was, y.c AS now FROM a x JOIN a y ON y.item_id = x.item_id + 1 AND y.n = x.n WHERE x.c <> y.c""")
+def j11(spark, d):
+    cells = S.table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("n", "c")).withColumn("n", (F.col("n") + 1).cast("long"))
+    now = cells.select((F.col("item_id") - 1).alias("item_id"), "n", F.col("c").alias("now"))
+    return cells.withColumnRenamed("c", "was").join(now, ["item_id", "n"]).where("was <> now")
+
+
+def _words(spark, d):
+    """Order lines as words of a page: an order is the page."""
+    return S.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_linenumber").alias("word_no"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), F.col("l_quantity").alias("x0"), F.col("l_extendedprice").alias("x1"), (F.col("l_suppkey") % 40 + 16).cast("double").alias("size")
+    )
+
+
+@query("a4_body_sizes", """WITH s AS (SELECT l_orderkey AS doc_id, round_even((l_suppkey % 40 + 16) / 3.0 * 2, 0) / 2 AS size, sum(length('w' || CAST(l_partkey AS VARCHAR))) AS n, min(l_linenumber) AS first_no FROM lineitem GROUP BY 1, 2)
+       SELECT doc_id, arg_max(size, n * 1000 - first_no) AS body FROM s GROUP BY doc_id HAVING count(*) = count(DISTINCT n * 1000 - first_no)""")
+def a4(spark, d):
+    words = _words(spark, d).withColumn("size", F.col("size") / 3.0)
+    sizes = words.groupBy("doc_id", (F.bround(F.col("size") * 2) / 2).alias("s")).agg(F.sum(F.length("text")).alias("n"), F.min("word_no").alias("f"))
+    clear = sizes.groupBy("doc_id").agg(F.count("*").alias("a"), F.countDistinct(F.col("n") * 1000 - F.col("f")).alias("b")).where("a = b").select("doc_id")
+    return L.body_sizes(words).join(clear, "doc_id", "left_semi")
+
+
+@query("a6_median_sizes", "SELECT l_orderkey AS doc_id, median(l_suppkey % 40 + 16) AS size FROM lineitem GROUP BY 1")
+def a6(spark, d):
+    return _words(spark, d).groupBy("doc_id").agg(F.median("size").alias("size"))
+
+
+@query("a7_bounding_boxes", "SELECT l_orderkey AS doc_id, min(l_quantity) AS x0, max(l_extendedprice) AS x1, coalesce(max(CASE WHEN l_tax > 0.07 THEN l_discount END), 0.5) AS top FROM lineitem GROUP BY 1")
+def a7(spark, d):
+    w = S.table(spark, d, "lineitem")
+    return w.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_quantity").alias("x0"), F.max("l_extendedprice").alias("x1"), F.coalesce(F.max(F.when(F.col("l_tax") > 0.07, F.col("l_discount"))), F.lit(0.5)).alias("top"))
+
+
+@query("w11_line_gaps", """WITH w AS (SELECT l_orderkey, l_quantity AS x0, l_linenumber, l_partkey, l_suppkey, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey) AS before FROM lineitem)
+       SELECT l_orderkey, x0, l_linenumber, l_partkey, l_suppkey, CAST(sum(CASE WHEN x0 - before > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY x0, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS segment FROM w""")
+def w11(spark, d):
+    own = Window.partitionBy("l_orderkey").orderBy("x0", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = S.table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x0"), "l_linenumber", "l_partkey", "l_suppkey").withColumn("b", F.lag("x0").over(own))
+    return rows.withColumn("segment", F.sum(F.when(F.col("x0") - F.col("b") > 10, 1).otherwise(0)).over(own)).drop("b")
+
+
+@query("w12_bands", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, (SELECT count(*) FROM lineitem f WHERE f.l_orderkey = l.l_orderkey AND f.l_tax > 0.06 AND f.l_quantity <= l.l_quantity + 0.1) AS band FROM lineitem l""")
+def w12(spark, d):
+    above = "count(case when l_tax > 0.06 then 1 end) over (partition by l_orderkey order by l_quantity range between unbounded preceding and 0.1D following)"
+    return S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.expr(above).alias("band"))
+
+
+@query("f14_running_heads", """WITH h AS (SELECT doc_id, regexp_replace(lower(trim(substr(text, 1, 12))), '[0-9]+', '#', 'g') AS k FROM documents)
+       SELECT k, count(*) AS n FROM h GROUP BY k HAVING count(*) >= 2""")
+def f14(spark, d):
+    key = F.regexp_replace(F.lower(F.trim(F.substring("text", 1, 12))), r"\d+", "#")
+    return S.table(spark, d, "documents").groupBy(key.alias("k")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+def _pixels(spark, d):
+    """Events as pixels: a user's figure."""
+    return S.table(spark, d, "events").select(F.col("user_id").cast("string").alias("fig_id"), (F.col("event_id") % 37).cast("int").alias("y"), (F.col("event_id") % 41).cast("int").alias("x"), F.least(F.col("value").cast("int") % 256, F.lit(255)).alias("g"))
+
+
+@query("a14_dark_lines", """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS fig_id, event_id % 37 AS y, event_id % 41 AS x, least(CAST(trunc(value) AS BIGINT) % 256, 255) AS g FROM events),
+       t AS (SELECT fig_id, max(x) + 1 AS across, max(y) + 1 AS n FROM p GROUP BY 1), s AS (SELECT fig_id, y, count(CASE WHEN g < 128 THEN 1 END) AS dark FROM p GROUP BY 1, 2)
+       SELECT s.fig_id, s.y AS i, t.n FROM s JOIN t USING (fig_id) WHERE dark >= 0.03 * across""")
+def a14(spark, d):
+    return P.dark_lines(_pixels(spark, d), "y", 0.03).select("fig_id", F.col("i").cast("long").alias("i"), F.col("n").cast("long").alias("n"))
+
+
+@query("a15_content_boxes", """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS fig_id, event_id % 37 AS y, event_id % 41 AS x, least(CAST(trunc(value) AS BIGINT) % 256, 255) AS g FROM events)
+       SELECT fig_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM p WHERE g < 30 GROUP BY 1""")
+def a15(spark, d):
+    out = P.content_box(_pixels(spark, d), 30)
+    return out.select("fig_id", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("w9_islands", """WITH o AS (SELECT DISTINCT o_custkey AS k, o_orderkey AS i FROM orders), f AS (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) > 50 THEN 1 ELSE 0 END AS fresh FROM o),
+       g AS (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS island FROM f)
+       SELECT k, CAST(island AS BIGINT) AS island, min(i) AS lo, max(i) AS hi, count(*) AS n FROM g GROUP BY ALL""")
+def w9(spark, d):
+    rows = S.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("i")).distinct()
+    return P.islands(rows, ["k"], "i", 50).groupBy("k", "island").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count("*").alias("n"))
+
+
+@query("k9_boxes_in_pixels", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_discount * (100 + l_orderkey % 50)) AS BIGINT) AS px, CAST(floor(l_tax * 80) AS BIGINT) AS py FROM lineitem""")
+def k9(spark, d):
+    rows = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_quantity", "l_extendedprice").alias("id"), F.col("l_orderkey").alias("doc_id"), F.lit("f").alias("block"), F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), F.lit(0.5).alias("w"), F.lit(0.5).alias("h"))
+    figures = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("f").alias("fig_id"), (100 + F.col("o_orderkey") % 50).alias("w"), F.lit(80).alias("h"))
+    return P.box_to_pixels(rows, figures).select("id.l_orderkey", "id.l_linenumber", "id.l_partkey", "id.l_suppkey", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"))
+
+
+@query("j13_nearest_event", """WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey % 10 = 0), e AS (SELECT o_custkey, o_orderkey AS k, o_orderdate AS t FROM orders WHERE o_orderkey % 10 <> 0)
+       SELECT o.o_orderkey, arg_min(e.k, abs(epoch(o.o_orderdate) - epoch(e.t)) * 10000000 + e.k) AS nearest FROM o JOIN e USING (o_custkey) GROUP BY 1""")
+def j13(spark, d):
+    o = S.table(spark, d, "orders").withColumn("s", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
+    a = o.where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", "s")
+    b = o.where("o_orderkey % 10 <> 0").select("o_custkey", F.col("o_orderkey").alias("k"), F.col("s").alias("t"))
+    return a.join(b, "o_custkey").groupBy("o_orderkey").agg(F.min_by("k", F.struct(F.abs(F.col("s") - F.col("t")), F.col("k"))).alias("nearest"))
+
+
+@query("j12_boxes_that_overlap", """SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
+       AND a.l_quantity <= b.l_quantity + 5 AND b.l_quantity <= a.l_quantity + 5 GROUP BY ALL""")
+def j12(spark, d):
+    w = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    a, b = w.alias("a"), w.alias("b")
+    near = (F.col("a.l_quantity") <= F.col("b.l_quantity") + 5) & (F.col("b.l_quantity") <= F.col("a.l_quantity") + 5)
+    return a.join(b, "l_orderkey").where((F.col("a.l_linenumber") < F.col("b.l_linenumber")) & near).groupBy("l_orderkey", F.col("a.l_linenumber").alias("a"), F.col("b.l_linenumber").alias("b")).agg(F.count("*").alias("n"))
+
+
+@query("s7_text_layer", """SELECT doc_id, CAST(sum(length(w)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1 HAVING sum(length(w)) < 500""")
+def s7(spark, d):
+    words = S.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("text"))
+    return L.without_text_layer(words)
+
+
+@query("l1_words_to_paragraphs")
+def l1(spark, d):
+    """Documents set in lines of twelve words on a page, and read back from their words' places."""
+    words = S.table(spark, d, "documents").where(F.length(F.trim("text")) > 0).select("doc_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("n", "text"))
+    line = F.floor(F.col("n") / 12)
+    at = (F.col("n") % 12) * 45.0 + 40
+    placed = words.select("doc_id", F.floor(line / 50).cast("int").alias("page"), F.col("n").alias("word_no"), "text", at.alias("x0"), (at + 40).alias("x1"), ((line % 50) * 14.0 + 60).alias("top"), ((line % 50) * 14.0 + 70).alias("bottom"), F.lit(10.0).alias("size"), F.lit("Times").alias("fontname"), F.lit(False).alias("cid"))
+    pages = placed.groupBy("doc_id", "page").agg(F.lit(612.0).alias("w"), F.lit(792.0).alias("h"))
+    return L.blocks_of(placed, pages).select("doc_id", "para_no", "kind", "html")
