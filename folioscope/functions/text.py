@@ -16,7 +16,8 @@ SECTION = (
 NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+[A-Z]"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 #: Typographic characters and what they count as.
-CANON_FROM, CANON_TO = "“”„‘’‚–—−   ", "\"\"\"'''---   "
+CANON_FROM = "\u201c\u201d\u201e\u2018\u2019\u201a\u2013\u2014\u2212\u00a0\u2009\u202f"
+CANON_TO = "\"\"\"'''---   "
 SPACE = r"[\s\x1c-\x1f]"
 
 

@@ -213,7 +213,7 @@ def projects_to_html(files: DataFrame) -> DataFrame:
     bib = files.where(F.col("path").endswith(".bib")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n").alias("bib"))
 
     @F.pandas_udf("string")
-    def html(tex: pd.Series, bib: pd.Series) -> pd.Series:
+    def html(tex, bib):
         def one(t, b):
             refs = "".join(f"<div class='csl-entry' id='ref-{n}'>{_inline(e)}</div>" for n, e in enumerate(bib_entries(b or ""), 1))
             return to_html(t) + (f"<div id='refs'>{refs}</div>" if refs else "")

@@ -32,7 +32,7 @@ def _fields(ddl: str) -> str:
 def _items(spark: SparkSession, path: str, ddl: str, name: str) -> DataFrame:
     """Rows of a folder of one-item files, of an export's list ``name``, or of a bare list."""
     lists = {"annotations": _fields(NOTES), "replies": _fields(REPLIES), "edits": _fields(EDITS)}
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
     rows = text.select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
     item = f"STRUCT<{', '.join(_colon(c) for c in _split(lists[name]))}>"
     envelope = F.from_json("v", f"{name} ARRAY<{item}>, id STRING, block STRING")[name]
@@ -101,7 +101,7 @@ def version_listing(lines: DataFrame) -> DataFrame:
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return version_listing(whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "value")))
 
 
@@ -124,11 +124,11 @@ def read_skills(spark: SparkSession, path: str) -> DataFrame:
     """``skill, meta, body`` of every folder with a SKILL.md below ``path``."""
     import pandas as pd
 
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").text(path, wholetext=True)
     rows = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/SKILL\.md$", 1).alias("skill"), F.col("value").alias("text"))
 
-    @F.pandas_udf("map<string,string>")
-    def meta(texts: pd.Series) -> pd.Series:
-        return texts.map(parse_frontmatter)
+    def parsed(batches):
+        for batch in batches:
+            yield pd.DataFrame({"skill": batch["skill"], "meta": batch["text"].map(parse_frontmatter), "body": batch["text"].str.replace(r"(?s)^---\n.*?\n---\n", "", regex=True)})
 
-    return rows.select("skill", meta("text").alias("meta"), F.regexp_replace("text", r"(?s)^---\n.*?\n---\n", "").alias("body"))
+    return rows.mapInPandas(parsed, "skill string, meta map<string,string>, body string")
