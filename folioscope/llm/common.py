@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that one Arrow batch may hold, so that a worker's memory does not grow with the table.
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,11 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := work(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
+                made = pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
+                del batch, out
+                yield made
+                del made
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -2,12 +2,14 @@
 
 1. A text's set is that of its ``words``-word shingles, as 64-bit hashes; texts with equal sets are one class, and only the
    class's smallest id goes on.
-2. Shingles are ordered rarest first, by counts over all documents kept in a table of fixed size.
+2. Shingles are ordered rarest first. A shingle is no more frequent than its rarest word, and words are counted over all
+   documents in a table of fixed size; any order gives the same links, a good one few candidates.
 3. Similar sets share a shingle among the first ``n - ceil(t n) + 1`` of that order (prefix filter). Rows of these
    prefixes meet by shingle; pairs of too different length, or whose shared shingle stands too late in either set for enough
    to follow (length and positional filter), are left out.
-4. Pairs are made distinct, then verified once each: a suffix filter splits both sets at a middle shingle and bounds the
-   overlap of the halves; what passes is intersected.
+   The suffix filter bounds how far two whole sets differ from below, by the bits in which marks of them differ.
+4. Pairs are made distinct, then verified once each: both sets are split at a middle shingle, which bounds the overlap of
+   the halves; what passes is intersected.
 5. To find components not all pairs of a group need verifying: members are first held against their group's hub. Members
    that components do not join yet are held against each other, whatever the group's size.
 
@@ -18,32 +20,37 @@ shingle. Repeated rows are links. Ids must be unique. Columns other than the id
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, BATCH_ROWS, id_and_text, map_batches, materialised
+from .common import BATCH_BYTES, BATCH_ROWS, id_and_text, list_array, map_batches, materialised
 from .components import components
 
 #: Words of a shingle, and least similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: Entries of the table of counts.
-COUNTERS = 1 << 18
+#: Entries of the table of word counts.
+COUNTERS = 1 << 19
+#: Bits of the table that says which documents' sets are asked for.
+FILTER_BITS = 1 << 23
 #: Rounds in which a group's members meet its hub before all of them meet.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
+#: 64-bit words of marks of a set.
+MARKS = 4
+MARK_COLUMNS = [f"m{i}" for i in range(MARKS)]
 _MEMO: dict[bytes, int] = {}
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingles(text: str, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of a text's words, A-Z in lower case, in order."""
     parts = text.encode().translate(_LOWER).split()
-    if not parts:
-        return np.empty(0, np.uint64)
     memo = _MEMO
     if len(memo) > 200_000:
         memo.clear()
@@ -53,7 +60,13 @@ def shingles(text: str, words: int) -> np.ndarray:
             if w not in memo:
                 memo[w] = xxhash.xxh3_64_intdigest(w)
         found = list(map(memo.get, parts))
-    h = np.array(found, np.uint64)
+    return np.array(found, np.uint64)
+
+
+def _windows(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the shingles as they stand in the text; fewer words than a shingle has are one."""
+    if not len(h):
+        return h
     n = min(words, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - n + 1, n, np.uint64)
@@ -62,7 +75,12 @@ def shingles(text: str, words: int) -> np.ndarray:
             out ^= out >> np.uint64(29)
             out *= np.uint64(0xD6E8FEB86659FD93)
             out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(_windows(word_hashes(text), words))
 
 
 def need(n: int, percent: int) -> int:
@@ -70,61 +88,73 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def sets(df: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n`` and ``sig``, 16 bytes that stand for the set (null: empty)."""
-
-    def work(batch: pa.RecordBatch) -> dict:
-        found = [shingles(t, words) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in found], "sig": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]}
-
-    return map_batches(df, "doc_id bigint, n int, sig binary", work)
-
-
-def frequencies(df: DataFrame, words: int) -> np.ndarray:
-    """How many shingles of all documents fall on each counter; each task adds up before it sends."""
+def frequencies(df: DataFrame) -> np.ndarray:
+    """How many words of all documents fall on each counter; each task adds up before it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                np.add.at(total, (shingles(t, words) % COUNTERS).astype(np.int64), 1)
+            for text in batch.column("text").to_pylist():
+                np.add.at(total, (word_hashes(text) % COUNTERS).astype(np.int64), 1)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["counter", "n"])
 
     counted = df.mapInArrow(run, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
     out = np.zeros(COUNTERS, np.int64)
-    for row in counted.collect():  # at most COUNTERS rows
-        out[row["counter"]] = row["n"]
+    rows = counted.toArrow()  # at most COUNTERS rows
+    out[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
-def prefixes(df: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """``doc_id, n, token, pos``: each set's prefix in the order of rarity. Sets too small to resemble another are left out."""
+def signed_sets(df: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """``doc_id, n``, ``sig`` (16 bytes that stand for the set; null: empty), ``prefix``, its rarest shingles in order, and
+    marks, bits that each shingle of the set flips one of; the prefix of a set too small to resemble another is empty."""
     shared = df.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
 
     def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "n", "token", "pos")}
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            s = shingles(text, words)
+        sizes, sigs, prefixes = [], [], []
+        marks = np.empty((batch.num_rows, MARKS), np.int64)
+        for row, text in enumerate(batch.column("text").to_pylist()):
+            h = word_hashes(text)
+            s, first = np.unique(_windows(h, words), return_index=True)
             n = len(s)
-            if 100 * n < percent * (n + 1):
-                continue
-            k = n - need(n, percent) + 1
-            first = s[np.lexsort((s, shared.value[(s % COUNTERS).astype(np.int64)]))[:k]]
-            out["token"].append(first.view(np.int64))
-            out["doc_id"].append(np.full(k, doc, np.int64))
-            out["n"].append(np.full(k, n, np.int32))
-            out["pos"].append(np.arange(k, dtype=np.int32))
-        return {c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()}
-
-    return map_batches(df, "doc_id bigint, n int, token bigint, pos int", work)
-
-
-def _token_sets(df: DataFrame, words: int) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "tokens": [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]}
-
-    return map_batches(df, "doc_id bigint, tokens binary", work)
+            odd = np.bincount((s >> np.uint64(20) & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1
+            marks[row] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            sizes.append(n)
+            sigs.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
+            k = n - need(n, percent) + 1 if n and 100 * n >= percent * (n + 1) else 0
+            if k:
+                # A shingle is no more frequent than its rarest word; the other words break ties, then the hash.
+                count = shared.value[(h % COUNTERS).astype(np.int64)]
+                each = np.stack([count[i + first] for i in range(min(words, len(h)))])
+                s = s[np.lexsort((s, np.log2(each).sum(axis=0), each.min(axis=0)))[:k]]
+            prefixes.append(s[:k].view(np.int64))
+        found = {"doc_id": batch.column("doc_id"), "n": sizes, "sig": sigs, "prefix": list_array(prefixes, pa.int64())}
+        return found | {f"m{i}": marks[:, i] for i in range(MARKS)}
+
+    return map_batches(df, "doc_id bigint, n int, sig binary, prefix array<bigint>" + "".join(f", m{i} bigint" for i in range(MARKS)), work)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, z``: the compressed texts of the documents of ``ids``, a third of the size of their sets.
+
+    The other texts are not shuffled for that: a bit table of fixed size, in which each id has a bit, says in the scan which
+    documents may be asked for, and an exact join drops those that were not.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    table = ids.groupBy(F.floor(place / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in table.collect():  # at most FILTER_BITS / 64 rows
+        bits[row["w"]] = row["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batch: pa.RecordBatch) -> dict | None:
+        at = batch.column("place").to_numpy()
+        on = pa.array(np.flatnonzero(shared.value[at >> 6] >> (at & 63) & 1))
+        press = zstandard.ZstdCompressor(level=3)
+        return {"doc_id": batch.column("doc_id").take(on), "z": [press.compress(t.encode()) for t in batch.column("text").take(on).to_pylist()]}
+
+    return map_batches(docs.withColumn("place", place), "doc_id bigint, z binary", work).join(ids, "doc_id")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -138,25 +168,43 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b`` and ``linked`` for each pair of ids."""
-    left = tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    right = tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("z").alias("x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("z").alias("y"))
 
     def work(batch: pa.RecordBatch) -> dict:
-        read = partial(np.frombuffer, dtype=np.uint64)
-        ok = [similar(read(x), read(y), percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        held: dict[int, np.ndarray] = {}
+
+        def set_of(doc: int, z: bytes) -> np.ndarray:
+            if doc not in held:
+                if len(held) > 200:
+                    held.clear()
+                held[doc] = shingles(zstandard.ZstdDecompressor().decompress(z).decode(), words)
+            return held[doc]
+
+        columns = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+        ok = [similar(set_of(a, x), set_of(b, y), percent) for a, b, x, y in zip(*columns, strict=True)]
         return {"a": batch.column("a"), "b": batch.column("b"), "linked": ok}
 
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), "a bigint, b bigint, linked boolean", work)
 
 
 def _passes(a: str, b: str, percent: int):
-    """Length and positional filter between two prefix rows with the same token."""
+    """Length, prefix, positional and suffix filter between two prefix rows with the same token.
+
+    Of two similar sets the smaller shares a token with the larger one's prefix already within its own first
+    ``n - ceil(2 t n / (1 + t)) + 1``, for their overlap is at least that share of the smaller set."""
     n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
     i, j = F.col(f"{a}.pos"), F.col(f"{b}.pos")
     most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
+    short = lambda k: k - F.ceil(2 * percent * k / (100 + percent) - 1e-9)
+    a_smaller = (n < m) | ((n == m) & (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")))
+    early = F.when(a_smaller, i <= short(n)).otherwise(j <= short(m))
+    # Suffix filter: sets that differ in d shingles have marks that differ in at most d bits.
+    differ = reduce(add, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in MARK_COLUMNS])
+    alike = (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & early & ((100 + percent) * most >= percent * (n + m)) & alike
 
 
 def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,24 +213,23 @@ def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, i
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     docs = id_and_text(df, id_col, text_col)
-    members = materialised(sets(docs, words))
+    signed = materialised(signed_sets(docs, words, percent, frequencies(docs)))
+    members = signed.select("doc_id", "n", "sig")
     classes = materialised(members.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    rows = prefixes(docs, words, percent, frequencies(docs, words))
-    rows = rows.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = reps.select("doc_id", "n", *MARK_COLUMNS, F.posexplode("prefix").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("token")
     rows = materialised(rows.join(shared, "token"))
-    asked = rows.groupBy("doc_id").agg(F.lit(1).alias("one")).select("doc_id")
-    tokens = materialised(_token_sets(docs.join(asked, "doc_id"), words))
     labels = links = checked = None
     turn = 0
     while True:
         now = rows if labels is None else rows.join(labels, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
         now = now if labels is not None else now.withColumn("comp", F.col("doc_id"))
-        groups = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
-        groups = groups.where(F.col("low") != F.col("high")).select("token", F.col("hub" if turn % 2 == 0 else "last").alias("hub"))
+        groups = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc_id").alias("hub"))
+        groups = groups.where(F.col("low") != F.col("high")).select("token", "hub")
         open_rows = now.join(groups, "token")
         if turn < HUB_ROUNDS:
-            hubs = open_rows.where(F.col("doc_id") == F.col("hub")).select("token", "doc_id", "n", "pos", "comp")
+            hubs = open_rows.where(F.col("doc_id") == F.col("hub")).select("token", "doc_id", "n", "pos", "comp", *MARK_COLUMNS)
             met = open_rows.where(F.col("doc_id") != F.col("hub")).alias("m").join(hubs.alias("h"), "token")
         else:
             met = open_rows.alias("m").join(open_rows.alias("h"), "token").where(F.col("m.doc_id") < F.col("h.doc_id"))
@@ -191,9 +238,11 @@ def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, i
         pairs = met.select(low.alias("a"), high.alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        held = materialised(verified(pairs, tokens, percent))
+        pairs = materialised(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.lit(1).alias("one")).select("doc_id")
+        held = materialised(verified(pairs, materialised(_texts(docs, ids)), words, percent))
         checked = held if checked is None else checked.unionByName(held)
-        new = held.where(F.col("linked")).select("a", "b")
+        new = materialised(held.where(F.col("linked")).select("a", "b"))
         links = new if links is None else links.unionByName(new)
         labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
         turn += 1
