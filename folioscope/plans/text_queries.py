@@ -28,7 +28,7 @@ def e7(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("e14_change_markdown", """WITH c AS (SELECT conv_id, turn, substr(text, 1, turn * 3 % 20) AS o, substr(text, 5, turn * 5 % 13) AS n FROM conversations), s AS (SELECT *, trim(o) AS a, trim(n) AS b FROM c)
+@query("e14_change_markdown", """WITH c AS (SELECT conv_id, turn, substr(text, 1, turn * 3 % 20) AS o, substr(text, 5, turn * 5 % 13) AS n FROM conversations), s AS (SELECT *, regexp_replace(o, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(n, '^\\s+|\\s+$', '', 'g') AS b FROM c)
        SELECT conv_id, turn, CASE WHEN a = '' AND b = '' THEN '(see reason)' WHEN a = '' THEN 'insert **' || b || '**' WHEN b = '' THEN 'delete ~~' || a || '~~' ELSE '~~' || a || '~~ → **' || b || '**' END AS change FROM s""")
 def e14(spark, d):
     c = S.table(spark, d, "conversations")
