@@ -190,21 +190,27 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), "a bigint, b bigint, linked boolean", work)
 
 
-def _passes(a: str, b: str, percent: int):
-    """Length, prefix, positional and suffix filter between two prefix rows with the same token.
+def _short(n, percent: int):
+    """Last place in a set at which it must share a token with the prefix of a similar set that is no smaller."""
+    return n - F.ceil(2 * percent * n / (100 + percent) - 1e-9)
+
+
+def _passes(a: str, b: str, percent: int, marked: bool):
+    """Length, prefix, positional and, for rows with marks, suffix filter between two prefix rows with the same token.
 
     Of two similar sets the smaller shares a token with the larger one's prefix already within its own first
     ``n - ceil(2 t n / (1 + t)) + 1``, for their overlap is at least that share of the smaller set."""
     n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
     i, j = F.col(f"{a}.pos"), F.col(f"{b}.pos")
     most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    short = lambda k: k - F.ceil(2 * percent * k / (100 + percent) - 1e-9)
     a_smaller = (n < m) | ((n == m) & (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")))
-    early = F.when(a_smaller, i <= short(n)).otherwise(j <= short(m))
+    early = F.when(a_smaller, i <= _short(n, percent)).otherwise(j <= _short(m, percent))
+    passes = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & early & ((100 + percent) * most >= percent * (n + m))
+    if not marked:
+        return passes
     # Suffix filter: sets that differ in d shingles have marks that differ in at most d bits.
     differ = reduce(add, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in MARK_COLUMNS])
-    alike = (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & early & ((100 + percent) * most >= percent * (n + m)) & alike
+    return passes & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
 
 
 def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,8 +223,9 @@ def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, i
     members = signed.select("doc_id", "n", "sig")
     classes = materialised(members.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep")))
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = reps.select("doc_id", "n", *MARK_COLUMNS, F.posexplode("prefix").alias("pos", "token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("token")
+    rows = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
+    early = F.max((F.col("pos") <= _short(F.col("n"), percent)).cast("int")) == 1
+    shared = rows.groupBy("token").agg(F.count("*").alias("k"), early.alias("early")).where((F.col("k") > 1) & F.col("early")).select("token")
     rows = materialised(rows.join(shared, "token"))
     labels = links = checked = None
     turn = 0
@@ -229,11 +236,12 @@ def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, i
         groups = groups.where(F.col("low") != F.col("high")).select("token", "hub")
         open_rows = now.join(groups, "token")
         if turn < HUB_ROUNDS:
-            hubs = open_rows.where(F.col("doc_id") == F.col("hub")).select("token", "doc_id", "n", "pos", "comp", *MARK_COLUMNS)
+            hubs = open_rows.where(F.col("doc_id") == F.col("hub")).select("token", "doc_id", "n", "pos", "comp")
             met = open_rows.where(F.col("doc_id") != F.col("hub")).alias("m").join(hubs.alias("h"), "token")
         else:
+            open_rows = open_rows.drop("hub").join(signed.select("doc_id", *MARK_COLUMNS), "doc_id")
             met = open_rows.alias("m").join(open_rows.alias("h"), "token").where(F.col("m.doc_id") < F.col("h.doc_id"))
-        met = met.where((F.col("m.comp") != F.col("h.comp")) & _passes("m", "h", percent))
+        met = met.where((F.col("m.comp") != F.col("h.comp")) & _passes("m", "h", percent, turn >= HUB_ROUNDS))
         low, high = F.least("m.doc_id", "h.doc_id"), F.greatest("m.doc_id", "h.doc_id")
         pairs = met.select(low.alias("a"), high.alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         if checked is not None:
