@@ -7,12 +7,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that one Arrow batch may hold, so that a worker's memory does not grow with the table.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1000
+#: Bits of a table that says which ids a scan has to look at.
+FILTER_BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,29 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+def id_filter(ids: DataFrame, id_col: str, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test for ids of a scan: true for all of ``ids`` and, the fuller the table of bits, for some others.
+
+    The table has a fixed number of bits, so what is broadcast does not grow; a full one only filters less."""
+    import numpy as np
+
+    own = ids.select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("p"))
+    words = own.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    table = np.zeros(bits // 64, np.int64)
+    for row in words.collect():  # at most bits / 64 rows
+        table[row["w"]] = row["b"]
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    def on(places):
+        import pandas as pd
+
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    test = F.pandas_udf(on, "boolean")
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(bits)))
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, materialised
+from .common import id_and_text, id_filter, map_batches, materialised
 
 WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 3, 0.9, 0.98
 KINDS = ("email", "ip", "card", "phone")
@@ -151,19 +151,32 @@ def sanitise_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with its text sanitised; all rows and columns stay, null text stays null."""
-    found = find_spans(df, id_col, text_col).select(F.col("doc_id").alias("__id"), F.concat("base", "terms").alias("__spans"))
-    # Only documents with spans are joined, so a corpus with little personal data moves little text.
-    found = found.where(F.size("__spans") > 0).groupBy("__id").agg(F.first("__spans").alias("__spans"))
+    """``df`` with its text sanitised; all rows and columns stay, null text stays null.
 
-    @F.pandas_udf("string")
-    def clean(texts, spans):
-        import pandas as pd
+    Base spans are found again in the text itself, so only documents with disclosing terms have to be joined with anything. A
+    table of bits of fixed size says in the scan which these may be; the other texts are not shuffled."""
+    terms = find_spans(df, id_col, text_col).where(F.size("terms") > 0).groupBy(F.col("doc_id").alias("__id")).agg(F.first("terms").alias("__terms"))
+    terms = materialised(terms)
+    maybe = id_filter(terms, "__id")(F.col(id_col).cast("long"))
 
-        return pd.Series([t if t is None or s is None or not len(s) else sanitise_text(t, [(x["kind"], x["begin"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    def clean(texts, found):
+        import pandas as pd
 
-    joined = df.join(found, df[id_col].cast("long") == found["__id"], "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean(F.col(text_col), F.col("__spans")))).select(*df.columns)
+        def one(text, own):
+            if text is None:
+                return None
+            spans = base_spans(text) + [(x["kind"], x["begin"], x["end"]) for x in (own if own is not None else ())]
+            return sanitise_text(text, spans) if spans else text
+
+        return pd.Series([one(t, f) for t, f in zip(texts, found, strict=True)], dtype=object)
+
+    cleaned = F.pandas_udf(clean, "string")
+    none = F.lit(None).cast("array<struct<kind:string,begin:int,end:int>>")
+    plain = df.where(~maybe).withColumn("__terms", none)
+    asked = df.where(maybe)
+    asked = asked.join(terms, asked[id_col].cast("long") == terms["__id"], "left").drop("__id")
+    both = plain.unionByName(asked)
+    return both.withColumn(text_col, cleaned(F.col(text_col), F.col("__terms"))).select(*df.columns)
 
 
 def spans_text(*columns: str):
