@@ -67,17 +67,22 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
-def id_filter(ids: DataFrame, id_col: str, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
-    """A test for ids of a scan: true for all of ``ids`` and, the fuller the table of bits, for some others.
-
-    The table has a fixed number of bits, so what is broadcast does not grow; a full one only filters less."""
+def bit_table(places: DataFrame, bits: int = FILTER_BITS):
+    """Words of 64 bits, of which those at the places ``p`` are set."""
     import numpy as np
 
-    own = ids.select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("p"))
-    words = own.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    words = places.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
     table = np.zeros(bits // 64, np.int64)
     for row in words.collect():  # at most bits / 64 rows
         table[row["w"]] = row["b"]
+    return table
+
+
+def id_filter(ids: DataFrame, id_col: str, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test for ids of a scan: true for all of ``ids`` and, the fuller the table of bits, for some others.
+
+    The table has a fixed number of bits, so what is broadcast does not grow; a full one only filters less."""
+    table = bit_table(ids.select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("p")), bits)
     shared = ids.sparkSession.sparkContext.broadcast(table)
 
     def on(places):

@@ -1,12 +1,13 @@
 """Personal data, and terms that give protected entities away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Every distinct base value is a protected
-entity. A term (a lower-cased word of three letters or more) that stands within ``WINDOW`` words of an entity may reveal
-it: with the corpus as the estimate of probability, ``PMI(t; e) / IC(e)`` is the share of the entity's information that
-the term discloses. Terms beyond ``REMOVE_AT`` are removed there, terms beyond ``GENERALISE_AT`` are generalised.
+entity. A term (a lower-cased word of three letters or more, outside base spans) that stands in a document of an entity may
+reveal it: with the corpus as the estimate of probability, ``PMI(t; e) / IC(e)`` is the share of the entity's information
+that the term discloses. Terms beyond ``REMOVE_AT`` are removed, terms beyond ``GENERALISE_AT`` are generalised, wherever
+they stand: also far from the entity, and in documents without it.
 
-Contexts are counted once however often they are copied, and a pair needs ``SUPPORT`` different contexts, below which
-co-occurrence says nothing.
+There is no least number of documents. The PMI is smoothed instead, by one more document that has the term and not the
+entity, so that the fewer documents a term has, the less it is believed.
 
 Null text counts as empty and has no spans. Repeated rows get the same spans each; columns other than the id and the text
 are ignored. Ids are expected to be unique. An empty table gives no rows.
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_filter, map_batches, materialised
+from .common import FILTER_BITS, bit_table, id_and_text, id_filter, map_batches, materialised
 
-WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 3, 0.9, 0.98
+GENERALISE_AT, REMOVE_AT = 0.9, 0.98
 KINDS = ("email", "ip", "card", "phone")
 
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -68,30 +69,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]):
-    """For each base span: its entity, the checksum of its context, and term, start and end of each word about it."""
-    for kind, start, end in spans:
-        before = [(m[0], m.start(), m.end()) for m in WORD.finditer(text, max(0, start - 40 * WINDOW), start)][-WINDOW:]
-        after = [(m[0], m.start(), m.end()) for m in WORD.finditer(text, end, end + 40 * WINDOW)][:WINDOW]
-        words = [w for w in before + after if not any(a < w[2] and w[1] < b for _, a, b in spans)]
-        context = zlib.crc32(" ".join(w.lower() for w, _, _ in words).encode())
-        yield f"{kind}:{text[start:end].lower()}", context, [(w.lower(), a, b) for w, a, b in words]
+def words(text: str, spans: list[tuple[str, int, int]]):
+    """Term, start and end of each word that no base span touches."""
+    held, k = sorted((a, b) for _, a, b in spans), 0
+    for m in WORD.finditer(text):
+        while k < len(held) and held[k][1] <= m.start():
+            k += 1
+        if k == len(held) or held[k][0] >= m.end():
+            yield m[0].lower(), m.start(), m.end()
+
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    return {t for t, _, _ in words(text, spans)} if spans else {w.lower() for w in set(WORD.findall(text))}
 
 
 def find_base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``spans`` (kind, begin, end) and ``near`` (entity, context, term, begin, end) of every document."""
-    schema = (
-        "doc_id bigint, spans array<struct<kind:string,begin:int,end:int>>, "
-        "near array<struct<entity:string,context:bigint,term:string,begin:int,end:int>>"
-    )
+    """``doc_id``, ``spans`` (kind, begin, end), distinct ``entities`` and, where there are any, distinct ``terms``."""
+    schema = "doc_id bigint, spans array<struct<kind:string,begin:int,end:int>>, entities array<string>, terms array<string>"
 
     def work(batch: pa.RecordBatch) -> dict:
-        spans, near = [], []
+        spans, entities, terms = [], [], []
         for text in batch.column("text").to_pylist():
             own = base_spans(text)
             spans.append([{"kind": k, "begin": a, "end": b} for k, a, b in own])
-            near.append([{"entity": e, "context": c, "term": t, "begin": a, "end": b} for e, c, words in _near(text, own) for t, a, b in words])
-        return {"doc_id": batch.column("doc_id"), "spans": spans, "near": near}
+            entities.append(list({f"{k}:{text[a:b].lower()}" for k, a, b in own}))
+            terms.append(list(terms_of(text, own)) if own else [])
+        return {"doc_id": batch.column("doc_id"), "spans": spans, "entities": entities, "terms": terms}
 
     return map_batches(id_and_text(df, id_col, text_col), schema, work)
 
@@ -102,34 +105,62 @@ def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def work(batch: pa.RecordBatch) -> dict:
         count: Counter = Counter()
         for text in batch.column("text").to_pylist():
-            count.update(set(WORD.findall(text.lower())))
+            count.update(terms_of(text, base_spans(text)))
         return {"term": list(count), "docs": list(count.values())}
 
     return map_batches(id_and_text(df, id_col, text_col), "term string, docs bigint", work).groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def disclosing_terms(
-    near: DataFrame, counts: DataFrame, documents: int, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT
-) -> DataFrame:
-    """``entity, term, action`` for each pair beyond a threshold. ``near`` has a row for each word about an entity."""
-    once = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
-    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    entities = near.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("contexts"))
+def disclosing_terms(rows: DataFrame, counts: DataFrame, documents: int, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+    """``entity, term, action`` for each pair beyond a threshold. ``rows`` has ``doc_id``, ``entities`` and ``terms``.
+
+    A pair cannot stand in more documents than its term or its entity. Those that would stay below the threshold even then, and
+    so nearly all pairs with a common term, are left out before pairs are formed, which loses none."""
+    held = rows.select("doc_id", F.explode("entities").alias("entity"))
+    held = held.join(held.groupBy("entity").agg(F.count("*").alias("contexts")), "entity")
+    known = rows.select("doc_id", F.explode("terms").alias("term")).join(counts, "term")
     n = F.lit(float(max(documents, 2)))
-    known = pairs.join(entities, "entity").join(counts, "term").withColumn("docs", F.greatest("docs", "both"))
-    pmi, content = F.log(n * F.col("both") / (F.col("docs") * F.col("contexts"))), F.log(n / F.col("contexts"))
-    share = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-    action = F.when(share >= remove_at, F.lit("remove")).when(share >= generalise_at, F.lit("generalise"))
-    return known.select("entity", "term", action.alias("action")).where(F.col("action").isNotNull())
+
+    def share(both):
+        pmi, content = F.log(n * both / ((F.col("docs") + 1) * F.col("contexts"))), F.log(n / F.col("contexts"))
+        return F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
+
+    pairs = known.join(held, "doc_id").where(share(F.least("docs", "contexts")) >= generalise_at)
+    pairs = pairs.groupBy("entity", "term", "docs", "contexts").agg(F.count("*").alias("both")).withColumn("share", share(F.col("both")))
+    action = F.when(F.col("share") >= remove_at, F.lit("remove")).when(F.col("share") >= generalise_at, F.lit("generalise"))
+    return pairs.select("entity", "term", action.alias("action")).where(F.col("action").isNotNull())
+
+
+def find_places(df: DataFrame, risky: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, begin, end, kind`` of each place of a term of ``risky`` (``term, kind``), in all documents.
+
+    A table of bits of fixed size says in the scan which words these may be; the join then knows."""
+    table = bit_table(risky.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS)).alias("p")), FILTER_BITS)
+    shared = df.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def work(batch: pa.RecordBatch) -> dict | None:
+        bits, out = shared.value, []
+        for own, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            maybe = set()
+            for word in set(WORD.findall(text)):
+                at = zlib.crc32(word.lower().encode()) % FILTER_BITS
+                if bits[at >> 3] >> (at & 7) & 1:
+                    maybe.add(word.lower())
+            if maybe:
+                out += [(own, t, a, b) for t, a, b in words(text, base_spans(text)) if t in maybe]
+        return dict(zip(("doc_id", "term", "begin", "end"), map(list, zip(*out, strict=True)), strict=True)) if out else None
+
+    found = map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, term string, begin int, end int", work)
+    return found.join(risky, "term").select("doc_id", "begin", "end", "kind")
 
 
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``base`` and ``terms`` (arrays of kind, begin, end; terms sorted, each place once) of every document."""
     rows = materialised(find_base(df, id_col, text_col))
-    near = rows.select("doc_id", F.explode("near").alias("w")).select("doc_id", "w.*")
-    risky = disclosing_terms(near, term_counts(df, id_col, text_col), rows.count())
-    hits = near.join(risky, ["entity", "term"]).groupBy("doc_id", "begin", "end").agg(F.max("action").alias("kind"))
-    # A document has at most 2 * WINDOW hits for each of its base spans, so a group is bounded by its text.
+    pairs = disclosing_terms(rows.where(F.size("entities") > 0), term_counts(df, id_col, text_col), rows.count())
+    risky = materialised(pairs.groupBy("term").agg(F.max("action").alias("kind")))
+    hits = find_places(df, risky, id_col, text_col).groupBy("doc_id", "begin", "end").agg(F.max("kind").alias("kind"))
+    # A document has at most one hit a word, so a group is bounded by its text.
     terms = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "begin", "end"))).alias("terms"))
     empty = F.expr("cast(array() as array<struct<kind:string,begin:int,end:int>>)")
     return rows.select("doc_id", F.col("spans").alias("base")).join(terms, "doc_id", "left").select("doc_id", "base", F.coalesce("terms", empty).alias("terms"))

@@ -357,6 +357,18 @@ def test_disclosing_terms(spark, nothing):
     assert privacy.find_spans(nothing).count() == 0
 
 
+def test_terms_of_an_entity_seen_once(spark):
+    """The term stands far from its entity, and once more in a document without it."""
+    common = "the river and the stone by the green morning paper " * 3
+    rows = [(0, f"Kestrelford {common} to one@sea.example {common} kestrelford"), (1, f"{common} Kestrelford")]
+    # A term in two documents, one with the entity, has the share log(N / 3) / log(N): beyond 0.9 from N = 59,049 on.
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(spark.range(2, 70_000).selectExpr("id doc_id", f"concat('{common} ', id) text"))
+    found = {r["doc_id"]: [(s["kind"], s["begin"], s["end"]) for s in r["terms"]] for r in privacy.find_spans(df).where("size(terms) > 0").collect()}
+    assert found == {i: [("generalise", m.start(), m.end()) for m in re.finditer("kestrelford", text.lower())] for i, text in rows}
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(df).where("doc_id < 2").collect()}
+    assert "estrelford" not in clean[0] + clean[1] and clean[1].endswith(" [TERM]")
+
+
 def test_privacy_query(spark, texts):
     for r in queries.op8_privacy(spark, SMALL).collect():
         spans = privacy.base_spans(texts[r["doc_id"]])
