@@ -7,7 +7,8 @@ that the term discloses. Terms beyond ``REMOVE_AT`` are removed, terms beyond ``
 they stand: also far from the entity, and in documents without it.
 
 There is no least number of documents. The PMI is smoothed instead, by one more document that has the term and not the
-entity, so that the fewer documents a term has, the less it is believed.
+entity, so that the fewer documents a term has, the less it is believed. Terms, entities, pairs and the corpus are all counted over
+distinct texts, so copies change nothing.
 
 Null text counts as empty and has no spans. Repeated rows get the same spans each; columns other than the id and the text
 are ignored. Ids are expected to be unique. An empty table gives no rows.
@@ -15,6 +16,7 @@ are ignored. Ids are expected to be unique. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -27,6 +29,8 @@ from .common import FILTER_BITS, bit_table, id_and_text, id_filter, map_batches,
 
 GENERALISE_AT, REMOVE_AT = 0.9, 0.98
 KINDS = ("email", "ip", "card", "phone")
+#: What is put behind a term for each of its places in the table of bits.
+ENDINGS = ("", "1", "23")
 
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -84,23 +88,24 @@ def terms_of(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
 
 
 def find_base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``spans`` (kind, begin, end), distinct ``entities`` and, where there are any, distinct ``terms``."""
-    schema = "doc_id bigint, spans array<struct<kind:string,begin:int,end:int>>, entities array<string>, terms array<string>"
+    """``doc_id``, ``spans`` (kind, begin, end), distinct ``entities`` and, where there are any, distinct ``terms``; ``key`` is of the text."""
+    schema = "doc_id bigint, key binary, spans array<struct<kind:string,begin:int,end:int>>, entities array<string>, terms array<string>"
 
     def work(batch: pa.RecordBatch) -> dict:
-        spans, entities, terms = [], [], []
+        keys, spans, entities, terms = [], [], [], []
         for text in batch.column("text").to_pylist():
             own = base_spans(text)
+            keys.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
             spans.append([{"kind": k, "begin": a, "end": b} for k, a, b in own])
             entities.append(list({f"{k}:{text[a:b].lower()}" for k, a, b in own}))
             terms.append(list(terms_of(text, own)) if own else [])
-        return {"doc_id": batch.column("doc_id"), "spans": spans, "entities": entities, "terms": terms}
+        return {"doc_id": batch.column("doc_id"), "key": keys, "spans": spans, "entities": entities, "terms": terms}
 
     return map_batches(id_and_text(df, id_col, text_col), schema, work)
 
 
 def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``term, docs``: in how many documents each term occurs; counted by batch before anything is shuffled."""
+    """``term, docs``: in how many texts of ``df`` each term occurs; counted by batch before anything is shuffled."""
 
     def work(batch: pa.RecordBatch) -> dict:
         count: Counter = Counter()
@@ -135,16 +140,21 @@ def find_places(df: DataFrame, risky: DataFrame, id_col: str = "doc_id", text_co
     """``doc_id, begin, end, kind`` of each place of a term of ``risky`` (``term, kind``), in all documents.
 
     A table of bits of fixed size says in the scan which words these may be; the join then knows."""
-    table = bit_table(risky.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS)).alias("p")), FILTER_BITS)
+    places = F.explode(F.array(*[F.pmod(F.crc32(F.concat(F.col("term"), F.lit(e)).cast("binary")), F.lit(FILTER_BITS)) for e in ENDINGS]))
+    table = bit_table(risky.select(places.alias("p")), FILTER_BITS)
     shared = df.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def work(batch: pa.RecordBatch) -> dict | None:
-        bits, out = shared.value, []
+        bits, endings, out = shared.value, [e.encode() for e in ENDINGS], []
         for own, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             maybe = set()
             for word in set(WORD.findall(text)):
-                at = zlib.crc32(word.lower().encode()) % FILTER_BITS
-                if bits[at >> 3] >> (at & 7) & 1:
+                own_sum = zlib.crc32(word.lower().encode())
+                for end in endings:
+                    at = zlib.crc32(end, own_sum) % FILTER_BITS
+                    if not bits[at >> 3] >> (at & 7) & 1:
+                        break
+                else:
                     maybe.add(word.lower())
             if maybe:
                 out += [(own, t, a, b) for t, a, b in words(text, base_spans(text)) if t in maybe]
@@ -157,7 +167,14 @@ def find_places(df: DataFrame, risky: DataFrame, id_col: str = "doc_id", text_co
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``base`` and ``terms`` (arrays of kind, begin, end; terms sorted, each place once) of every document."""
     rows = materialised(find_base(df, id_col, text_col))
-    pairs = disclosing_terms(rows.where(F.size("entities") > 0), term_counts(df, id_col, text_col), rows.count())
+    # Of equal texts the one with the smallest id counts. Only texts that may be copies are shuffled to leave these out.
+    firsts = materialised(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    copies = materialised(rows.select("doc_id").join(firsts, "doc_id", "left_anti"))
+    maybe = id_filter(copies, "doc_id")(F.col("doc_id"))
+    texts = id_and_text(df, id_col, text_col)
+    texts = texts.where(~maybe).unionByName(texts.where(maybe).join(copies, "doc_id", "left_anti"))
+    own = rows.where(F.size("entities") > 0).join(copies, "doc_id", "left_anti")
+    pairs = disclosing_terms(own, term_counts(texts), firsts.count())
     risky = materialised(pairs.groupBy("term").agg(F.max("action").alias("kind")))
     hits = find_places(df, risky, id_col, text_col).groupBy("doc_id", "begin", "end").agg(F.max("kind").alias("kind"))
     # A document has at most one hit a word, so a group is bounded by its text.

@@ -369,6 +369,24 @@ def test_terms_of_an_entity_seen_once(spark):
     assert "estrelford" not in clean[0] + clean[1] and clean[1].endswith(" [TERM]")
 
 
+def test_copies_do_not_change_disclosing_terms(spark):
+    common = "the river and the stone by the green morning paper " * 3
+    own = [(i, f"Kestrelford {common} to one@sea.example {i}") for i in range(3)]
+    df = spark.createDataFrame(own, "doc_id bigint, text string").unionByName(spark.range(3, 2_000).selectExpr("id doc_id", f"concat('{common} ', id) text"))
+    # Many copies of a text with the entity, of one with the term and of one with neither.
+    copied = [(10_000 + i, own[0][1]) for i in range(40)] + [(20_000 + i, own[1][1]) for i in range(2)] + [(30_000 + i, f"{common} 7") for i in range(300)]
+    more = df.unionByName(spark.createDataFrame(copied, "doc_id bigint, text string"))
+
+    def terms(frame):
+        return {r["doc_id"]: r["terms"] for r in privacy.find_spans(frame).collect()}
+
+    plain, with_copies = terms(df), terms(more)
+    assert [s["kind"] for s in plain[0]] == ["generalise"] and all(with_copies[i] == t for i, t in plain.items())
+    assert all(with_copies[i] == plain[0] for i, _ in copied[:40]) and all(with_copies[i] == plain[1] for i, _ in copied[40:42])
+    rows = privacy.find_base(more)
+    assert rows.select("key").distinct().count() == df.count()
+
+
 def test_privacy_query(spark, texts):
     for r in queries.op8_privacy(spark, SMALL).collect():
         spans = privacy.base_spans(texts[r["doc_id"]])
