@@ -10,6 +10,7 @@ text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -292,10 +293,11 @@ def load(path: str) -> PieceModel:
 def encode_documents(
     df: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids", "begins", "ends"), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row a document: its id and, of ``ids``, ``begins``, ``ends`` (byte spans) and ``decoded``, those asked for."""
-    kinds = {"ids": "array<int>", "begins": "array<bigint>", "ends": "array<bigint>", "decoded": "string"}
+    """One row a document: its id and, of ``ids``, ``begins``, ``ends`` (byte spans), ``decoded`` and ``spans_sha256``, those asked
+    for. The last is of all begins and then all ends, each as eight bytes, the lowest first."""
+    kinds = {"ids": "array<int>", "begins": "array<bigint>", "ends": "array<bigint>", "decoded": "string", "spans_sha256": "string"}
     schema = ", ".join(["doc_id bigint", *(f"{c} {kinds[c]}" for c in columns)])
-    spans = "begins" in columns or "ends" in columns
+    spans = not {"begins", "ends", "spans_sha256"}.isdisjoint(columns)
 
     def work(batch: pa.RecordBatch) -> dict:
         model = load(model_path)
@@ -306,6 +308,8 @@ def encode_documents(
                 out[name] = list_array([c[k] for c in coded], kind)
         if "decoded" in columns:
             out["decoded"] = [model.decode(c[0]) for c in coded]
+        if "spans_sha256" in columns:
+            out["spans_sha256"] = [hashlib.sha256(begins.astype("<i8").tobytes() + ends.astype("<i8").tobytes()).hexdigest() for _, begins, ends in coded]
         return out
 
     return map_batches(id_and_text(df, id_col, text_col), schema, work)

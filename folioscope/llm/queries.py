@@ -18,12 +18,13 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = piece_codec.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ("ids", "decoded"))
+    coded = piece_codec.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ("ids", "decoded", "spans_sha256"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "spans_sha256",
     )
 
 

@@ -65,6 +65,23 @@ def test_pieces_equal_the_library(texts):
         assert model.decode(np.array(ids)) == lib.decode(ids)
 
 
+def test_piece_query_projects_every_piece(spark, texts):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r["doc_id"]: r["spans_sha256"] for r in queries.op1_piece_codec(spark, SMALL).collect()}
+    assert got.keys() == texts.keys()
+    seen = 0
+    for i, text in texts.items():
+        pieces = lib.encode(text, return_type="proto").pieces
+        if not text or "".join(p.surface for p in pieces) != text or any(p.begin == p.end for p in pieces):
+            continue  # the library gives the bytes of one character other spans
+        at = np.cumsum([0, *(len(p.surface.encode()) for p in pieces)])
+        assert got[i] == hashlib.sha256(at[:-1].astype("<i8").tobytes() + at[1:].astype("<i8").tobytes()).hexdigest()
+        seen += 1
+    assert seen > len(texts) / 2
+
+
 def test_character_map_is_walked_by_longest_prefix():
     # a double array with the keys "a" -> "x" and "ab" -> "yz"
     units = [0] * 512
