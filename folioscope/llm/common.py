@@ -48,6 +48,21 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+#: For each module whose workers remember something from task to task, how they forget it.
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, forget: Callable[[], None]) -> None:
+    _FORGET[module] = forget
+
+
+def keep_only(module: str) -> None:
+    """Empty what this worker has remembered for other modules, so that stages that follow one another do not add up."""
+    for name, forget in _FORGET.items():
+        if name != module:
+            forget()
+
+
 def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
     """Apply ``work`` (a record batch in, a dict of columns out) to every batch of ``df``."""
     spark = df.sparkSession
@@ -56,6 +71,7 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dic
     arrow = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(work.__module__)
         for batch in batches:
             if batch.num_rows and (out := work(batch)) is not None:
                 made = pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, BATCH_ROWS, id_and_text, list_array, map_batches, materialised
+from .common import BATCH_BYTES, BATCH_ROWS, id_and_text, keep_only, list_array, map_batches, materialised, remembers
 from .components import components
 
 #: Words of a shingle, and least similarity in hundredths.
@@ -45,6 +45,7 @@ HUB_ROUNDS = 1
 MARKS = 4
 MARK_COLUMNS = [f"m{i}" for i in range(MARKS)]
 _MEMO: dict[bytes, int] = {}
+remembers(__name__, _MEMO.clear)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -92,6 +93,7 @@ def frequencies(df: DataFrame) -> np.ndarray:
     """How many words of all documents fall on each counter; each task adds up before it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(__name__)
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, materialised
+from .common import id_and_text, map_batches, materialised, remembers
 from .linear import solve, times
 
 CAPACITY, STEP, END_ID = 2048, 8, 1
@@ -103,6 +103,9 @@ def _tokeniser(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+remembers(__name__, _tokeniser.cache_clear)
+
+
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit integers."""
     return _tokeniser(path).ids(texts)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, list_array, map_batches
+from .common import id_and_text, list_array, map_batches, remembers
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -290,6 +290,9 @@ def load(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+remembers(__name__, load.cache_clear)
+
+
 def encode_documents(
     df: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids", "begins", "ends"), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
