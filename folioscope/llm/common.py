@@ -15,6 +15,8 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1000
 #: Bits of a table that says which ids a scan has to look at.
 FILTER_BITS = 1 << 23
+#: A key is joined by broadcast where at least one row in so many has it.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the cluster names none (tests), a local one."""
+    """The folder of ``spark.checkpoint.dir``. Only a session without a cluster may leave it unset, and gets a local one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -41,6 +46,18 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, a written table that has one row a key and, in ``weight``, how many of ``rows`` have it.
+
+    Keys with a ``HOT``-th or more of all rows, of which there can be no more than ``HOT``, are broadcast and their rows stay where
+    they are; so no task has to take more than a ``HOT``-th of the rows for one key. Keys must not be null."""
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT >= total
+    often = F.broadcast(keyed.where(hot))  # at most HOT rows
+    near = rows.join(often, keys)
+    return near.unionByName(rows.join(often.select(*keys), keys, "left_anti").join(keyed.where(~hot), keys))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, ``doc_id`` and ``text`` (null: empty); all others are left out, so their names cannot clash."""
     return df.select(

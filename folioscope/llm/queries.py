@@ -42,9 +42,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    digests = docs.select("doc_id", F.sha2(exact.normalised(F.col("text")), 256).alias("text_sha256"))
-    return exact.duplicates(docs).join(digests, "doc_id")
+    return exact.duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import exact, language, media, ngram_join, packing, piece_codec, privacy, queries, repeats, toxicity, url_filter
 
@@ -278,11 +279,29 @@ def test_naming_tells_texts_apart(spark, nothing):
     assert exact.duplicates(nothing).count() == 0
 
 
-def test_contents_with_one_hash_stay_apart(spark):
-    rows = [(1, 0, 7, b"a"), (2, 0, 7, b"b"), (3, 0, 7, b"a"), (4, 0, 8, b"b")]
-    blocks = spark.createDataFrame(rows, "doc_id bigint, pos int, h bigint, block binary")
-    name = {r["doc_id"]: r["name"] for r in exact._block_names(blocks).collect()}
-    assert name[1] == name[3] and len({name[1], name[2], name[4]}) == 3
+@pytest.mark.parametrize("parts", [2, 7])
+def test_hashes_that_collide_and_repeated_rows(spark, parts):
+    rnd = random.Random(7)
+    rows = [(rnd.choice((None, *range(60))), rnd.choice(("a b", "a  b", "z", "", None, "abcdefgh" * 3, "abcdefgh" * 2 + "x", "hgfedcba"))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    want = Counter()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    for t, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        for k, i in enumerate(sorted(ids, key=lambda i: (i is None, i or 0))):
+            want[i, keep, len(ids), k == 0, hashlib.sha256(t.encode()).hexdigest()] += 1
+    for hashed in (F.xxhash64, lambda c: F.pmod(F.xxhash64(c), F.lit(2))):
+        assert Counter(map(tuple, exact.duplicates(df, hashed=hashed).collect())) == want
+    kept = Counter((r["doc_id"], re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")) for r in exact.keep_first(df).collect())
+    assert kept == {(min((i for i in ids if i is not None), default=None), t): 1 for t, ids in groups.items()}
+
+
+def test_names_do_not_depend_on_partitions(spark):
+    df = spark.range(500).selectExpr("id doc_id", "repeat(concat('t', id % 90), cast(id % 40 as int)) text")
+    a, b = ({r["doc_id"]: (r["blocks"], r["name"]) for r in exact.name_texts(df.repartition(n), block=8).collect()} for n in (1, 9))
+    assert a == b and len(set(a.values())) == df.select("text").distinct().count()
 
 
 def test_exact_query(spark, texts):
@@ -297,8 +316,6 @@ def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(4000).selectExpr("concat('host', id) host", "id % 37 = 0 listed")
     cascade = url_filter.Cascade.build(keys, "host", "listed")
     assert len(cascade.levels) > 1
-    from pyspark.sql import functions as F
-
     assert keys.where(cascade.holds(F.col("host")) != F.col("listed")).count() == 0
     empty = url_filter.Cascade.build(keys.where("not listed"), "host", "listed")
     assert keys.where(empty.holds(F.col("host"))).count() == 0
