@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1000
 #: Bits of a table that says which ids a scan has to look at.
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 24
 #: A key is joined by broadcast where at least one row in so many has it.
 HOT = 1000
 
@@ -111,21 +111,38 @@ def bit_table(places: DataFrame, bits: int = FILTER_BITS):
     return table
 
 
+def bit_words(places: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """One written row of ``words``, an array of ``bits / 64`` numbers, in which the bits at the places ``p`` are set."""
+    words = places.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    every = places.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(words, "w", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b"))))  # bits / 64 of them
+    return materialised(every.agg(F.transform(pairs, lambda x: x["b"]).alias("words")))
+
+
+def bit_is_set(words: DataFrame, place: Column) -> Column:
+    """Whether the bit at ``place`` is set in the row that ``bit_words`` has written, which is read once for each task's plan."""
+    word = F.element_at(words.scalar(), (F.floor(place / 64) + 1).cast("int"))
+    return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1
+
+
 def id_filter(ids: DataFrame, id_col: str, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
-    """A test for ids of a scan: true for all of ``ids`` and, the fuller the table of bits, for some others.
+    """A test for ids of a scan, in Spark's own functions: true for all of ``ids`` and, the fuller the table of bits, for some others.
 
-    The table has a fixed number of bits, so what is broadcast does not grow; a full one only filters less."""
-    table = bit_table(ids.select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("p")), bits)
-    shared = ids.sparkSession.sparkContext.broadcast(table)
+    The table has a fixed number of bits, so what each task is sent does not grow; a full one only filters less. Null is false."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = bit_words(ids.select(place(F.col(id_col)).alias("p")), bits)
+    return lambda column: column.isNotNull() & bit_is_set(words, place(column))
 
-    def on(places):
-        import pandas as pd
 
-        at = places.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+def without_ids(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``df`` without the rows whose id is among ``gone`` (``__id``); rows of no id stay.
 
-    test = F.pandas_udf(on, "boolean")
-    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(bits)))
+    Only rows that the bits of ``gone`` let through take part in the join; the others are not shuffled."""
+    gone = materialised(gone)
+    own = df[id_col].cast("long")
+    maybe = id_filter(gone, "__id")(own)
+    asked = df.where(maybe)
+    return df.where(~maybe).unionByName(asked.join(gone, asked[id_col].cast("long") == gone["__id"], "left_anti"))
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, join_spread, materialised
+from .common import id_and_text, join_spread, materialised, without_ids
 
 BLOCK = 16 << 10
 #: Ranges of hashes within which ranks are counted on their own.
@@ -122,7 +122,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = ids.where((F.col("n") == 1) & ~F.col("kept")).select(F.col("doc_id").alias("__id"))
     doubtful = materialised(doubtful)
     if doubtful.isEmpty():
-        return df.join(gone, own == gone["__id"], "left_anti")
+        return without_ids(df, gone, id_col)
     plain = df.join(gone.unionByName(doubtful), own.eqNullSafe(F.col("__id")), "left_anti")
     stays = found.where("kept").join(doubtful, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     told = df.join(doubtful, own.eqNullSafe(F.col("__id")), "left_semi").withColumn("__own", F.sha2(normalised(F.col(text_col)), 256))

@@ -30,15 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, BATCH_ROWS, id_and_text, keep_only, list_array, map_batches, materialised, remembers
+from .common import BATCH_BYTES, BATCH_ROWS, id_and_text, id_filter, keep_only, list_array, map_batches, materialised, remembers, without_ids
 from .components import components
 
 #: Words of a shingle, and least similarity in hundredths.
 WORDS, PERCENT = 5, 80
 #: Entries of the table of word counts.
 COUNTERS = 1 << 19
-#: Bits of the table that says which documents' sets are asked for.
-FILTER_BITS = 1 << 23
 #: Rounds in which a group's members meet its hub before all of them meet.
 HUB_ROUNDS = 1
 #: 64-bit words of marks of a set.
@@ -140,23 +138,15 @@ def signed_sets(df: DataFrame, words: int, percent: int, counts: np.ndarray) ->
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``doc_id, z``: the compressed texts of the documents of ``ids``, a third of the size of their sets.
 
-    The other texts are not shuffled for that: a bit table of fixed size, in which each id has a bit, says in the scan which
-    documents may be asked for, and an exact join drops those that were not.
+    The other texts are not shuffled for that: the scan leaves out most of those that were not asked for.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    table = ids.groupBy(F.floor(place / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in table.collect():  # at most FILTER_BITS / 64 rows
-        bits[row["w"]] = row["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def work(batch: pa.RecordBatch) -> dict | None:
-        at = batch.column("place").to_numpy()
-        on = pa.array(np.flatnonzero(shared.value[at >> 6] >> (at & 63) & 1))
+
+    def work(batch: pa.RecordBatch) -> dict:
         press = zstandard.ZstdCompressor(level=3)
-        return {"doc_id": batch.column("doc_id").take(on), "z": [press.compress(t.encode()) for t in batch.column("text").take(on).to_pylist()]}
+        return {"doc_id": batch.column("doc_id"), "z": [press.compress(t.encode()) for t in batch.column("text").to_pylist()]}
 
-    return map_batches(docs.withColumn("place", place), "doc_id bigint, z binary", work).join(ids, "doc_id")
+    asked = docs.where(id_filter(ids, "doc_id")(F.col("doc_id")))
+    return map_batches(asked, "doc_id bigint, z binary", work).join(ids, "doc_id")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -268,4 +258,4 @@ def keep_one(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     """``df`` with one row, that of the smallest id, of each component."""
     found = link_components(df, words, percent, id_col, text_col)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"))
-    return df.join(gone, df[id_col].cast("long") == gone["__id"], "left_anti")
+    return without_ids(df, gone, id_col)
