@@ -1,8 +1,9 @@
 """Payloads in ISO media containers, and the columns that walking such a container gives.
 
 ``write_container`` stores bytes as 8-bit samples of one audio track; ``read_container`` walks the nested boxes of any
-such file, decodes its sample tables, and reports codec, duration and the byte ranges of key frames without decoding a
-payload. Null text counts as empty; equal texts give equal rows; a malformed container gives an ``error`` text.
+such file, decodes each track's sample tables, and reports codec, duration and the byte ranges of key frames without decoding a
+payload. What a file says of itself is checked against its length before anything of that size is made. Null text counts as
+empty; equal texts give equal rows; a malformed container gives an ``error`` text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,10 +71,14 @@ def write_container(payload: bytes) -> bytes:
     return ftyp + moov(first) + mdat + payload
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """Path, body start and body end of every box, outer boxes first. A size that does not fit raises ValueError."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes):
+    """Kind, track, body start and body end of every box, outer boxes first and in the order of the file, however deep they are
+    nested. The track is the number of the track box around it, 0 outside of any. A size that does not fit raises ValueError."""
+    todo, tracks = [(0, len(data), 0)], 0
+    while todo:
+        start, end, track = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -85,43 +90,84 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} does not fit")
-        yield (*path, kind), body, start + size
+        todo.append((start + size, end, track))
+        if kind == b"trak":
+            track = tracks = tracks + 1
+        yield kind, track, body, start + size
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            todo.append((body, start + size, track))
 
 
-def _table(data: bytes, body: int, kind: str, width: int = 1, skip: int = 4) -> np.ndarray:
-    (n,) = struct.unpack_from(">I", data, body + skip)
-    return np.frombuffer(data, kind, n * width, body + skip + 4).reshape(n, width).astype(np.int64)
+def _table(data: bytes, body: int, end: int, kind: str, width: int = 1) -> np.ndarray:
+    """Entries of a sample table, as many as it says, all of which must lie within its box."""
+    (n,) = struct.unpack_from(">I", data, body + 4)
+    if body + 8 + n * width * int(kind[-1]) > end:
+        raise ValueError("a sample table is cut off")
+    return np.frombuffer(data, kind, n * width, body + 8).reshape(n, width).astype(np.int64)
 
 
-def read_container(data: bytes) -> dict:
-    """Codec, time scale, duration and, for each sample of the first track, its place, size and whether it is a key frame."""
-    found: dict[bytes, int] = {}
-    for path, body, _ in walk(data):
-        found.setdefault(path[-1], body)
+def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
     if missing := {b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"} - found.keys():
         raise ValueError(f"no box {sorted(missing)}")
-    at = found[b"mdhd"]
+    at, _ = found[b"mdhd"]
     scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    codec = data[found[b"stsd"] + 12 : found[b"stsd"] + 16].decode("latin-1")
-    same, n = struct.unpack_from(">II", data, found[b"stsz"] + 4)
-    sizes = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", n, found[b"stsz"] + 12).astype(np.int64)
-    chunks = _table(data, found[b"co64"], ">u8")[:, 0] if b"co64" in found else _table(data, found[b"stco"], ">u4")[:, 0]
-    runs = _table(data, found[b"stsc"], ">u4", 3)
+    at, end = found[b"stsd"]
+    if at + 16 > end or not scale:
+        raise ValueError("no codec or no time scale")
+    codec = data[at + 12 : at + 16].decode("latin-1")
+    at, end = found[b"stsz"]
+    same, n = struct.unpack_from(">II", data, at + 4)
+    if n * (same or 4) > (len(data) if same else end - at - 12):
+        raise ValueError("more samples than the file can hold")
+    sizes = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
+    if b"co64" in found:
+        chunks = _table(data, *found[b"co64"], ">u8")[:, 0]
+    elif b"stco" in found:
+        chunks = _table(data, *found[b"stco"], ">u4")[:, 0]
+    else:
+        raise ValueError("no chunk offsets")
+    runs = _table(data, *found[b"stsc"], ">u4", 3)
     times = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if (times < 0).any() or (len(runs) and runs[0, 0] != 1):
+        raise ValueError("the chunk runs are out of order")
     per = np.repeat(runs[:, 1], times)
     if per.sum() != n or len(per) != len(chunks):
         raise ValueError("the sample tables disagree")
     ahead = np.concatenate(([0], np.cumsum(sizes)))
-    first = np.concatenate(([0], np.cumsum(per)))[:-1]
+    first = np.concatenate(([0], np.cumsum(per)))[:-1].astype(np.int64)
     place = np.repeat(chunks - ahead[first], per) + ahead[:-1]
-    times = _table(data, found[b"stts"], ">u4", 2)
-    keys = _table(data, found[b"stss"], ">u4")[:, 0] - 1 if b"stss" in found else np.arange(n)
+    if n and ((place < 0).any() or (place + sizes > len(data)).any()):
+        raise ValueError("a sample lies outside the file")
+    times = _table(data, *found[b"stts"], ">u4", 2)
+    keys = _table(data, *found[b"stss"], ">u4")[:, 0] - 1 if b"stss" in found else np.arange(n)
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("a key frame has no sample")
     return {"codec": codec, "timescale": scale, "duration": duration, "sample_time": int((times[:, 0] * times[:, 1]).sum()), "place": place, "size": sizes, "keys": keys}
 
 
+def read_tracks(data: bytes) -> list[dict]:
+    """Codec, time scale, duration and, for each sample of each track, its place, size and whether it is a key frame. Each track is
+    described by its own boxes; a track whose boxes do not fit together raises ValueError, as does a file without any."""
+    tracks: dict[int, dict[bytes, tuple[int, int]]] = {}
+    for kind, track, body, end in walk(data):
+        if track:
+            tracks.setdefault(track, {}).setdefault(kind, (body, end))
+    if not tracks:
+        raise ValueError("no track")
+    return [_track(data, found) for _, found in sorted(tracks.items())]
+
+
+def read_container(data: bytes) -> dict:
+    """The first track."""
+    return read_tracks(data)[0]
+
+
+def key_ranges(info: dict) -> np.ndarray:
+    """First and last-plus-one byte of each key frame."""
+    at, size = info["place"][info["keys"]], info["size"][info["keys"]]
+    return np.stack([at, at + size], axis=1)
+
+
 def stored_payload(data: bytes, info: dict) -> bytes:
     """The samples' bytes in order; adjacent samples are read at once."""
     place, size = info["place"], info["size"]
@@ -131,48 +177,59 @@ def stored_payload(data: bytes, info: dict) -> bytes:
 
 def feature(info: dict) -> str:
     """Codec, duration and the key frames' byte ranges, the latter counted and summed up in a checksum."""
-    at, size = info["place"][info["keys"]], info["size"][info["keys"]]
-    ranges = np.stack([at, at + size], axis=1).astype("<i8").tobytes()
-    return f"codec={info['codec'].strip()};seconds={info['duration'] / info['timescale']:.6f};samples={len(info['size'])};keyframes={len(at)};key_bytes={int(size.sum())};first_key={at[0]}-{at[0] + size[0]};key_crc32={zlib.crc32(ranges)}"
+    ranges = key_ranges(info)
+    first = f"{ranges[0, 0]}-{ranges[0, 1]}" if len(ranges) else ""
+    return f"codec={info['codec'].strip()};seconds={info['duration'] / info['timescale']:.6f};samples={len(info['size'])};keyframes={len(ranges)};key_bytes={int((ranges[:, 1] - ranges[:, 0]).sum())};first_key={first};key_crc32={zlib.crc32(ranges.astype('<i8').tobytes())}"
+
+
+RANGES = "array<struct<begin:bigint,end:bigint>>"
+_RANGE = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
+
+
+def _range_lists(lists: list[np.ndarray | None]) -> pa.Array:
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in lists)])
+    flat = np.concatenate([np.empty((0, 2), np.int64), *(x for x in lists if x is not None)])
+    made = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(_RANGE))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made, mask=pa.array([x is None for x in lists]))
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """``codec, duration_s, keyframes`` (array of begin and end bytes) and ``error`` for each container; null gives nulls and an error."""
+    """``codec, duration_s, keyframes`` (array of begin and end bytes) of the first track, the same of all ``tracks`` and ``error`` for
+    each container; null, and a file that cannot be read, gives nulls and an error."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("codec", "duration_s", "keyframes", "error")}
+        out: dict[str, list] = {c: [] for c in ("codec", "duration_s", "keyframes", "tracks", "error")}
         for media in batch.column("media").to_pylist():
-            row = (None, None, None, "no container")
+            row = (None, None, None, None, "no container")
             if media is not None:
                 try:
-                    i = read_container(media)
-                    at = i["place"][i["keys"]]
-                    ranges = np.stack([at, at + i["size"][i["keys"]]], axis=1).tolist()
-                    row = (i["codec"], i["duration"] / i["timescale"], [{"begin": a, "end": b} for a, b in ranges], None)
-                except (ValueError, struct.error, KeyError, IndexError, ZeroDivisionError) as e:
-                    row = (None, None, None, str(e) or type(e).__name__)
+                    tracks = [{"codec": i["codec"], "duration_s": i["duration"] / i["timescale"], "keyframes": [{"begin": a, "end": b} for a, b in key_ranges(i).tolist()]} for i in read_tracks(media)]
+                    row = (*tracks[0].values(), tracks, None)
+                except (ValueError, struct.error) as e:
+                    row = (None, None, None, None, str(e) or type(e).__name__)
             for c, v in zip(out, row, strict=True):
                 out[c].append(v)
         return {"doc_id": batch.column("doc_id"), **out}
 
-    schema = "doc_id bigint, codec string, duration_s double, keyframes array<struct<begin:bigint,end:bigint>>, error string"
+    schema = f"doc_id bigint, codec string, duration_s double, keyframes {RANGES}, tracks array<struct<codec:string,duration_s:double,keyframes:{RANGES}>>, error string"
     return map_batches(df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{media_col}` as binary) media"), schema, work)
 
 
 def store_documents(df: DataFrame, keep_media: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text stored in a container, read back, and described; ``media`` is the file itself if it is to be kept."""
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = f"doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, duration_s double, keyframes {RANGES}"
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "keyframes", "media")
 
     def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c.split()[0]: [] for c in (schema + ", media binary").split(", ")[1:]}
+        out: dict[str, list] = {c: [] for c in names}
         for text in batch.column("text").to_pylist():
             raw = text.encode()
             media = write_container(raw + bytes(-len(raw) % UNIT if raw else UNIT))
             info = read_container(media)
             back = stored_payload(media, info)
-            row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(info), media if keep_media else None)
-            for c, v in zip(out, row, strict=True):
+            row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(info), info["codec"].strip(), info["duration"] / info["timescale"], key_ranges(info), media if keep_media else None)
+            for c, v in zip(names, row, strict=True):
                 out[c].append(v)
-        return {"doc_id": batch.column("doc_id"), **out}
+        return {"doc_id": batch.column("doc_id"), **out, "keyframes": _range_lists(out["keyframes"])}
 
     return map_batches(id_and_text(df, id_col, text_col), schema + ", media binary" * keep_media, work)

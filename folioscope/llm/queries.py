@@ -46,7 +46,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.own_list(spark))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +106,15 @@ ORACLES: dict[str, str] = {
                 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
             END AS rule FROM u
+        ), listed AS (
+            SELECT name || '.' || under AS key
+            FROM (SELECT unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS name),
+                 (SELECT unnest(['example.com', 'example.net', 'example.org']) AS under)
         )
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
-            WHEN list_contains(string_split(host, '.'), 'spam-farm') OR list_contains(string_split(host, '.'), 'cheap-pills') THEN 'block'
+            WHEN EXISTS (SELECT 1 FROM listed WHERE r.host = listed.key OR ends_with(r.host, '.' || listed.key)) THEN 'block'
             ELSE 'allow' END AS verdict
         FROM r
     """,

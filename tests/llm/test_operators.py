@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -359,13 +360,25 @@ def test_urls(spark):
     urls = ["http://A.Example.org/es/1", "https://x.example.org/en/12?q", "https://example.org", "http://b.com/fr/x#y", "http://com/de/", "http://com.net/de/", "http://notexample.org/es/",
             "http://spam-farm.example.net/x", "http://cheap-pills.com/en", "nothing", None, "", "http://", "x://h?a/b", "http://cheap-pills.com/fr/", "http://a.com/de/://z.org/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
-    got = [tuple(r)[1:] for r in url_filter.judge(df).orderBy("page_id").collect()]
-    assert got == [
+    keys = spark.createDataFrame([("Spam-Farm.example.net",), ("cheap-pills.com",), ("cheap-pills.com",), (None,), ("",), ("elsewhere.com",)], "key string")
+    want = [
         ("a.example.org", "/es/1", "example.org/es/", "block"), ("x.example.org", "/en/12", "example.org/en/1", "block"), ("example.org", "", None, "allow"), ("b.com", "/fr/x", "com/fr/", "allow"),
         ("com", "/de/", "com/de/", "block"), ("com.net", "/de/", None, "allow"), ("notexample.org", "/es/", "org/", "allow"), ("spam-farm.example.net", "/x", None, "block"),
         ("cheap-pills.com", "/en", None, "block"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("h", "", None, "allow"), ("cheap-pills.com", "/fr/", "com/fr/", "allow"),
         ("a.com", "/de/://z.org/", "com/de/", "block"),
     ]
+    for most in (url_filter.MAX_LISTED, 0):  # by the cascade, and by the join beyond its bound
+        assert [tuple(r)[1:] for r in url_filter.judge(df, keys, most=most).orderBy("page_id").collect()] == want
+    assert url_filter.judge(df.where("false"), keys).count() == 0
+    assert {r["verdict"] for r in url_filter.judge(df.where("page_id in (7, 8)"), keys.where("false")).collect()} == {"allow"}
+
+
+def test_url_cascade_and_join_agree(spark):
+    pages = spark.range(6000).selectExpr("id page_id", "concat('http://', if(id % 3 = 0, 'www.', ''), 'h', id % 2000, '.net/p') url")
+    keys = spark.range(0, 2000, 11).selectExpr("concat('h', id, '.net') key")
+    a, b = (url_filter.judge(pages, keys, most=most) for most in (url_filter.MAX_LISTED, 10))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert a.where("verdict = 'block'").count() == 6000 * 182 // 2000
 
 
 # -- 7 ------------------------------------------------------------------------------------------------------------------
@@ -388,6 +401,43 @@ def test_media_round_trip(spark, texts, odd, nothing):
     broken = spark.createDataFrame([(1, b"\0\0\0\x10moov\0\0\0\xffx"), (2, None), (3, b""), (4, b"\0\0\0\x04free")], "doc_id bigint, media binary")
     assert all(r["error"] and r["codec"] is None for r in media.media_columns(broken).collect())
     assert media.store_documents(nothing).count() == 0
+    for doc, text in texts.items():
+        n = rows[doc]["payload_bytes"] // 64
+        at = [k["begin"] for k in rows[doc]["keyframes"]]
+        assert len(at) == -(-n // 16) and all(b - a == 16 * 64 for a, b in zip(at, at[1:], strict=False))
+
+
+def _box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def test_nested_boxes_tracks_and_false_counts(spark):
+    data = media.write_container(bytes(64 * 40))
+    at = next(body for kind, _, body, _ in media.walk(data) if kind == b"trak")
+    end = next(end for kind, _, _, end in media.walk(data) if kind == b"trak")
+    track = data[at - 8 : end]
+    where = data.index(b"stss") - 4
+    (size,) = struct.unpack_from(">I", data, where)
+    every = track.replace(data[where : where + size], _box(b"free", bytes(size - 8)))  # no key table: each sample is a key frame
+    both = _box(b"moov", every, track)
+    base = len(data) - len(both) - 64 * 40
+    padded = _box(b"free", bytes(max(0, base - 8))) + both + data[-64 * 40 :]
+    tracks = media.read_tracks(padded)
+    assert [len(t["keys"]) for t in tracks] == [40, 3] and len(media.read_container(padded)["keys"]) == 40
+    deep = b""
+    for _ in range(20_000):
+        deep = _box(b"udta", deep)
+    assert sum(1 for _ in media.walk(deep)) == 20_000
+    many = data.replace(struct.pack(">II", 64, 40), struct.pack(">II", 64, 2**32 - 1))
+    wrong = bytearray(data)
+    key = data.index(b"stss") + 12
+    wrong[key : key + 4] = bytes(4)  # key frames are counted from 1
+    far = data.replace(_box(b"stco", bytes(4), struct.pack(">II", 1, len(data) - 64 * 40)), _box(b"stco", bytes(4), struct.pack(">II", 1, len(data) * 2)))
+    rows = spark.createDataFrame([(1, many), (2, deep), (3, bytes(wrong)), (4, far), (5, padded)], "doc_id bigint, media binary")
+    got = {r["doc_id"]: r for r in media.media_columns(rows).collect()}
+    assert all(got[i]["error"] and got[i]["keyframes"] is None for i in (1, 2, 3, 4))
+    assert got[5]["error"] is None and [len(t["keyframes"]) for t in got[5]["tracks"]] == [40, 3] and len(got[5]["keyframes"]) == 40
 
 
 # -- 8 ------------------------------------------------------------------------------------------------------------------
