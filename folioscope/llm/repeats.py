@@ -5,18 +5,21 @@ A window of ``LENGTH`` bytes is removed wherever the same bytes also start anywh
 1. Parsing: a rolling hash runs over each text, and the place where it is least within a window is that window's
    trigger. Triggers depend on content alone, so equal windows have equal triggers at equal places. Window starts with one
    trigger form a run; a run and the bytes that its windows cover are a phrase. Every window has a trigger, so phrases are
-   of bounded length.
-2. Dictionary: phrases are counted over the corpus. All windows of a phrase that occurs twice are repeated.
-3. Only where different phrases share the ``GRAM`` bytes at a trigger can windows of a phrase that occurs once be
-   repeated. Such phrases are brought together by those bytes, ordered, and compared window by window; groups too large
-   for a task's memory are exploded to windows and counted by Spark.
+   of bounded length, and no phrase's windows go beyond it.
+2. Parse: phrases are counted over the corpus by their contents' hashes. All windows of a phrase that occurs twice are repeated.
+3. Dictionary: only where different phrases share the ``GRAM`` bytes at a trigger can windows of a phrase that occurs once
+   be repeated. Such phrases are brought together by those bytes, and their suffixes, one from each window start, are
+   put in order of their first ``LENGTH`` bytes by a radix sort of eight bytes at a time, which goes on with ties only. Windows
+   that are equal to a neighbour in that order, byte by byte, are repeated. Groups too large for a task's memory are
+   exploded to windows and counted by Spark, by hashes of 128 bits.
 4. Removed stretches go back to their documents.
 
-What the corpus order is needed for here is which windows have an equal neighbour, so phrases and windows are ordered by
-128-bit and 64-bit hashes of their contents. Windows are judged on the input and never cross documents.
+Since a window never leaves its phrase, its place in the corpus order is settled by its phrase's suffix as far as ``LENGTH``
+bytes; the order of the parse's suffixes, which only tells apart what agrees for longer, is not needed and not built.
 
 Null text counts as empty; a text shorter than ``LENGTH`` loses nothing. Repeated rows count as other places, so equal
-texts of ``LENGTH`` bytes or more go in full, on all sides. Ids must be unique. Other columns are ignored.
+texts of ``LENGTH`` bytes or more go in full, on all sides. Ids must be unique. Other columns are ignored. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, materialised
+from .common import id_and_text, keep_only, map_batches, materialised
 
 LENGTH, GRAM = 200, 48
 #: Window starts parsed at a time, and phrases of one group that a task compares in memory.
 SEGMENT, GROUP = 1 << 17, 20_000
+#: Bytes of phrases that are compared at a time; a group of one trigger is never cut.
+TOGETHER = 1 << 20
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,10 +87,6 @@ def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[i
             yield from zip((first + base).tolist(), (last + base).tolist(), (trigger[first] + base).tolist(), strict=True)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def phrases(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``gram, phrase`` (hashes), ``doc_id`` and ``place`` (first start, trigger's and last start's distance) of every run."""
 
@@ -114,68 +115,75 @@ def _packed(df: DataFrame) -> DataFrame:
     return map_batches(df, "doc_id bigint, z binary", work)
 
 
-def _windows(raw: bytes, length: int) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(raw[i : i + length]) for i in range(len(raw) - length + 1)]
-
-
-def _stretches(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Unions of windows at sorted starts."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return [(int(s[0]), int(s[-1]) + length) for s in np.split(starts, cut)]
+def repeated_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Which of the suffixes of ``data`` that begin ``at`` agree for ``length`` bytes with another one of the same ``group``.
+
+    The suffixes are sorted by group and then eight bytes at a time; those that are alone drop out. ``group`` is sorted."""
+    words = np.zeros(max(0, len(data) - 7), np.uint64)
+    for j in range(8):
+        words = words << np.uint64(8) | data[j : len(data) - 7 + j]
+    alive, rank = np.arange(len(at)), group
+    for depth in [*range(0, length - 8, 8), length - 8]:
+        key = words[at[alive] + depth]
+        order = np.lexsort((key, rank))
+        alive, key, rank = alive[order], key[order], rank[order]
+        same = (key[1:] == key[:-1]) & (rank[1:] == rank[:-1])
+        tied = np.append(same, False) | np.append(False, same)
+        rank = np.cumsum(np.append(True, ~same))[tied]
+        alive = alive[tied]
+        if not len(alive):
+            break
+    out = np.zeros(len(at), bool)
+    out[alive] = True
+    return out
 
 
-def _compare(frame: pa.Table, length: int, out: dict) -> None:
-    """Adds the repeated stretches of the phrases that occur once, among the phrases of one trigger content."""
+def _compare(frame: pa.Table, length: int) -> dict[str, list]:
+    """The repeated stretches of the phrases that occur once, among the phrases of one trigger content; ``frame`` is sorted by it."""
     contents = frame.column("content").to_pylist()
-    places, times, docs = (frame.column(c).to_numpy() for c in ("place", "times", "doc_id"))
-    sizes = np.array([len(c) - length + 1 for c in contents])
+    places, times, docs, grams = (frame.column(c).to_numpy() for c in ("place", "times", "doc_id", "gram"))
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    long = np.array([len(c) for c in contents])
+    sizes = long - length + 1
     edges = np.concatenate(([0], np.cumsum(sizes)))
-    hashes = np.empty(edges[-1], np.uint64)
-    for i, c in enumerate(contents):
-        hashes[edges[i] : edges[i + 1]] = _windows(c, length)
     owner = np.repeat(np.arange(len(contents)), sizes)
     inner = np.arange(edges[-1]) - edges[owner]
-    ahead = (places >> 8 & 255)[owner] - inner
-    with np.errstate(over="ignore"):
-        hashes += ahead.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    _, inverse, seen = np.unique(hashes, return_inverse=True, return_counts=True)
-    hit = (seen[inverse] > 1) & (times[owner] == 1)
-    for i in np.unique(owner[hit]):
-        mine = slice(edges[i], edges[i + 1])
-        for a, b in _stretches(np.flatnonzero(hit[mine]) + (places[i] >> 16), length):
-            for c, v in zip(("doc_id", "begin", "end"), (docs[i], a, b), strict=True):
-                out[c].append(v)
+    begin = np.concatenate(([0], np.cumsum(long)))[:-1]
+    group = np.cumsum(np.append(False, grams[1:] != grams[:-1]))
+    hit = np.flatnonzero(repeated_suffixes(data, begin[owner] + inner, group[owner], length) & (times[owner] == 1))
+    whose, start = owner[hit], inner[hit] + (places[owner[hit]] >> 16)
+    new = np.append(True, (whose[1:] != whose[:-1]) | (start[1:] - start[:-1] > length)) if len(hit) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
+    return {"doc_id": docs[whose[first]], "begin": start[first], "end": start[last] + length}
 
 
 def _compared(contents: DataFrame, length: int) -> DataFrame:
-    """``doc_id, begin, end``: groups by ``gram``, each together in a task and sorted, are compared one after the other."""
+    """``doc_id, begin, end``: groups by ``gram``, each together in a task and sorted, are compared many at a time."""
     columns = ("doc_id", "begin", "end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        keep_only(__name__)
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            grams = batch.column("gram").to_numpy()
-            if grams[0] == grams[-1] and len(held) > 1 and held[0].column("gram")[0].as_py() == grams[0]:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size < TOGETHER or held[0].column("gram")[0] == held[-1].column("gram")[-1]:
                 continue
-            table = pa.concat_tables(held).combine_chunks()
-            yield from done(table, last=False)
+            table = pa.Table.from_batches(held).combine_chunks()
             grams = table.column("gram").to_numpy()
-            held = [table.slice(int(np.searchsorted(grams, grams[-1])))]
+            cut = int(np.searchsorted(grams, grams[-1]))
+            yield done(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
         if held:
-            yield from done(pa.concat_tables(held).combine_chunks(), last=True)
+            yield done(pa.Table.from_batches(held).combine_chunks())
 
-    def done(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        grams = table.column("gram").to_numpy()
-        edges = [0, *(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), len(grams)]
-        out: dict[str, list] = {c: [] for c in columns}
-        for a, b in zip(edges[:-1] if last else edges[:-2], edges[1:], strict=False):
-            _compare(table.slice(a, b - a), length, out)
-        yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64()) for c in columns], names=list(columns))
+    def done(table: pa.Table) -> pa.RecordBatch:
+        out = _compare(table, length)
+        return pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64()) for c in columns], names=list(columns))
 
     return contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "doc_id bigint, begin bigint, end bigint")
 
@@ -186,12 +194,13 @@ def _exploded(contents: DataFrame, length: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("gram", "ahead", "window", "doc_id", "start", "times")}
         for r in batch.to_pylist():
-            for i, w in enumerate(_windows(r["content"], length)):
-                for c, v in zip(out, (r["gram"], (r["place"] >> 8 & 255) - i, _signed(w), r["doc_id"], (r["place"] >> 16) + i, r["times"]), strict=True):
+            raw = r["content"]
+            for i in range(len(raw) - length + 1):
+                for c, v in zip(out, (r["gram"], (r["place"] >> 8 & 255) - i, xxhash.xxh3_128_digest(raw[i : i + length]), r["doc_id"], (r["place"] >> 16) + i, r["times"]), strict=True):
                     out[c].append(v)
         return out
 
-    rows = map_batches(contents, "gram bigint, ahead int, window bigint, doc_id bigint, start bigint, times bigint", work)
+    rows = map_batches(contents, "gram bigint, ahead int, window binary, doc_id bigint, start bigint, times bigint", work)
     key = ["gram", "ahead", "window"]
     again = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*key)
     return rows.where(F.col("times") == 1).join(again, key).select("doc_id", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))

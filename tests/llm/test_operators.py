@@ -636,6 +636,18 @@ def test_repeats_of_all_kinds(spark, group, nothing):
         assert repeats.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("length", [8, 13, 40])
+def test_suffixes_equal_brute_force(length):
+    rnd = random.Random(length)
+    for _ in range(20):
+        raw = "".join(rnd.choice(("ab", "a", "abaab" * 8)) for _ in range(60)).encode()
+        at = np.array(sorted(rnd.sample(range(len(raw) - length), 50)))
+        group = np.sort(np.array([rnd.randrange(3) for _ in at]))
+        seen = Counter((g, raw[i : i + length]) for g, i in zip(group, at, strict=True))
+        got = repeats.repeated_suffixes(np.frombuffer(raw, np.uint8), at, group, length)
+        assert got.tolist() == [seen[g, raw[i : i + length]] > 1 for g, i in zip(group, at, strict=True)]
+
+
 def test_long_texts_are_parsed_in_segments(monkeypatch):
     raw = bytes(random.Random(1).randrange(97, 105) for _ in range(5000))
     whole = {(a, z): t for a, z, t in repeats.runs(raw)}
