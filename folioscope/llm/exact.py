@@ -123,9 +123,10 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     doubtful = materialised(doubtful)
     if doubtful.isEmpty():
         return without_ids(df, gone, id_col)
-    plain = df.join(gone.unionByName(doubtful), own.eqNullSafe(F.col("__id")), "left_anti")
-    stays = found.where("kept").join(doubtful, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    told = df.join(doubtful, own.eqNullSafe(F.col("__id")), "left_semi").withColumn("__own", F.sha2(normalised(F.col(text_col)), 256))
-    told = told.join(stays, own.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    once = told.groupBy(own.alias("__id"), "__own").agg(F.first(F.struct(*[F.col(c) for c in df.columns])).alias("__row"))
-    return plain.unionByName(once.select("__row.*"))
+    away = gone.unionByName(doubtful)
+    plain = df.join(away, own.eqNullSafe(away["__id"]), "left_anti")
+    stays = found.where("kept").join(doubtful, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("doc_id", "text_sha256")
+    told = df.select(F.struct(*[df[c] for c in df.columns]).alias("whole"), own.alias("own"), F.sha2(normalised(df[text_col]), 256).alias("sha"))
+    told = told.join(doubtful, F.col("own").eqNullSafe(F.col("__id")), "left_semi")
+    told = told.join(stays, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256")), "left_semi")
+    return plain.unionByName(told.groupBy("own", "sha").agg(F.first("whole").alias("whole")).select("whole.*"))

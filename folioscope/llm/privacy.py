@@ -10,8 +10,8 @@ There is no least number of documents. The PMI is smoothed instead, by one more
 entity, so that the fewer documents a term has, the less it is believed. Terms, entities, pairs and the corpus are all counted over
 distinct texts, so copies change nothing.
 
-Null text counts as empty and has no spans. Repeated rows get the same spans each; columns other than the id and the text
-are ignored. Ids are expected to be unique. An empty table gives no rows.
+Null text counts as empty and has no spans. Repeated rows get the same spans each, and rows of one id with different texts each
+those of its own text; columns other than the id and the text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,8 +88,8 @@ def terms_of(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
 
 
 def find_base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``spans`` (kind, begin, end), distinct ``entities`` and, where there are any, distinct ``terms``; ``key`` is of the text."""
-    schema = "doc_id bigint, key binary, spans array<struct<kind:string,begin:int,end:int>>, entities array<string>, terms array<string>"
+    """``doc_id``, ``spans`` (kind, begin, end), distinct ``entities`` and, where there are any, distinct ``terms``; ``key`` and ``h`` are of the text."""
+    schema = "doc_id bigint, h bigint, key binary, spans array<struct<kind:string,begin:int,end:int>>, entities array<string>, terms array<string>"
 
     def work(batch: pa.RecordBatch) -> dict:
         keys, spans, entities, terms = [], [], [], []
@@ -99,9 +99,9 @@ def find_base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             spans.append([{"kind": k, "begin": a, "end": b} for k, a, b in own])
             entities.append(list({f"{k}:{text[a:b].lower()}" for k, a, b in own}))
             terms.append(list(terms_of(text, own)) if own else [])
-        return {"doc_id": batch.column("doc_id"), "key": keys, "spans": spans, "entities": entities, "terms": terms}
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "key": keys, "spans": spans, "entities": entities, "terms": terms}
 
-    return map_batches(id_and_text(df, id_col, text_col), schema, work)
+    return map_batches(id_and_text(df, id_col, text_col).withColumn("h", F.xxhash64("text")), schema, work)
 
 
 def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,27 +117,27 @@ def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def disclosing_terms(rows: DataFrame, counts: DataFrame, documents: int, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """``entity, term, action`` for each pair beyond a threshold. ``rows`` has ``doc_id``, ``entities`` and ``terms``.
+    """``entity, term, action`` for each pair beyond a threshold. ``rows`` has ``key``, which is of a text, ``entities`` and ``terms``.
 
     A pair cannot stand in more documents than its term or its entity. Those that would stay below the threshold even then, and
     so nearly all pairs with a common term, are left out before pairs are formed, which loses none."""
-    held = rows.select("doc_id", F.explode("entities").alias("entity"))
+    held = rows.select("key", F.explode("entities").alias("entity"))
     held = held.join(held.groupBy("entity").agg(F.count("*").alias("contexts")), "entity")
-    known = rows.select("doc_id", F.explode("terms").alias("term")).join(counts, "term")
+    known = rows.select("key", F.explode("terms").alias("term")).join(counts, "term")
     n = F.lit(float(max(documents, 2)))
 
     def share(both):
         pmi, content = F.log(n * both / ((F.col("docs") + 1) * F.col("contexts"))), F.log(n / F.col("contexts"))
         return F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
 
-    pairs = known.join(held, "doc_id").where(share(F.least("docs", "contexts")) >= generalise_at)
+    pairs = known.join(held, "key").where(share(F.least("docs", "contexts")) >= generalise_at)
     pairs = pairs.groupBy("entity", "term", "docs", "contexts").agg(F.count("*").alias("both")).withColumn("share", share(F.col("both")))
     action = F.when(F.col("share") >= remove_at, F.lit("remove")).when(F.col("share") >= generalise_at, F.lit("generalise"))
     return pairs.select("entity", "term", action.alias("action")).where(F.col("action").isNotNull())
 
 
 def find_places(df: DataFrame, risky: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, begin, end, kind`` of each place of a term of ``risky`` (``term, kind``), in all documents.
+    """``doc_id, h, begin, end, kind`` of each place of a term of ``risky`` (``term, kind``), in all documents; ``h`` is of the text.
 
     A table of bits of fixed size says in the scan which words these may be; the join then knows."""
     places = F.explode(F.array(*[F.pmod(F.crc32(F.concat(F.col("term"), F.lit(e)).cast("binary")), F.lit(FILTER_BITS)) for e in ENDINGS]))
@@ -146,7 +146,7 @@ def find_places(df: DataFrame, risky: DataFrame, id_col: str = "doc_id", text_co
 
     def work(batch: pa.RecordBatch) -> dict | None:
         bits, endings, out = shared.value, [e.encode() for e in ENDINGS], []
-        for own, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for own, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
             maybe = set()
             for word in set(WORD.findall(text)):
                 own_sum = zlib.crc32(word.lower().encode())
@@ -157,30 +157,33 @@ def find_places(df: DataFrame, risky: DataFrame, id_col: str = "doc_id", text_co
                 else:
                     maybe.add(word.lower())
             if maybe:
-                out += [(own, t, a, b) for t, a, b in words(text, base_spans(text)) if t in maybe]
-        return dict(zip(("doc_id", "term", "begin", "end"), map(list, zip(*out, strict=True)), strict=True)) if out else None
+                out += [(own, h, t, a, b) for t, a, b in words(text, base_spans(text)) if t in maybe]
+        return dict(zip(("doc_id", "h", "term", "begin", "end"), map(list, zip(*out, strict=True)), strict=True)) if out else None
 
-    found = map_batches(id_and_text(df, id_col, text_col), "doc_id bigint, term string, begin int, end int", work)
-    return found.join(risky, "term").select("doc_id", "begin", "end", "kind")
+    texts = id_and_text(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    found = map_batches(texts, "doc_id bigint, h bigint, term string, begin int, end int", work)
+    return found.join(risky, "term").select("doc_id", "h", "begin", "end", "kind")
 
 
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``base`` and ``terms`` (arrays of kind, begin, end; terms sorted, each place once) of every document."""
+    """``doc_id``, ``h`` (a hash of the text), ``base`` and ``terms`` (arrays of kind, begin, end; terms sorted, each place once) of every row."""
     rows = materialised(find_base(df, id_col, text_col))
-    # Of equal texts the one with the smallest id counts. Only texts that may be copies are shuffled to leave these out.
-    firsts = materialised(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-    copies = materialised(rows.select("doc_id").join(firsts, "doc_id", "left_anti"))
-    maybe = id_filter(copies, "doc_id")(F.col("doc_id"))
+    # Of rows with one text the one with the smallest id counts, once. Only texts that may be copies are shuffled to leave these out.
+    seen = rows.groupBy("key", "h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    seen = materialised(seen)
+    again = materialised(seen.where(F.col("n") > 1).select("h"))
+    maybe = id_filter(again, "h")(F.xxhash64("text"))
     texts = id_and_text(df, id_col, text_col)
-    texts = texts.where(~maybe).unionByName(texts.where(maybe).join(copies, "doc_id", "left_anti"))
-    own = rows.where(F.size("entities") > 0).join(copies, "doc_id", "left_anti")
-    pairs = disclosing_terms(own, term_counts(texts), firsts.count())
+    told = texts.where(maybe).groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+    own = rows.where(F.size("entities") > 0).groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    pairs = disclosing_terms(own, term_counts(texts.where(~maybe).unionByName(told)), seen.count())
     risky = materialised(pairs.groupBy("term").agg(F.max("action").alias("kind")))
-    hits = find_places(df, risky, id_col, text_col).groupBy("doc_id", "begin", "end").agg(F.max("kind").alias("kind"))
+    hits = find_places(df, risky, id_col, text_col).groupBy("doc_id", "h", "begin", "end").agg(F.max("kind").alias("kind"))
     # A document has at most one hit a word, so a group is bounded by its text.
-    terms = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "begin", "end"))).alias("terms"))
+    terms = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("kind", "begin", "end"))).alias("hits"))
+    own_row = rows["doc_id"].eqNullSafe(terms["doc_id"]) & (rows["h"] == terms["h"])
     empty = F.expr("cast(array() as array<struct<kind:string,begin:int,end:int>>)")
-    return rows.select("doc_id", F.col("spans").alias("base")).join(terms, "doc_id", "left").select("doc_id", "base", F.coalesce("terms", empty).alias("terms"))
+    return rows.join(terms, own_row, "left").select(rows["doc_id"], rows["h"], F.col("spans").alias("base"), F.coalesce("hits", empty).alias("terms"))
 
 
 def sanitise_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -203,9 +206,12 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Base spans are found again in the text itself, so only documents with disclosing terms have to be joined with anything. A
     table of bits of fixed size says in the scan which these may be; the other texts are not shuffled."""
-    terms = find_spans(df, id_col, text_col).where(F.size("terms") > 0).groupBy(F.col("doc_id").alias("__id")).agg(F.first("terms").alias("__terms"))
-    terms = materialised(terms)
-    maybe = id_filter(terms, "__id")(F.col(id_col).cast("long"))
+    found = find_spans(df, id_col, text_col).where(F.size("terms") > 0)
+    terms = materialised(found.groupBy("doc_id", "h").agg(F.first("terms").alias("terms")))
+    # All of a row's other columns as one, so that their names cannot clash.
+    rows = df.select(F.struct(F.lit(0).alias("_"), *[df[c] for c in df.columns if c != text_col]).alias("whole"), df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    maybe = id_filter(terms, "h")(F.col("h"))
 
     def clean(texts, found):
         import pandas as pd
@@ -219,12 +225,11 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return pd.Series([one(t, f) for t, f in zip(texts, found, strict=True)], dtype=object)
 
     cleaned = F.pandas_udf(clean, "string")
-    none = F.lit(None).cast("array<struct<kind:string,begin:int,end:int>>")
-    plain = df.where(~maybe).withColumn("__terms", none)
-    asked = df.where(maybe)
-    asked = asked.join(terms, asked[id_col].cast("long") == terms["__id"], "left").drop("__id")
-    both = plain.unionByName(asked)
-    return both.withColumn(text_col, cleaned(F.col(text_col), F.col("__terms"))).select(*df.columns)
+    plain = rows.where(~maybe).withColumn("terms", F.lit(None).cast("array<struct<kind:string,begin:int,end:int>>"))
+    asked = rows.where(maybe)
+    asked = asked.join(terms, asked["doc_id"].eqNullSafe(terms["doc_id"]) & (asked["h"] == terms["h"]), "left").select("whole", asked["doc_id"], "text", asked["h"], "terms")
+    both = plain.unionByName(asked).withColumn("clean", cleaned("text", "terms"))
+    return both.select(*[F.col("clean").alias(c) if c == text_col else F.col("whole").getField(c).alias(c) for c in df.columns])
 
 
 def spans_text(*columns: str):
