@@ -26,8 +26,8 @@ from .common import id_and_text, map_batches, materialised, remembers
 from .linear import solve, times
 
 CAPACITY, STEP, END_ID = 2048, 8, 1
-#: Entries of a worker's memo of tokenised words; it is emptied when full.
-MEMO = 700_000
+#: Entries of a worker's memo of tokenised words and parts of words; it is emptied when full.
+MEMO = 1_000_000
 #: Parts of words that are tokenised in one call, and a mark between them: one digit is always one token.
 TOGETHER, MARK = 2000, "0"
 #: Punctuation that is split off a word's end.
@@ -47,8 +47,7 @@ class WordTokens:
 
         self.tok = Tokenizer.from_file(path)
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
 
     def _encode(self, parts: list[str]) -> None:
         """Letters go many to a call, between marks that no such part holds."""
@@ -61,16 +60,14 @@ class WordTokens:
             cuts = np.flatnonzero(ids == self.mark)
             raw = ids.tobytes()
             for p, a, b in zip(some, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self.parts[p] = raw[a:b]
+                self.memo[p.encode()] = raw[a:b]
         for p, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+            self.memo[p.encode()] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) > MEMO:
-            self.words.clear()
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        split = []
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        memo, split = self.memo, []
         for w in words:
             text = w.decode()
             core = text.rstrip(CLOSING)
@@ -78,21 +75,21 @@ class WordTokens:
                 split.append((w, core.lower() if core.isascii() else core, text[len(core) :]))
             else:
                 split.append((w, text, ""))
-        self._encode([p for p in {p for _, *both in split for p in both if p} if p not in self.parts])
+        self._encode([p for p in {p for _, *both in split for p in both if p} if p.encode() not in memo])
         for w, core, rest in split:
-            self.words[w] = self.parts[core] + self.parts[rest] if rest else self.parts[core]
+            memo[w] = memo[core.encode()] + memo[rest.encode()] if rest else memo[core.encode()]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        get = self.words.get
+        get = self.memo.get
         for text in texts:
             words = text.encode().split()
             found = list(map(get, words))
             if None in found:
-                self._learn([w for w in set(words) if w not in self.words])
+                self._learn([w for w in set(words) if w not in self.memo])
                 found = list(map(get, words))
                 if None in found:  # the memo was emptied meanwhile
-                    self._learn([w for w in set(words) if w not in self.words])
+                    self._learn([w for w in set(words) if w not in self.memo])
                     found = list(map(get, words))
             out.append(b"".join(found))
         return out
