@@ -108,10 +108,16 @@ def without_tags(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]+>", "")
 
 
+#: Characters that LaTeX source writes differently.
+LATEX = {
+    "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}",
+    "\u201c": "``", "\u201d": "''", "\u2018": "`", "\u2019": "'", "\u2013": "--", "\u2014": "---", "\u00a0": "~",
+}
+
+
 def latex_escaped(s: Column) -> Column:
     """Plain text as LaTeX source, each character once."""
-    special = {"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}"}
-    table = F.create_map(*[F.lit(x) for kv in special.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in LATEX.items() for x in kv])
     return F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
 
 
