@@ -75,10 +75,12 @@ def e26(spark, d):
     return S.table(spark, d, "documents").select("doc_id", T.reference_id(entry).alias("ref"))
 
 
-@query("e13_latex_escapes", "SELECT item_id, replace(replace(replace('50% & ' || substr(text, 1, 20) || '_#', '%', '\\%'), '&', '\\&'), '_#', '\\_\\#') AS tex FROM benchmark WHERE NOT regexp_matches(text, '[%&_#$~^{}\\\\]')")
+@query("e13_latex_escapes", r"""WITH t AS (SELECT item_id, text || ' 50% & #1_{a}~^\ “q” ‘s’ a–b—c' AS s FROM benchmark), c AS (SELECT item_id, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) AS n FROM t)
+       SELECT item_id, string_agg(CASE c WHEN '\' THEN '\textbackslash{}' WHEN '~' THEN '\textasciitilde{}' WHEN '^' THEN '\textasciicircum{}' WHEN '“' THEN '``' WHEN '”' THEN '''''' WHEN '‘' THEN '`' WHEN '’' THEN '''' WHEN '–' THEN '--' WHEN '—' THEN '---'
+              ELSE CASE WHEN c IN ('&', '%', '$', '#', '_', '{', '}') THEN '\' || c ELSE c END END, '' ORDER BY n) AS tex FROM c GROUP BY item_id""")
 def e13(spark, d):
-    b = S.table(spark, d, "benchmark").where(~F.col("text").rlike(r"[%&_#$~^{}\\]"))
-    return b.select("item_id", T.latex_escaped(F.concat(F.lit("50% & "), F.left("text", F.lit(20)), F.lit("_#"))).alias("tex"))
+    odd = F.concat(F.col("text"), F.lit(" 50% & #1_{a}~^\\ “q” ‘s’ a–b—c"))
+    return S.table(spark, d, "benchmark").select("item_id", T.latex_escaped(odd).alias("tex"))
 
 
 @query("a12_occurrences", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import blocks as B
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -151,7 +152,16 @@ def comments_of(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.explode("comments").alias("c")).select("doc_id", "c.*")
 
 
-def caption_queue(parsed: DataFrame) -> DataFrame:
-    """Captions of figures in text boxes as a queue for figures without one: ``doc_id, n, caption``."""
-    figures = F.filter("captions", lambda c: ~T.without_tags(c).rlike(T.TABLE_CAPTION))
-    return parsed.select("doc_id", F.posexplode(figures).alias("n", "caption")).withColumn("n", F.col("n") + 1)
+def caption_queue(parsed: DataFrame, kind: str = "figure") -> DataFrame:
+    """Captions in text boxes as a queue for figures, or tables, without one: ``doc_id, n, caption``."""
+    table = lambda c: T.without_tags(c).rlike(T.TABLE_CAPTION)
+    own = F.filter("captions", table if kind == "table" else lambda c: ~table(c))
+    return parsed.select("doc_id", F.posexplode(own).alias("n", "caption")).withColumn("n", F.col("n") + 1)
+
+
+def word_blocks(parsed: DataFrame) -> DataFrame:
+    """Blocks of Word files; figures and tables without a caption take those in text boxes, first come first served."""
+    raw = B.parse_blocks(parsed.select("doc_id", "html"))
+    for kind in ("figure", "table"):
+        raw = B.paired_captions(raw, kind, caption_queue(parsed, kind))
+    return B.finished(raw)

@@ -85,6 +85,24 @@ def test_word_files(spark):
     assert parsed.where("error is not null").count() == 2 and docx.caption_queue(parsed).first()["n"] == 1
 
 
+def test_captions_in_text_boxes_reach_figures(spark):
+    parsed = spark.createDataFrame(
+        [(1, "<p>Words.</p><p><img src='a'></p><p>More.</p><p><img src='b'></p><p>Figure 9. Own</p><table><tr><td>1</td></tr></table>", ["Figure 1. First", "Table 3. Sizes", "Figure 2. Never"])], "doc_id bigint, html string, captions array<string>"
+    )
+    rows = {r["block_id"]: r["caption"] for r in docx.word_blocks(parsed).where("kind in ('figure', 'table')").collect()}
+    assert rows == {"fig-1": "Figure 1. First", "fig-9": "Figure 9. Own", "tab-3": "Table 3. Sizes"}
+
+
+def test_rows_of_cells_with_as_many_lines_are_split(spark):
+    rows = [["a\nb", "", "c\nd"], ["x\ny", "z"], ["", None], ["one", "two"]]
+    got = spark.createDataFrame([(rows,)], "rows array<array<string>>").select(L.split_rows(F.col("rows")).alias("r")).first()["r"]
+    assert got == [["a", "", "c"], ["b", "", "d"], ["x y", "z"], ["one", "two"]]
+
+
+def test_baselines_and_hosts():
+    assert L.baselines([10.0, 10.5, 24.0, 11.9], [10.0, 6.0, 10.0, 10.0]) == [0, 0, 1, 0]
+
+
 def test_words_to_paragraphs(spark):
     words, n = [], 0
 
