@@ -1,8 +1,9 @@
 """Anchoring quotes to the blocks that hold them.
 
-The join on containment has no equality for quotes that name no document, so candidates are found first by a shared trigram
-of words: a quote's first inner trigram is among the trigrams of any block that holds it. Only candidates are compared.
-Quotes too short for that are compared with every block; there are few, and their number is checked.
+The join on containment has no equality for quotes that name no document, so candidates are found first by what a block must have
+to hold a quote: the quote's inner words, up to three of them, or, where it has no inner word, its first characters. Keys
+are joined with the hash of a text only; texts come in for the pairs that are left, and only these are compared. An empty quote is
+held by nothing.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import nth_offset, occurrences, squeeze
+from ..functions.text import squeeze
 
 #: Lengths of the prefixes that are tried after the whole quote; fixed values.
 PREFIXES = (120, 60, 30)
-#: Most quotes without a trigram that are broadcast for a comparison with every block.
-MAX_SHORT = 10_000
+#: Most inner words, and most first characters, of a quote that make its key.
+INNER, FRONT = 3, 3
 
 
 def probes(quote: Column) -> Column:
@@ -29,20 +30,36 @@ def _words(s: Column) -> Column:
     return F.split(s, r"\s+")
 
 
+def _pieces(parts: Column, n: int, glue: str) -> Column:
+    """Hashes of the distinct runs of ``n`` elements."""
+    starts = F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - (n - 1))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.lit(f"{n}{glue}"), F.array_join(F.slice(parts, i, n), glue))))
+
+
+def _fronts(letters: Column, n: int) -> Column:
+    """Hashes of the distinct runs of ``n`` characters."""
+    run = lambda i: F.xxhash64(F.lit(str(n)), F.concat(*[F.get(letters, i + k) for k in range(n)]))
+    starts = F.when(F.size(letters) >= n, F.sequence(F.lit(0), F.size(letters) - n)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.array_distinct(F.transform(starts, run))
+
+
 def contains_join(quotes: DataFrame, texts: DataFrame, quote: str, text: str) -> DataFrame:
     """Pairs of a row of ``quotes`` and a row of ``texts`` whose text holds the quote. Column names must differ."""
-    asked = quotes.withColumn("__w", _words(F.col(quote)))
-    long = asked.where(F.size("__w") >= 5).withColumn("__k", F.xxhash64(F.concat_ws(" ", F.slice("__w", 2, 3)))).drop("__w")
-    short = asked.where(F.size("__w") < 5).drop("__w")
-    grams = F.transform(F.sequence(F.lit(1), F.size("__w") - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("__w", i, 3))))
-    keyed = texts.withColumn("__w", _words(F.col(text))).where(F.size("__w") >= 3).withColumn("__k", F.explode(F.array_distinct(grams))).drop("__w")
-    # The keys of the quotes, not the texts, decide what is joined; texts without one of them fall away at once.
-    hits = keyed.join(long, "__k").where(F.contains(F.col(text), F.col(quote))).drop("__k")
-    few = short.limit(MAX_SHORT + 1)
-    if few.count() > MAX_SHORT:
-        raise ValueError(f"more than {MAX_SHORT} quotes of under five words; give them a document to look in")
-    rest = texts.join(F.broadcast(short), F.contains(F.col(text), F.col(quote)))
-    return hits.unionByName(rest.select(*hits.columns))
+    words = _words(F.col(quote))
+    inner = F.least(F.size(words) - 2, F.lit(INNER))
+    front = F.least(F.length(quote), F.lit(FRONT))
+    by_words = F.xxhash64(F.concat(inner.cast("string"), F.lit(" ")), F.array_join(F.slice(words, 2, F.greatest(inner, F.lit(0))), " "))
+    by_front = F.xxhash64(front.cast("string"), F.left(F.col(quote), front))
+    asked = quotes.where(F.length(quote) > 0).withColumns({"__n": F.when(inner >= 1, inner).otherwise(-front), "__k": F.when(inner >= 1, by_words).otherwise(by_front)})
+    kinds = sorted(r["__n"] for r in asked.select("__n").distinct().collect())  # at most INNER + FRONT of them
+    of = [_pieces(F.col("__w"), n, " ") if n > 0 else _fronts(F.col("__c"), -n) for n in kinds]
+    keyed = texts.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), F.col(text))})
+    if not kinds:
+        return keyed.join(asked, keyed["__a"] == asked["__k"]).drop("__a", "__b", "__n", "__k")  # no rows
+    # The keys of the quotes, not the texts, decide what is joined; equal texts are one here.
+    split = keyed.withColumns({"__w": _words(F.col(text)), "__c": F.split(F.col(text), "")})
+    found = split.select("__a", "__b", F.explode(F.concat(*of)).alias("__k")).join(asked.select("__k").distinct(), "__k").distinct()
+    return found.join(asked, "__k").drop("__k", "__n").join(keyed, ["__a", "__b"]).where(F.contains(F.col(text), F.col(quote))).drop("__a", "__b")
 
 
 def first_match(quotes: DataFrame, texts: DataFrame, key: str, quote: str, order: list[str], text: str = "text") -> DataFrame:
@@ -64,11 +81,6 @@ def resolve(hits: DataFrame, quotes: DataFrame, key: str, block: str, order: str
     return out.select(key, "n_hits", F.transform(F.slice("__hits", 1, 6), lambda h: h[block]).alias("first_hits"), verdict.alias("verdict"))
 
 
-def with_offsets(df: DataFrame, text: str, quote: str, occurrence: str) -> DataFrame:
-    """Adds ``occurrences`` and ``offset``, that of the quote's occurrence ``occurrence``."""
-    return df.withColumn("occurrences", occurrences(F.col(text), F.col(quote))).withColumn("offset", nth_offset(F.col(text), F.col(quote), F.col(occurrence)))
-
-
 def orphans(notes: DataFrame, texts: DataFrame, edits: DataFrame) -> DataFrame:
     """Text notes whose quote is no longer in their block: ``orphan``, or ``edited quote`` where the block has an edit."""
     own = notes.where(F.col("kind") == "text").select("doc_id", "id", "block", "exact")

@@ -54,18 +54,17 @@ def e32(spark, d):
 
 
 @query("e33_hunk_context", """WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)
-       SELECT conv_id, turn, array_to_string(w[greatest(1, len(w) - 7):], '') || '[x]' || array_to_string(w[1:8], '') AS context FROM t""")
+       SELECT conv_id, turn, trim(array_to_string(w[greatest(1, len(w) - 7):], '') || '[x]' || array_to_string(w[1:8], '')) AS context FROM t""")
 def e33(spark, d):
     w = F.split("text", " ")
-    return S.table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - 7), F.lit(8)), ""), F.lit("[x]"), F.array_join(F.slice(w, F.lit(1), F.lit(8)), "")).alias("context"))
+    return S.table(spark, d, "conversations").select("conv_id", "turn", E.shown_context(w, F.lit("x"), w).alias("context"))
 
 
 @query("w26_overlapping_hunks", """SELECT l_orderkey, s, e, coalesce(lag(e) OVER (PARTITION BY l_orderkey ORDER BY s, e) > s, FALSE) AS clash
        FROM (SELECT l_orderkey, l_partkey AS s, l_partkey + CAST(l_quantity * 10 AS BIGINT) AS e FROM lineitem)""")
 def w26(spark, d):
     rows = S.table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("s"), (F.col("l_partkey") + (F.col("l_quantity") * 10).cast("long")).alias("e"))
-    ahead = F.lag("e").over(Window.partitionBy("l_orderkey").orderBy("s", "e"))
-    return rows.withColumn("clash", F.coalesce(ahead > F.col("s"), F.lit(False)))
+    return rows.withColumn("clash", E.begins_too_soon(F.col("s"), F.col("e"), ["l_orderkey"], ["s", "e"]))
 
 
 @query("j11_changed_cells", """WITH a AS (SELECT item_id, unnest(string_split(text, ' ')) AS c, generate_subscripts(string_split(text, ' '), 1) AS n FROM benchmark)
@@ -83,13 +82,11 @@ def _words(spark, d):
     )
 
 
-@query("a4_body_sizes", """WITH s AS (SELECT l_orderkey AS doc_id, round_even((l_suppkey % 40 + 16) / 3.0 * 2, 0) / 2 AS size, sum(length('w' || CAST(l_partkey AS VARCHAR))) AS n, min(l_linenumber) AS first_no FROM lineitem GROUP BY 1, 2)
-       SELECT doc_id, arg_max(size, n * 1000 - first_no) AS body FROM s GROUP BY doc_id HAVING count(*) = count(DISTINCT n * 1000 - first_no)""")
+@query("a4_body_sizes", """WITH s AS (SELECT l_orderkey AS doc_id, round_even((l_suppkey % 40 + 16) / 3.0 * 2, 0) / 2 AS size, sum(length('w' || CAST(l_partkey AS VARCHAR))) AS n, min(l_linenumber) AS first_no FROM lineitem GROUP BY 1, 2),
+       o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_no, size DESC) AS k FROM s)
+       SELECT doc_id, size AS body FROM o WHERE k = 1""")
 def a4(spark, d):
-    words = _words(spark, d).withColumn("size", F.col("size") / 3.0)
-    sizes = words.groupBy("doc_id", (F.bround(F.col("size") * 2) / 2).alias("s")).agg(F.sum(F.length("text")).alias("n"), F.min("word_no").alias("f"))
-    clear = sizes.groupBy("doc_id").agg(F.count("*").alias("a"), F.countDistinct(F.col("n") * 1000 - F.col("f")).alias("b")).where("a = b").select("doc_id")
-    return L.body_sizes(words).join(clear, "doc_id", "left_semi")
+    return L.body_sizes(_words(spark, d).withColumn("size", F.col("size") / 3.0))
 
 
 @query("a6_median_sizes", "SELECT l_orderkey AS doc_id, median(l_suppkey % 40 + 16) AS size FROM lineitem GROUP BY 1")

@@ -234,7 +234,7 @@ def e4b(spark, d):
     return N.relabel(S.notes(spark, d), "author3", "").select("id", "op", "data")
 
 
-_SHORT = "SELECT item_id, substr(text, 1, 40) AS quote FROM benchmark"
+_SHORT = "SELECT item_id, text AS quote FROM benchmark"
 
 
 @query("j1_anchor_first_match", f"""WITH p AS (SELECT item_id, unnest([q, t, substr(t, 1, 120), substr(t, 1, 60), substr(t, 1, 30)]) AS probe, generate_subscripts([1, 2, 3, 4, 5], 1) - 1 AS probe_pos
@@ -249,7 +249,7 @@ def j1(spark, d):
 @query("j2_quote_in_blocks", f"""WITH {S.BLOCKS}, q AS ({_SHORT}), h AS (SELECT item_id, count(*) AS n FROM q JOIN blocks ON contains(blocks.text, q.quote) GROUP BY 1)
        SELECT q.item_id, coalesce(h.n, 0) AS n_hits, CASE WHEN h.n IS NULL THEN 'missing' WHEN h.n = 1 THEN 'found' ELSE 'ambiguous' END AS verdict FROM q LEFT JOIN h USING (item_id)""")
 def j2(spark, d):
-    quotes = S.table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("quote"))
+    quotes = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     blocks = S.blocks(spark, d).withColumn("place", F.struct("doc_id", "ord"))
     hits = anchors.contains_join(quotes, blocks, "quote", "text")
     return anchors.resolve(hits, quotes, "item_id", "block_id", "place").select("item_id", "n_hits", "verdict")

@@ -116,3 +116,20 @@ def test_store_merge(spark):
     writes = spark.createDataFrame([("a", "set", "n", 1), ("b", "update", "n", 1), ("c", "delete", None, None), ("d", "set", "new", None), ("e", "update", "n", None)], "id string, op string, data string, if_version bigint")
     out = {r["id"]: tuple(r)[1:] for r in store.merge(now, writes).collect()}
     assert out == {"a": (2, "n", "written"), "b": (2, "y", "conflict"), "c": (None, None, "deleted"), "d": (1, "new", "written"), "e": (None, None, "missing")}
+
+
+def test_quotes_of_every_length_find_all_texts(spark):
+    import random
+
+    from folioscope.operators import anchors
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(("alpha", "be", "c", "delta  x", "é", "over\nall")) for _ in range(rnd.randrange(12))) for _ in range(120)] + ["", None, "ab"]
+    quotes = [t[a : a + n] for t in texts if t for a, n in [(rnd.randrange(len(t)), rnd.choice((1, 2, 3, 5, 9, 20, 60)))] for _ in range(2)] + ["", "nowhere", "a b", " "]
+    q = spark.createDataFrame(list(enumerate(quotes)), "q bigint, quote string")
+    t = spark.createDataFrame(list(enumerate(texts)), "d bigint, text string")
+    got = sorted((r["q"], r["d"]) for r in anchors.contains_join(q, t, "quote", "text").collect())
+    assert got == [(i, j) for i, quote in enumerate(quotes) for j, text in enumerate(texts) if text is not None and quote and quote in text]
+    assert anchors.contains_join(q.where("quote = ''"), t, "quote", "text").count() == 0
+    plan = anchors.contains_join(q, t, "quote", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
