@@ -2,6 +2,10 @@
 
 Each stage takes the rows that the stage before it kept and returns them in the same columns; the last returns the pieces of
 packed sequences. A stage's own statistics cover all rows that it is given.
+
+Null text counts as empty everywhere and stays null until it is packed, as a document of the closing id alone; null and empty texts
+are no near copies of anything, and one of them stays as an exact copy. Of ties the smallest id stays; of repeated rows one does. An
+empty table passes through every stage, and further columns pass through all but the last, whatever their names.
 """
 
 from __future__ import annotations
