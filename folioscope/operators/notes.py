@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import nth_offset, squeeze, strip
+from ..functions.text import nth_offset, squeeze, strip, without_tags
 from ..schemas import CATEGORIES, NOTE_FIELDS, REPLY_FIELDS
 
 UNKNOWN_BLOCK = 1_000_000
@@ -347,9 +347,15 @@ def addressed(notes: DataFrame, edits: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("addressed_by").isNotNull(), "done").otherwise(F.col("status")))
 
 
-def apply_suggestions(notes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edits that put a note's suggestion in the place of its quote: ``doc_id, block, text, baseText, addresses``."""
+def apply_suggestions(notes: DataFrame, texts: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Edits that put a note's suggestion in the place of its quote: ``doc_id, block, text, baseText, addresses``.
+
+    Given ``blocks``, quotes that run over several cells of a table give none: these are for the editor."""
     rows = notes.where((F.col("kind") == "text") & (_empty("suggestion") != "")).join(texts.select("doc_id", F.col("block_id").alias("block"), "text"), ["doc_id", "block"])
+    if blocks is not None:
+        parts = F.concat(F.array(F.coalesce("caption", F.lit(""))), F.flatten("rows"))
+        tables = blocks.where("kind = 'table'").select("doc_id", F.col("block_id").alias("block"), F.transform(parts, without_tags).alias("__parts"))
+        rows = rows.join(tables, ["doc_id", "block"], "left").where(F.col("__parts").isNull() | F.exists("__parts", lambda c: F.contains(c, F.col("exact"))))
     at = nth_offset(F.col("text"), F.col("exact"), F.coalesce("occ", F.lit(0)))
     new = F.concat(F.left("text", at.cast("int")), F.col("suggestion"), F.substr("text", (at + F.length("exact") + 1).cast("int")))
     return rows.where(at >= 0).select("doc_id", "id", "block", new.alias("text"), F.col("text").alias("baseText"), F.array("id").alias("addresses"))

@@ -133,3 +133,10 @@ def test_quotes_of_every_length_find_all_texts(spark):
     assert anchors.contains_join(q.where("quote = ''"), t, "quote", "text").count() == 0
     plan = anchors.contains_join(q, t, "quote", "text")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_suggestions_over_cells_are_for_the_editor(spark):
+    notes = spark.createDataFrame([(1, "n1", "text", "t", "2140", "x", 0), (1, "n2", "text", "t", "21", "y", 0), (1, "n3", "text", "b", "a b", "c", 0)], "doc_id bigint, id string, kind string, block string, exact string, suggestion string, occ int")
+    texts = spark.createDataFrame([(1, "t", "Sizes2140"), (1, "b", "a b")], "doc_id bigint, block_id string, text string")
+    blocks = spark.createDataFrame([(1, "t", "table", "Sizes", [["<b>21</b>", "40"]]), (1, "b", "p", None, None)], "doc_id bigint, block_id string, kind string, caption string, rows array<array<string>>")
+    assert {r["id"]: r["text"] for r in N.apply_suggestions(notes, texts, blocks).collect()} == {"n2": "Sizesy40", "n3": "c"}
