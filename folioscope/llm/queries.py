@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, media, ngram_join, packing, piece_codec, privacy, repeats, toxicity, url_filter
+from . import alignment, collocations, exact, language, media, ngram_join, packing, piece_codec, privacy, repeats, toxicity, url_filter
 from .common import table
 
 
@@ -70,6 +70,15 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_privacy,
         op9_language,
         op10_repeats,
+        op12_collocations,
+        op13_token_alignment,
     )
 }
 ORACLES: dict[str, str] = {
@@ -118,4 +129,41 @@ ORACLES: dict[str, str] = {
             ELSE 'allow' END AS verdict
         FROM r
     """,
+    "op12_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+        ), f AS MATERIALIZED (
+            SELECT lang, k, phrase, count(*) AS f FROM (
+                SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+                UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+                UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w
+            ) GROUP BY ALL
+        ), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+        ), c AS (
+            SELECT lang, phrase, f AS a, k AS words, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10
+        ), parts AS MATERIALIZED (
+            SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS front, array_to_string(ws[cut + 1:], ' ') AS rest FROM c
+        ), s AS MATERIALIZED (
+            SELECT parts.lang, parts.phrase, a, cut, x.f AS l, y.f AS r,
+                   ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM parts JOIN f x ON x.lang = parts.lang AND x.phrase = front JOIN f y ON y.lang = parts.lang AND y.phrase = rest
+        ), b AS (
+            SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ), longer AS (
+            SELECT lang, inner_phrase, max(f) AS most FROM (
+                SELECT lang, f, unnest([string_split(phrase, ' ')[1] || ' ' || string_split(phrase, ' ')[2], string_split(phrase, ' ')[2] || ' ' || string_split(phrase, ' ')[3]]) AS inner_phrase
+                FROM f WHERE k = 3 AND f >= 10
+            ) GROUP BY ALL
+        ), kept AS (
+            SELECT b.* FROM b LEFT JOIN longer o ON o.lang = b.lang AND o.inner_phrase = b.phrase
+            WHERE o.most IS NULL OR 100 * o.most < 50 * a
+        )
+        SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN n USING (lang)
+        QUALIFY rank <= 2000
+    """,
 }
