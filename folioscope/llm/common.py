@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again.
+def materialised(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet, with the writer's ``options``, and read again.
 
     Later readers neither recompute it nor depend on an executor's disk.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +65,16 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def ids_are_unique(df: DataFrame) -> bool:
+    """Whether no ``doc_id`` is null or stands in several rows."""
+    return df.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull()).isEmpty()
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ``row``, a number of each row, written so that rows keep theirs."""
+    return materialised(df.withColumn("row", F.monotonically_increasing_id()))
+
+
 #: For each module whose workers remember something from task to task, how they forget it.
 _FORGET: dict[str, Callable[[], None]] = {}
 
@@ -80,11 +90,15 @@ def keep_only(module: str) -> None:
             forget()
 
 
+def set_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
     """Apply ``work`` (a record batch in, a dict of columns out) to every batch of ``df``."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    set_batches(spark)
     arrow = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

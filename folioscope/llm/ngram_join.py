@@ -14,12 +14,13 @@
    that components do not join yet are held against each other, whatever the group's size.
 
 Null text, text without words: empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is the one
-shingle. Repeated rows are links. Ids must be unique. Columns other than the id and the text are ignored.
+shingle. Repeated rows are links. Where ids repeat or are null, rows are numbered: each gives a row of its own, and a component's id is
+the smallest that is not null. Columns other than the id and the text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -27,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, BATCH_ROWS, id_and_text, id_filter, keep_only, list_array, map_batches, materialised, remembers, without_ids
+from .common import id_and_text, id_filter, ids_are_unique, join_spread, keep_only, list_array, map_batches, materialised, numbered, remembers, set_batches, without_ids
 from .components import components
 
 #: Words of a shingle, and least similarity in hundredths.
@@ -99,6 +100,7 @@ def frequencies(df: DataFrame) -> np.ndarray:
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["counter", "n"])
 
+    set_batches(df.sparkSession)
     counted = df.mapInArrow(run, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
     out = np.zeros(COUNTERS, np.int64)
     rows = counted.toArrow()  # at most COUNTERS rows
@@ -205,20 +207,11 @@ def _passes(a: str, b: str, percent: int, marked: bool):
     return passes & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
 
 
-def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, component_id``, the smallest id reachable by links."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    docs = id_and_text(df, id_col, text_col)
-    signed = materialised(signed_sets(docs, words, percent, frequencies(docs)))
-    members = signed.select("doc_id", "n", "sig")
-    classes = materialised(members.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    early = F.max((F.col("pos") <= _short(F.col("n"), percent)).cast("int")) == 1
-    shared = rows.groupBy("token").agg(F.count("*").alias("k"), early.alias("early")).where((F.col("k") > 1) & F.col("early")).select("token")
-    rows = materialised(rows.join(shared, "token"))
+def resolved(rows: DataFrame, marks: DataFrame, docs: DataFrame, words: int, percent: int, passes: Callable[[str, str, int, bool], Column]) -> DataFrame:
+    """``doc_id, comp`` of all documents that links join. ``rows`` is written and has ``token, doc_id, n``: documents with one token may be linked.
+
+    ``passes`` says of two rows, ``a`` and ``b``, whether they still may be; of the rows of the last round, which have the columns of
+    ``marks`` too, it is asked to use these."""
     labels = links = checked = None
     turn = 0
     while True:
@@ -228,12 +221,12 @@ def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, i
         groups = groups.where(F.col("low") != F.col("high")).select("token", "hub")
         open_rows = now.join(groups, "token")
         if turn < HUB_ROUNDS:
-            hubs = open_rows.where(F.col("doc_id") == F.col("hub")).select("token", "doc_id", "n", "pos", "comp")
+            hubs = open_rows.where(F.col("doc_id") == F.col("hub")).drop("hub")
             met = open_rows.where(F.col("doc_id") != F.col("hub")).alias("m").join(hubs.alias("h"), "token")
         else:
-            open_rows = open_rows.drop("hub").join(signed.select("doc_id", *MARK_COLUMNS), "doc_id")
+            open_rows = open_rows.drop("hub").join(marks, "doc_id")
             met = open_rows.alias("m").join(open_rows.alias("h"), "token").where(F.col("m.doc_id") < F.col("h.doc_id"))
-        met = met.where((F.col("m.comp") != F.col("h.comp")) & _passes("m", "h", percent, turn >= HUB_ROUNDS))
+        met = met.where((F.col("m.comp") != F.col("h.comp")) & passes("m", "h", percent, turn >= HUB_ROUNDS))
         low, high = F.least("m.doc_id", "h.doc_id"), F.greatest("m.doc_id", "h.doc_id")
         pairs = met.select(low.alias("a"), high.alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         if checked is not None:
@@ -247,15 +240,61 @@ def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, i
         labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
         turn += 1
         if turn > HUB_ROUNDS:
-            break
+            return labels
+
+
+def class_components(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of ``members`` (``doc_id, n, sig``), from the component of each class's ``rep``."""
     comps = classes.join(labels, F.col("rep") == F.col("doc_id"), "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
     full = members.where(F.col("sig").isNotNull()).join(comps, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = members.where(F.col("sig").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
 
+def component_of_each(df: DataFrame, linked: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row, by ``linked``, which asks for ids that are unique.
+
+    Where they are not, the rows are numbered and written; a component's id is then the least of its rows' ids that is not null."""
+    docs = id_and_text(df, id_col, text_col)
+    if ids_are_unique(docs):
+        return linked(docs)
+    told = numbered(docs)
+    found = linked(told.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    found = materialised(found.join(told.select("row", "doc_id"), "row"))
+    least = materialised(found.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
+    return join_spread(found, least, ["component_id"], "size").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+
+
+def keep_first_of_each(df: DataFrame, linked: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """``df`` with one row of each component, that of the smallest id (null ids last); of several with that id one stays."""
+    docs = id_and_text(df, id_col, text_col)
+    if ids_are_unique(docs):
+        gone = linked(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"))
+        return without_ids(df, gone, id_col)
+    # All of a row's columns as one, so that their names cannot clash.
+    told = numbered(df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), F.struct(*[df[c] for c in df.columns]).alias("whole")))
+    found = linked(told.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row").join(told.select("row", "doc_id"), "row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row"))
+    return told.join(first.select("row"), "row", "left_semi").select("whole.*")
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    signed = materialised(signed_sets(docs, words, percent, frequencies(docs)))
+    members = signed.select("doc_id", "n", "sig")
+    classes = materialised(members.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep")))
+    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
+    early = F.max((F.col("pos") <= _short(F.col("n"), percent)).cast("int")) == 1
+    shared = rows.groupBy("token").agg(F.count("*").alias("k"), early.alias("early")).where((F.col("k") > 1) & F.col("early")).select("token")
+    rows = materialised(rows.join(shared, "token"))
+    return class_components(members, classes, resolved(rows, signed.select("doc_id", *MARK_COLUMNS), docs, words, percent, _passes))
+
+
+def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row: ``doc_id, n_shingles, component_id``, the smallest id reachable by links."""
+    return component_of_each(df, lambda docs: _linked(docs, words, percent), id_col, text_col)
+
+
 def keep_one(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row, that of the smallest id, of each component."""
-    found = link_components(df, words, percent, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"))
-    return without_ids(df, gone, id_col)
+    return keep_first_of_each(df, lambda docs: _linked(docs, words, percent), id_col, text_col)

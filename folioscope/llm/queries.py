@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, collocations, exact, language, media, ngram_join, packing, piece_codec, privacy, repeats, toxicity, url_filter
+from . import alignment, collocations, exact, language, media, min_max, ngram_join, packing, piece_codec, privacy, repeats, toxicity, url_filter
 from .common import table
 
 
@@ -70,6 +70,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op11_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = min_max.near_copies(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.collocations(table(spark, sf_dir, "documents"))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_privacy,
         op9_language,
         op10_repeats,
+        op11_min_max,
         op12_collocations,
         op13_token_alignment,
     )

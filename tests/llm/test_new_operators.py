@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import alignment, collocations, queries
+from folioscope.llm import alignment, collocations, min_max, queries
 
-from .test_operators import ODD, SMALL
+from .test_operators import ODD, SMALL, brute_links
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,77 @@ def texts(spark):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
 
 
+# -- 11 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_signatures_are_unbiased_and_vary_less_than_least_hashes():
+    """Over many pairs of sets, the mean estimate is the similarity, and its variance below that of as many independent values."""
+    rng = np.random.default_rng(2)
+    for both, own in ((60, 20), (17, 3), (300, 60)):
+        want, found = both / (both + 2 * own), []
+        for _ in range(300):
+            s = np.unique(rng.integers(0, 2**64, both + 2 * own + 5, dtype=np.uint64))
+            rng.shuffle(s)
+            x, y = min_max.signature(s[: both + own]), min_max.signature(np.concatenate((s[:both], s[both + own : both + 2 * own])))
+            found.append(min_max.estimate(x, y))
+        independent = want * (1 - want) / (2 * min_max.PERMUTATIONS)
+        assert abs(np.mean(found) - want) < 4 * (independent / 300) ** 0.5
+        assert np.var(found) < 1.1 * independent
+    s = np.arange(5000, dtype=np.uint64)
+    parts = np.stack([min_max.signature(s[:3000]).reshape(-1, 2), min_max.signature(s[3000:]).reshape(-1, 2)])
+    whole = min_max.signature(s).reshape(-1, 2)
+    assert (whole[:, 0] == parts[..., 0].min(0)).all() and (whole[:, 1] == parts[..., 1].max(0)).all()
+
+
+def test_bands_find_similar_sets_and_bits_let_them_through():
+    rng = np.random.default_rng(6)
+    for size in (6, 20, 400):
+        for _ in range(200):
+            s = np.unique(rng.integers(0, 2**64, size + size // 6, dtype=np.uint64))
+            rng.shuffle(s)
+            x, y = (min_max.signature(v) for v in (s[:size], s[len(s) - size :]))
+            assert np.intersect1d(min_max.bands(x), min_max.bands(y)).size or len(s) > size / 0.8
+            a, b = (min_max._two_bits(v).view(np.uint8) for v in (x, y))
+            differ = np.unpackbits(a ^ b, bitorder="little").reshape(-1, 2).any(axis=1)
+            assert (~differ | (x != y)).all() and differ.sum() <= min_max.SLACK
+
+
+@pytest.mark.parametrize("words,percent,told_apart", [(3, 85, False), (5, 80, True)])
+def test_near_copies_equal_brute_force(spark, words, percent, told_apart):
+    rnd = random.Random(words)
+    base = [" ".join(rnd.choice("ab cd ef gh ij kl mn".split()) + str(rnd.randrange(9)) for _ in range(n)) for n in (1, 2, 7, 8, 10, 30, 60, 120, 2500)]
+    rows = []
+    for i in range(350):
+        parts = rnd.choice(base).split()
+        for _ in range(rnd.choice((0, 0, 1, 1, 2, 3, 6))):
+            parts[rnd.randrange(len(parts))] = rnd.choice(("zz", "Yy", parts[0]))
+        rows.append((i, rnd.choice((" ", "\n ", "\t")).join(parts)))
+    rows += [(500, None), (501, ""), (502, " \n"), (503, "one"), (504, "ONE")]
+    odd = [(3, "a row of an id that is there already, and like no other"), (None, rows[0][1]), (None, None), (7, rows[8][1])]
+    frame = rows + odd if told_apart else rows
+    texts = dict(enumerate(t for _, t in frame))
+    sets, top = brute_links(texts, words, percent)
+    groups = defaultdict(list)
+    for k in texts:
+        groups[top[k]].append(k)
+    least = {k: min((frame[j][0] for j in groups[top[k]] if frame[j][0] is not None), default=None) for k in texts}
+    df = spark.createDataFrame([(k, v, "s") for k, v in frame], "doc_id bigint, text string, token string")
+    found = min_max.near_copies(df, words, percent).collect()
+    assert Counter(tuple(r) for r in found) == Counter((frame[k][0], len(sets[k]), least[k]) for k in texts)
+    if told_apart:
+        kept = Counter((r["doc_id"], r["text"]) for r in min_max.keep_one(df, words, percent).collect())
+        assert sum(kept.values()) == len(groups) and all(any(frame[k] in kept for k in g) for g in groups.values())
+    assert min_max.near_copies(df.where("false")).count() == 0
+
+
+def test_near_copy_query(spark, texts):
+    sets, want = brute_links(dict(texts), 3, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in queries.op11_min_max(spark, SMALL).collect()}
+    assert got == {d: (len(sets[d]), want[d], want[d] == d) for d, _ in texts}
+    with pytest.raises(ValueError):
+        min_max.near_copies(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), percent=50)
+
+
 # -- 12 -----------------------------------------------------------------------------------------------------------------
 
 
