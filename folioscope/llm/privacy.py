@@ -2,13 +2,16 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Every distinct base value is a protected
 entity. A term (a lower-cased word of three letters or more, outside base spans) that stands in a document of an entity may
-reveal it: with the corpus as the estimate of probability, ``PMI(t; e) / IC(e)`` is the share of the entity's information
-that the term discloses. Terms beyond ``REMOVE_AT`` are removed, terms beyond ``GENERALISE_AT`` are generalised, wherever
-they stand: also far from the entity, and in documents without it.
+reveal it. The corpus's co-occurrence says how much: of an entity's information, ``IC(e) = -log2 p(e)``, a term discloses
+``PMI(t; e) = log2 p(e | t) / p(e)``, and ``IC - PMI = -log2 p(e | t)`` bits are left to guess. For ``p(e | t)`` its lower confidence
+bound (Wilson's, of one standard deviation) is taken, so the fewer documents a term has, the less it is believed. Terms that leave
+``REMOVE_WITHIN`` bits or less are removed, those that leave ``GENERALISE_WITHIN`` or less are generalised, wherever they stand: also
+far from the entity, and in documents without it.
 
-There is no least number of documents. The PMI is smoothed instead, by one more document that has the term and not the
-entity, so that the fewer documents a term has, the less it is believed. Terms, entities, pairs and the corpus are all counted over
-distinct texts, so copies change nothing.
+What is left to guess depends on the documents of the term alone and not on how large the corpus is: a term of two documents, one
+of them the entity's, leaves 2.24 bits in any corpus. A term of one document is never taken, since nothing confirms it; nor is one that
+makes its entity less than ``2 ** LEAST_PMI`` times as likely, as no term can an entity of more than a quarter of all documents.
+Terms, entities, pairs and the corpus are all counted over distinct texts, so copies change nothing.
 
 Null text counts as empty and has no spans. Repeated rows get the same spans each, and rows of one id with different texts each
 those of its own text; columns other than the id and the text are ignored. An empty table gives no rows.
@@ -22,12 +25,13 @@ import zlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import FILTER_BITS, bit_table, id_and_text, id_filter, map_batches, materialised
 
-GENERALISE_AT, REMOVE_AT = 0.9, 0.98
+#: Bits left of an entity's information, bits that a term must disclose at least, and documents that it must have.
+GENERALISE_WITHIN, REMOVE_WITHIN, LEAST_PMI, LEAST_DOCS = 2.3, 0.7, 2.0, 2
 KINDS = ("email", "ip", "card", "phone")
 #: What is put behind a term for each of its places in the table of bits.
 ENDINGS = ("", "1", "23")
@@ -116,23 +120,30 @@ def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return map_batches(id_and_text(df, id_col, text_col), "term string, docs bigint", work).groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def disclosing_terms(rows: DataFrame, counts: DataFrame, documents: int, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def lower_bound(both: Column, docs: Column) -> Column:
+    """Wilson's bound, one standard deviation low, of a share of which ``both`` of ``docs`` were seen."""
+    p = both / docs
+    return (p + 1 / (2 * docs) - F.sqrt(p * (1 - p) / docs + 1 / (4 * docs * docs))) / (1 + 1 / docs)
+
+
+def disclosing_terms(rows: DataFrame, counts: DataFrame, documents: int, generalise_within: float = GENERALISE_WITHIN, remove_within: float = REMOVE_WITHIN, least_pmi: float = LEAST_PMI) -> DataFrame:
     """``entity, term, action`` for each pair beyond a threshold. ``rows`` has ``key``, which is of a text, ``entities`` and ``terms``.
 
-    A pair cannot stand in more documents than its term or its entity. Those that would stay below the threshold even then, and
+    A pair cannot stand in more documents than its term or its entity. Those that would leave too much to guess even then, and
     so nearly all pairs with a common term, are left out before pairs are formed, which loses none."""
     held = rows.select("key", F.explode("entities").alias("entity"))
     held = held.join(held.groupBy("entity").agg(F.count("*").alias("contexts")), "entity")
-    known = rows.select("key", F.explode("terms").alias("term")).join(counts, "term")
-    n = F.lit(float(max(documents, 2)))
+    known = rows.select("key", F.explode("terms").alias("term")).join(counts.where(F.col("docs") >= LEAST_DOCS), "term")
+    n = F.lit(float(max(documents, 1)))
 
-    def share(both):
-        pmi, content = F.log(n * both / ((F.col("docs") + 1) * F.col("contexts"))), F.log(n / F.col("contexts"))
-        return F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
+    def left(both: Column) -> Column:
+        """Bits to guess; null where the term discloses too little."""
+        p = lower_bound(both, F.col("docs"))
+        return F.when(p * n >= 2**least_pmi * F.col("contexts"), -F.log2(p))
 
-    pairs = known.join(held, "key").where(share(F.least("docs", "contexts")) >= generalise_at)
-    pairs = pairs.groupBy("entity", "term", "docs", "contexts").agg(F.count("*").alias("both")).withColumn("share", share(F.col("both")))
-    action = F.when(F.col("share") >= remove_at, F.lit("remove")).when(F.col("share") >= generalise_at, F.lit("generalise"))
+    pairs = known.join(held, "key").where(left(F.least("docs", "contexts")) <= generalise_within)
+    pairs = pairs.groupBy("entity", "term", "docs", "contexts").agg(F.count("*").alias("both")).withColumn("left", left(F.col("both")))
+    action = F.when(F.col("left") <= remove_within, F.lit("remove")).when(F.col("left") <= generalise_within, F.lit("generalise"))
     return pairs.select("entity", "term", action.alias("action")).where(F.col("action").isNotNull())
 
 

@@ -18,8 +18,8 @@ Since a window never leaves its phrase, its place in the corpus order is settled
 bytes; the order of the parse's suffixes, which only tells apart what agrees for longer, is not needed and not built.
 
 Null text counts as empty; a text shorter than ``LENGTH`` loses nothing. Repeated rows count as other places, so equal
-texts of ``LENGTH`` bytes or more go in full, on all sides. Ids must be unique. Other columns are ignored. An empty table gives
-no rows.
+texts of ``LENGTH`` bytes or more go in full, on all sides. Where ids repeat or are null, rows are numbered, so each is judged by
+itself. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, keep_only, map_batches, materialised
+from .common import id_and_text, ids_are_unique, keep_only, map_batches, materialised, numbered
 
 LENGTH, GRAM = 200, 48
 #: Window starts parsed at a time, and phrases of one group that a task compares in memory.
@@ -238,8 +238,16 @@ def repeated_stretches(df: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
 
 
 def remove_repeats(df: DataFrame, keep_text: bool = True, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (bytes)."""
+    """One row a row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (bytes)."""
     docs = id_and_text(df, id_col, text_col)
+    if ids_are_unique(docs):
+        return _removed(docs, keep_text, length)
+    told = numbered(docs)
+    found = _removed(told.select(F.col("row").alias("doc_id"), "text"), keep_text, length).withColumnRenamed("doc_id", "row")
+    return found.join(told.select("row", "doc_id"), "row").select("doc_id", *[c for c in found.columns if c != "row"])
+
+
+def _removed(docs: DataFrame, keep_text: bool, length: int) -> DataFrame:
     lists = repeated_stretches(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("parts"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
 

@@ -171,6 +171,15 @@ def test_join_finds_all_components(spark, words, percent):
     assert kept == {d for d in texts if want[d] == d}
 
 
+def test_join_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "p q r s t u"), (2, "k l m n"), (None, "k l m n"), (None, "v w x y z"), (3, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(tuple(r) for r in ngram_join.link_components(df, 3, 90).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == Counter([(1, 4, 1), (1, 4, 1), (2, 4, 1), (2, 2, 2), (None, 2, 2), (None, 3, None), (3, 0, 3), (None, 0, None)])
+    kept = Counter(tuple(r) for r in ngram_join.keep_one(df, 3, 90).collect())
+    assert kept == Counter([rows[0], rows[1], rows[3], rows[5], rows[6], rows[7]])
+
+
 def test_join_query(spark, texts, nothing):
     sets, want = brute_links(texts, 3, 90)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op2_ngram_join(spark, SMALL).collect()}
@@ -467,7 +476,7 @@ def test_disclosing_terms(spark, nothing):
     assert found.keys() == {r[0] for r in rows}
     for i in range(6):
         hit = {rows[i][1][s["begin"] : s["end"]]: s["kind"] for s in found[i]["terms"]}
-        assert hit.get("lighthouse") in ("remove", "generalise") and "river" not in hit
+        assert hit.get("lighthouse") == "remove" and "river" not in hit
     assert all(not found[i]["base"] and not found[i]["terms"] for i in range(6, 80))
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(df).collect()}
     assert "keeper@" not in "".join(t or "" for t in clean.values()) and "lighthouse" not in "".join(t or "" for t in clean.values())
@@ -479,10 +488,10 @@ def test_terms_of_an_entity_seen_once(spark):
     """The term stands far from its entity, and once more in a document without it."""
     common = "the river and the stone by the green morning paper " * 3
     rows = [(0, f"Kestrelford {common} to one@sea.example {common} kestrelford"), (1, f"{common} Kestrelford")]
-    # A term in two documents, one with the entity, has the share log(N / 3) / log(N): beyond 0.9 from N = 59,049 on.
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(spark.range(2, 70_000).selectExpr("id doc_id", f"concat('{common} ', id) text"))
-    found = {r["doc_id"]: [(s["kind"], s["begin"], s["end"]) for s in r["terms"]] for r in privacy.find_spans(df).where("size(terms) > 0").collect()}
-    assert found == {i: [("generalise", m.start(), m.end()) for m in re.finditer("kestrelford", text.lower())] for i, text in rows}
+    for n in (30, 300, 30_000):  # it is the same in corpora of any size
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(spark.range(2, n).selectExpr("id doc_id", f"concat('{common} ', id) text"))
+        found = {r["doc_id"]: [(s["kind"], s["begin"], s["end"]) for s in r["terms"]] for r in privacy.find_spans(df).where("size(terms) > 0").collect()}
+        assert found == {i: [("generalise", m.start(), m.end()) for m in re.finditer("kestrelford", text.lower())] for i, text in rows}
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(df).where("doc_id < 2").collect()}
     assert "estrelford" not in clean[0] + clean[1] and clean[1].endswith(" [TERM]")
 
@@ -499,12 +508,33 @@ def test_copies_do_not_change_disclosing_terms(spark):
         return {r["doc_id"]: r["terms"] for r in privacy.find_spans(frame).collect()}
 
     plain, with_copies = terms(df), terms(more)
-    assert [s["kind"] for s in plain[0]] == ["generalise"] and all(with_copies[i] == t for i, t in plain.items())
+    assert [s["kind"] for s in plain[0]] == ["remove"] and all(with_copies[i] == t for i, t in plain.items())
     assert all(with_copies[i] == plain[0] for i, _ in copied[:40]) and all(with_copies[i] == plain[1] for i, _ in copied[40:42])
     rows = privacy.find_base(more)
     assert rows.select("key").distinct().count() == df.count()
 
 
+def test_planted_terms_are_found_and_others_stay(spark):
+    """Of terms planted beside an entity in one to five documents, and in as many or fewer others, all that leave few bits are found."""
+    rnd = random.Random(12)
+    made = lambda n: ["".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(n)]
+    names, lexicon = list(dict.fromkeys(made(60))), made(300)
+    texts = [" ".join(rnd.choice(lexicon) for _ in range(80)) for _ in range(1500)]
+    want = {}
+    for k, name in enumerate(names):
+        own, other = 1 + k % 5, k // 5 % 3
+        for i in range(own + other):
+            texts[20 * k + i] += f" {name}" + f" mail p{k}@sea.example" * (i < own)
+        d = own + other
+        bound = (own / d + 1 / (2 * d) - (own / d * (1 - own / d) / d + 1 / (4 * d * d)) ** 0.5) / (1 + 1 / d)
+        if d > 1 and bound >= 2**-2.3:
+            want[name] = "remove" if bound >= 2**-0.7 else "generalise"
+    assert len(want) > 40 and set(want.values()) == {"remove", "generalise"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(texts[r["doc_id"]][s["begin"] : s["end"]], s["kind"]) for r in privacy.find_spans(df).collect() for s in r["terms"]}
+    assert got == set(want.items())
+
+
 def test_privacy_query(spark, texts):
     for r in queries.op8_privacy(spark, SMALL).collect():
         spans = privacy.base_spans(texts[r["doc_id"]])
@@ -636,6 +666,16 @@ def test_repeats_of_all_kinds(spark, group, nothing):
         assert repeats.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_tell_rows_of_one_id_apart(spark):
+    rnd = random.Random(4)
+    a, b, c = ("".join(rnd.choice("abcdefgh ") for _ in range(600)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c + "!"), (3, None), (3, "x" + c[:300])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_repeats(dict(enumerate(t for _, t in rows)), 200)
+    got = Counter((r["doc_id"], *tuple(r)[1:5]) for r in repeats.remove_repeats(df).collect())
+    assert got == Counter((d, *want[k]) for k, (d, _) in enumerate(rows))
+
+
 @pytest.mark.parametrize("length", [8, 13, 40])
 def test_suffixes_equal_brute_force(length):
     rnd = random.Random(length)

@@ -46,12 +46,13 @@ def brute_terms(texts):
         docs.update(own)
         contexts.update(entities)
         both.update((e, w) for e in entities for w in own)
-    n, out = max(len(distinct), 2), {}
+    n, out = len(distinct), {}
     for (e, w), k in both.items():
-        content = math.log(n / contexts[e])
-        share = math.log(n * k / ((docs[w] + 1) * contexts[e])) / content if content > 0 else 0
-        if share >= 0.9:
-            out[w] = max(out.get(w, ""), "remove" if share >= 0.98 else "generalise")
+        d = docs[w]
+        bound = (k / d + 1 / (2 * d) - math.sqrt(k / d * (1 - k / d) / d + 1 / (4 * d * d))) / (1 + 1 / d)
+        if d < 2 or bound * n < 4 * contexts[e] or -math.log2(bound) > 2.3:
+            continue
+        out[w] = max(out.get(w, ""), "remove" if -math.log2(bound) <= 0.7 else "generalise")
     return out
 
 
@@ -115,6 +116,21 @@ def test_one_of_equal_texts_stays(spark, docs):
 
 
 def test_one_of_near_copies_stays(spark, docs):
+    """Rows of one id are told apart: each is a document of its own, linked or not."""
+    rows = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in docs.collect())
+    more = [(5003, "k l m n o p q r"), (5007, "one two three four five six"), (5007, "another text that no other row resembles"), (None, "no id at all here"), (None, "No Id at all here")]
+    frame = docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"), allowMissingColumns=True)
+    rows = [(d, t) for _, d, t in rows] + more
+    _, want = brute_links({k: t for k, (_, t) in enumerate(rows)}, 5, 80)
+    groups = defaultdict(list)
+    for k, top in want.items():
+        groups[top].append(rows[k])
+    got = kept_of(pipeline.drop_near_copies, spark, frame)
+    assert sum(got.values()) == len(groups)
+    least = Counter(min((d is None, d or 0) for d, _ in g) for g in groups.values())
+    assert Counter({k: n for k, n in least.items()}) == sum((Counter({(d is None, d or 0): n}) for (d, _), n in got.items()), Counter())
+    assert all(any(r in g for g in groups.values()) for r in got)
+    assert all(got[r] for r in more[:3]) and got[more[3]] + got[more[4]] == 1
     once = docs.dropDuplicates(["doc_id"])
     texts = {r["doc_id"]: r["text"] for r in once.collect()}
     _, want = brute_links(texts, 5, 80)
