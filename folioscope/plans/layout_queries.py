@@ -9,6 +9,7 @@ from ..operators import blocks as B
 from ..operators import edits as E
 from ..operators import layout as L
 from ..operators import pixels as P
+from ..operators import regions as R
 from . import standins as S
 from .registry import query
 
@@ -89,36 +90,61 @@ def a4(spark, d):
     return L.body_sizes(_words(spark, d).withColumn("size", F.col("size") / 3.0))
 
 
-@query("a6_median_sizes", "SELECT l_orderkey AS doc_id, median(l_suppkey % 40 + 16) AS size FROM lineitem GROUP BY 1")
+def _lines(spark, d):
+    """Orders as pages of one baseline, read by the library."""
+    words = S.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_linenumber").alias("word_no"), F.concat(F.lit("w"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("text"),
+        (F.col("l_quantity") * 8).alias("x0"), (F.col("l_quantity") * 8 + 2 + F.col("l_discount") * 100).alias("x1"), (90 - F.col("l_tax") * 50).alias("top"), F.lit(100.0).alias("bottom"), (F.col("l_suppkey") % 4 + 9).cast("double").alias("size"), F.lit("Times").alias("fontname"), F.lit(False).alias("cid"),
+    )
+    gutter = words.where("false").select("doc_id", F.lit(0.0).alias("left_edge"), F.lit(0.0).alias("right_edge"))
+    return L.lines_of(words, gutter)
+
+
+#: Gaps wider than 2.2 of the largest size, and than 10 points, cut a baseline.
+LINES = """w AS (SELECT l_orderkey AS doc_id, l_linenumber AS word_no, 'w' || l_partkey || '-' || l_suppkey AS text, l_quantity * 8 AS x0, l_quantity * 8 + 2 + l_discount * 100 AS x1, 90 - l_tax * 50 AS top, CAST(l_suppkey % 4 + 9 AS DOUBLE) AS size FROM lineitem),
+    g AS (SELECT *, x0 - lag(x1) OVER o AS gap, max(size) OVER (PARTITION BY doc_id) AS ref, row_number() OVER o AS n FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY x0, word_no, x1, top, size, text)),
+    c AS (SELECT *, sum(CASE WHEN gap > greatest(2.2 * ref, 10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM g),
+    r AS (SELECT *, max(size) OVER (PARTITION BY doc_id, run) AS large FROM c)"""
+
+
+@query("a6_median_sizes", f"WITH {LINES} SELECT doc_id, CAST(run AS INTEGER) AS line_no, median(size) FILTER (WHERE size >= 0.8 * large) AS size FROM r GROUP BY doc_id, run")
 def a6(spark, d):
-    return _words(spark, d).groupBy("doc_id").agg(F.median("size").alias("size"))
+    return _lines(spark, d).select("doc_id", "line_no", "size")
 
 
-@query("a7_bounding_boxes", "SELECT l_orderkey AS doc_id, min(l_quantity) AS x0, max(l_extendedprice) AS x1, coalesce(max(CASE WHEN l_tax > 0.07 THEN l_discount END), 0.5) AS top FROM lineitem GROUP BY 1")
+@query("a7_bounding_boxes", f"WITH {LINES} SELECT doc_id, CAST(run AS INTEGER) AS line_no, min(x0) AS x0, max(x1) AS x1, min(top) FILTER (WHERE size >= 0.8 * large) AS top, 100.0 AS bottom FROM r GROUP BY doc_id, run")
 def a7(spark, d):
-    w = S.table(spark, d, "lineitem")
-    return w.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_quantity").alias("x0"), F.max("l_extendedprice").alias("x1"), F.coalesce(F.max(F.when(F.col("l_tax") > 0.07, F.col("l_discount"))), F.lit(0.5)).alias("top"))
+    return _lines(spark, d).select("doc_id", "line_no", "x0", "x1", "top", "bottom")
 
 
-@query("w11_line_gaps", """WITH w AS (SELECT l_orderkey, l_quantity AS x0, l_linenumber, l_partkey, l_suppkey, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey) AS before FROM lineitem)
-       SELECT l_orderkey, x0, l_linenumber, l_partkey, l_suppkey, CAST(sum(CASE WHEN x0 - before > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY x0, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS segment FROM w""")
+@query("w11_line_gaps", f"WITH {LINES} SELECT doc_id, CAST(run AS INTEGER) AS line_no, string_agg(text, ' ' ORDER BY n) AS text FROM r GROUP BY doc_id, run")
 def w11(spark, d):
-    own = Window.partitionBy("l_orderkey").orderBy("x0", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = S.table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x0"), "l_linenumber", "l_partkey", "l_suppkey").withColumn("b", F.lag("x0").over(own))
-    return rows.withColumn("segment", F.sum(F.when(F.col("x0") - F.col("b") > 10, 1).otherwise(0)).over(own)).drop("b")
+    return _lines(spark, d).select("doc_id", "line_no", "text")
 
 
-@query("w12_bands", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, (SELECT count(*) FROM lineitem f WHERE f.l_orderkey = l.l_orderkey AND f.l_tax > 0.06 AND f.l_quantity <= l.l_quantity + 0.1) AS band FROM lineitem l""")
+@query("w12_bands", """WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax, l_discount) AS line_no, l_quantity AS top,
+            CASE WHEN l_tax > 0.06 THEN 'full' WHEN l_discount > 0.04 THEN 'right' ELSE 'left' END AS side FROM lineitem),
+       b AS (SELECT *, (SELECT count(*) FROM l f WHERE f.doc_id = l.doc_id AND f.side = 'full' AND f.top <= l.top + 0.1) AS band, avg(CASE WHEN side = 'right' THEN 1.0 ELSE 0 END) OVER (PARTITION BY doc_id) > 0.15 AS two_col FROM l)
+       SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(band AS INTEGER) AS band, CASE WHEN two_col THEN side ELSE 'full' END AS col, two_col,
+              CAST(row_number() OVER (PARTITION BY doc_id ORDER BY band, CASE WHEN side = 'right' THEN 1 ELSE 0 END, top, CASE WHEN side = 'right' THEN 350.0 ELSE 50.0 END, line_no) - 1 AS INTEGER) AS place FROM b""")
 def w12(spark, d):
-    above = "count(case when l_tax > 0.06 then 1 end) over (partition by l_orderkey order by l_quantity range between unbounded preceding and 0.1D following)"
-    return S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.expr(above).alias("band"))
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_discount")
+    side = F.when(F.col("l_tax") > 0.06, "full").when(F.col("l_discount") > 0.04, "right").otherwise("left")
+    lines = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.row_number().over(own).alias("line_no"), side.alias("side"), F.col("l_quantity").alias("top"), F.lit(612.0).alias("w"))
+    lines = lines.withColumns({"x0": F.when(F.col("side") == "right", 350.0).otherwise(50.0), "x1": F.when(F.col("side") == "left", 280.0).otherwise(560.0)})
+    return L.reading_order(lines).select("doc_id", "line_no", "band", "col", "two_col", "place")
 
 
-@query("f14_running_heads", """WITH h AS (SELECT doc_id, regexp_replace(lower(trim(substr(text, 1, 12))), '[0-9]+', '#', 'g') AS k FROM documents)
-       SELECT k, count(*) AS n FROM h GROUP BY k HAVING count(*) >= 2""")
+@query("f14_running_heads", """WITH l AS (SELECT conv_id, turn, text, regexp_replace(lower(trim(text, E' \\n\\t\\r')), '[0-9]+', '#', 'g') AS k FROM conversations),
+       n AS (SELECT conv_id, k, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY 1)
+       SELECT l.conv_id, l.turn, l.text FROM l JOIN n USING (conv_id, k) JOIN p USING (conv_id)
+       WHERE NOT regexp_full_match(lower(trim(text, E' \\n\\t\\r')), '(page\\s*)?[0-9]{1,4}(\\s*(of|/)\\s*[0-9]{1,4})?') AND NOT (n >= greatest(2, 0.3 * pages)) AND NOT regexp_full_match(k, '(page\\s*)?#(\\s*(of|/)\\s*#)?')""")
 def f14(spark, d):
-    key = F.regexp_replace(F.lower(F.trim(F.substring("text", 1, 12))), r"\d+", "#")
-    return S.table(spark, d, "documents").groupBy(key.alias("k")).agg(F.count("*").alias("n")).where("n >= 2")
+    """Turns as lines at the top of the pages of a conversation."""
+    turns = S.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    lines = turns.withColumns({"top": F.lit(20.0), "bottom": F.lit(30.0)})
+    pages = turns.select("doc_id", "page", F.lit(612.0).alias("w"), F.lit(792.0).alias("h"))
+    return L.without_running_heads(lines, pages).select(F.col("doc_id").alias("conv_id"), F.col("page").alias("turn"), "text")
 
 
 def _pixels(spark, d):
@@ -155,6 +181,17 @@ def k9(spark, d):
     return P.box_to_pixels(rows, figures).select("id.l_orderkey", "id.l_linenumber", "id.l_partkey", "id.l_suppkey", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"))
 
 
+@query("j13_nearest_table", """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS place, o_totalprice / 600 AS top, o_orderpriority LIKE '1%' AS asks, CASE WHEN o_orderkey % 2 = 0 THEN 306.0 ELSE 612.0 END AS b, CAST(o_orderkey % 7 * 80 AS DOUBLE) AS x0 FROM orders),
+       m AS (SELECT c.doc_id, c.place, CASE WHEN t.top >= c.top + 8 THEN t.top - (c.top + 10) ELSE c.top - (t.top + 40) END AS d, t.x0, t.top, c.b FROM o c JOIN o t USING (doc_id) WHERE c.asks AND NOT t.asks)
+       SELECT doc_id, place, d, x0, top FROM m WHERE x0 + 60 > 0 AND x0 < b AND d >= -2 AND d < 0.4 * 792 QUALIFY row_number() OVER (PARTITION BY doc_id, place ORDER BY d, top, x0) = 1""")
+def j13(spark, d):
+    """Orders of a customer as captions and tables of a page."""
+    o = S.table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("page"), F.col("o_orderkey").alias("place"), (F.col("o_totalprice") / 600).alias("top"), F.col("o_orderpriority").startswith("1").alias("asks"), (F.col("o_orderkey") % 7 * 80).cast("double").alias("x0"))
+    caps = o.where("asks").select("doc_id", "page", "place", "top", (F.col("top") + 10).alias("bottom"), F.lit(0.0).alias("a"), F.when(F.col("place") % 2 == 0, 306.0).otherwise(612.0).alias("b"), F.lit(792.0).alias("h"))
+    tables = o.where("not asks").select("doc_id", "page", "x0", "top", (F.col("x0") + 60).alias("x1"), (F.col("top") + 40).alias("bottom"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    return R.nearest_tables(caps, tables).select("doc_id", "place", "near.d", "near.x0", "near.top")
+
+
 @query("j13_nearest_event", """WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey % 10 = 0), e AS (SELECT o_custkey, o_orderkey AS k, o_orderdate AS t FROM orders WHERE o_orderkey % 10 <> 0)
        SELECT o.o_orderkey, arg_min(e.k, abs(epoch(o.o_orderdate) - epoch(e.t)) * 10000000 + e.k) AS nearest FROM o JOIN e USING (o_custkey) GROUP BY 1""")
 def j13(spark, d):
@@ -164,13 +201,11 @@ def j13(spark, d):
     return a.join(b, "o_custkey").groupBy("o_orderkey").agg(F.min_by("k", F.struct(F.abs(F.col("s") - F.col("t")), F.col("k"))).alias("nearest"))
 
 
-@query("j12_boxes_that_overlap", """SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
-       AND a.l_quantity <= b.l_quantity + 5 AND b.l_quantity <= a.l_quantity + 5 GROUP BY ALL""")
+@query("j12_boxes_that_overlap", """WITH b AS (SELECT l_orderkey AS doc_id, concat_ws('/', l_linenumber, l_partkey, l_suppkey, l_quantity) AS id, l_quantity * 10 AS x0, l_quantity * 10 + l_discount * 800 AS x1, l_suppkey % 700 AS top, l_suppkey % 700 + l_tax * 1000 AS bottom FROM lineitem)
+       SELECT x.doc_id, x.id, y.id AS other FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.id < y.id AND greatest(x.x0, y.x0) <= least(x.x1, y.x1) AND greatest(x.top, y.top) <= least(x.bottom, y.bottom)""")
 def j12(spark, d):
-    w = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    a, b = w.alias("a"), w.alias("b")
-    near = (F.col("a.l_quantity") <= F.col("b.l_quantity") + 5) & (F.col("b.l_quantity") <= F.col("a.l_quantity") + 5)
-    return a.join(b, "l_orderkey").where((F.col("a.l_linenumber") < F.col("b.l_linenumber")) & near).groupBy("l_orderkey", F.col("a.l_linenumber").alias("a"), F.col("b.l_linenumber").alias("b")).agg(F.count("*").alias("n"))
+    boxes = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("id"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + F.col("l_discount") * 800).alias("x1"), (F.col("l_suppkey") % 700).cast("double").alias("top"), (F.col("l_suppkey") % 700 + F.col("l_tax") * 1000).alias("bottom"))
+    return R.overlapping(boxes, boxes, ["doc_id"]).where(F.col("id") < F.col("r_id")).select("doc_id", "id", F.col("r_id").alias("other"))
 
 
 @query("s7_text_layer", """SELECT doc_id, CAST(sum(length(w)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1 HAVING sum(length(w)) < 500""")
