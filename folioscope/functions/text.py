@@ -83,24 +83,25 @@ def caption_slug(s: Column) -> Column:
 
 
 def reference_id(s: Column) -> Column:
-    """``ref-N`` from the number that a reference entry begins with; null without one."""
-    number = F.regexp_extract(s, r"^\s*\[?(\d+)", 1)
+    """``ref-N`` from the number that a reference entry begins with, before a bracket or a stop; null without one."""
+    number = F.regexp_extract(s, r"^\s*\[?(\d+)[\].)]", 1)
     return F.when(number != "", F.concat(F.lit("ref-"), number))
 
 
 def without_links(html: Column) -> Column:
-    """Anchors as spans, runs of line breaks as one space."""
-    return F.regexp_replace(F.regexp_replace(html, r"(?s)<a [^>]*>(.*?)</a>", "<span>$1</span>"), r"\s*\n\s*", " ")
+    """Anchors as spans of class ``link``, runs of line breaks as one space, no white space around."""
+    return strip(F.regexp_replace(F.regexp_replace(html, r"(?s)<a [^>]*>(.*?)</a>", '<span class="link">$1</span>'), r"\s*\n\s*", " "))
 
 
 def without_annotations(html: Column) -> Column:
+    """Without annotation elements, in which MathML repeats its source."""
     return F.regexp_replace(html, r"(?s)<annotation.*?</annotation>", "")
 
 
 def unwrapped(html: Column) -> Column:
     """The inside of a text that is one paragraph element, else the text."""
-    inner = F.regexp_extract(html, r"(?s)^\s*<p>((?:(?!</?p>).)*)</p>\s*$", 1)
-    return F.when(inner != "", inner).otherwise(html)
+    one = r"(?s)^\s*<p>((?:(?!<p>).)*)</p>\s*$"
+    return F.when(html.rlike(one), F.regexp_extract(html, one, 1)).otherwise(html)
 
 
 def without_tags(html: Column) -> Column:

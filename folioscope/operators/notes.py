@@ -184,8 +184,8 @@ def with_replies(notes: DataFrame, replies: DataFrame) -> DataFrame:
     Replies of one note are one row, as they are in the export; a thread is bounded by what people write."""
     fields = [c for c in replies.columns if c not in ("doc_id", "note", "createdAt", "id")]
     nested = replies.groupBy("doc_id", F.col("note").alias("id")).agg(F.sort_array(F.collect_list(F.struct(_empty("createdAt").alias("createdAt"), "id", *fields))).alias("replies"))
-    out = notes.join(nested, ["doc_id", "id"], "left")
-    return out.withColumn("replies", F.coalesce("replies", F.filter("replies", lambda r: F.lit(False)), F.expr("filter(replies, r -> false)")))
+    none = F.array().cast(nested.schema["replies"].dataType)
+    return notes.join(nested, ["doc_id", "id"], "left").withColumn("replies", F.coalesce("replies", none))
 
 
 def latest_replies(replies: DataFrame, n: int = 2) -> DataFrame:

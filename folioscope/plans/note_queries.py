@@ -64,10 +64,9 @@ def j5(spark, d):
         FROM notes n LEFT JOIN replies r ON r.note = n.id GROUP BY n.id""",
 )
 def j6(spark, d):
-    nested = S.replies(spark, d).groupBy(F.col("note").alias("id")).agg(F.sort_array(F.collect_list(F.struct("createdAt", "text"))).alias("r"))
-    out = S.notes(spark, d).select("id").join(nested, "id", "left")
-    size = F.when(F.col("r").isNull(), 0).otherwise(F.size("r")).cast("long")
-    return out.select("id", size.alias("n_replies"), F.coalesce(F.array_join(F.transform("r", lambda x: F.concat_ws(" ", x["createdAt"], x["text"])), "|"), F.lit("")).alias("thread"))
+    own = S.replies(spark, d).withColumns({"doc_id": F.lit(0), "id": F.col("text")})
+    out = N.with_replies(S.notes(spark, d).select("id", F.lit(0).alias("doc_id")), own)
+    return out.select("id", F.size("replies").cast("long").alias("n_replies"), F.array_join(F.transform("replies", lambda x: F.concat_ws(" ", x["createdAt"], x["text"])), "|").alias("thread"))
 
 
 @query("j7_pinned_writes", f"""WITH {S.NOTES}, v AS (SELECT 'n' || CAST(user_id AS VARCHAR) AS id, max(event_id) AS if_version FROM events GROUP BY 1)

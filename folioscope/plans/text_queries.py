@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions import text as T
 from ..operators import anchors, lint
 from . import standins as S
@@ -47,11 +48,21 @@ def e15(spark, d):
     return S.table(spark, d, "documents").select("doc_id", T.caption_label(s).alias("label"), T.caption_slug(s).alias("slug"))
 
 
-@query("e16_links_to_spans", "SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<a [^>]*>(.*?)</a>', '<span>\\1</span>', 'g'), '\\s*\\n\\s*', ' ', 'g') AS html FROM pages")
+@query("e16_links_to_spans", """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<a [^>]*>(.*?)</a>', '<span class="link">\\1</span>', 'g'), '\\s*\\n\\s*', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS html FROM pages""")
 def e16(spark, d):
     return S.table(spark, d, "pages").select("page_id", T.without_links(F.col("html")).alias("html"))
 
 
+_WRAPPED = "CASE doc_id % 4 WHEN 0 THEN ' <p>' || text || '</p>' || chr(10) WHEN 1 THEN '<p>' || text || '</p><p>more</p>' WHEN 2 THEN '<p><annotation encoding=\"t\">' || text || '</annotation>x</p>' ELSE text END"
+
+
+@query("e17_unwrapped", f"""WITH w AS (SELECT doc_id, {_WRAPPED} AS html FROM documents), a AS (SELECT doc_id, regexp_replace(html, '(?s)<annotation.*?</annotation>', '', 'g') AS html FROM w)
+       SELECT doc_id, CASE WHEN regexp_full_match(html, '(?s)\\s*<p>.*</p>\\s*') AND NOT contains(regexp_extract(html, '(?s)^\\s*<p>(.*)</p>\\s*$', 1), '<p>') THEN regexp_extract(html, '(?s)^\\s*<p>(.*)</p>\\s*$', 1) ELSE html END AS html FROM a""")
+def e17(spark, d):
+    wrapped = F.expr(_WRAPPED.replace("chr(10)", "char(10)"))
+    return S.table(spark, d, "documents").select("doc_id", T.unwrapped(T.without_annotations(wrapped)).alias("html"))
+
+
 @query("f1_block_text", "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages")
 def f1(spark, d):
     return S.table(spark, d, "pages").select("page_id", T.without_tags(F.col("html")).alias("text"))
@@ -69,10 +80,12 @@ def e22(spark, d):
     return b.select("item_id", T.first_sentence(F.col("text")).alias("first"))
 
 
-@query("e26_reference_ids", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ref-' || CAST(doc_id AS VARCHAR) END AS ref FROM documents")
+_ENTRY = "CASE doc_id % 6 WHEN 0 THEN ' [' || doc_id || '] ' || text WHEN 1 THEN doc_id || '. ' || text WHEN 2 THEN doc_id || ') ' || text WHEN 3 THEN doc_id || ' ' || text WHEN 4 THEN '[' || doc_id || ' ' || text ELSE text END"
+
+
+@query("e26_reference_ids", f"""WITH e AS (SELECT doc_id, regexp_extract({_ENTRY}, '^\\s*\\[?(\\d+)[\\].)]', 1) AS n FROM documents) SELECT doc_id, CASE WHEN n <> '' THEN 'ref-' || n END AS ref FROM e""")
 def e26(spark, d):
-    entry = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ["), F.col("doc_id").cast("string"), F.lit("] "), F.left("text", F.lit(20)))).otherwise("x")
-    return S.table(spark, d, "documents").select("doc_id", T.reference_id(entry).alias("ref"))
+    return S.table(spark, d, "documents").select("doc_id", T.reference_id(F.expr(_ENTRY)).alias("ref"))
 
 
 @query("e13_latex_escapes", r"""WITH t AS (SELECT item_id, text || ' 50% & #1_{a}~^\ “q” ‘s’ a–b—c' AS s FROM benchmark), c AS (SELECT item_id, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) AS n FROM t)
@@ -155,8 +168,11 @@ def s1(spark, d):
     return S.table(spark, d, "pages").select("page_id", T.file_suffix(F.col("url")).alias("suffix"), format_of(F.col("url"), {".html": "html"}).alias("format"))
 
 
-@query("s6_image_candidates", "SELECT DISTINCT item_id, 'img' || CAST(item_id AS VARCHAR) || CASE WHEN item_id % 3 = 0 THEN '.png' WHEN item_id % 3 = 1 THEN '.jpg' END AS path FROM benchmark WHERE item_id % 3 < 2")
+@query("s6_image_candidates", """WITH f AS (SELECT 'img' || item_id || CASE item_id % 3 WHEN 0 THEN '.png' ELSE '.jpg' END AS path FROM benchmark WHERE item_id % 3 < 2), w AS (SELECT item_id, 'img' || item_id AS name FROM benchmark),
+       e AS (SELECT item_id, path FROM w JOIN f ON path IN (name || '.png', name || '.jpg'))
+       SELECT item_id, path FROM e UNION ALL SELECT item_id, min(path) FROM w JOIN f ON starts_with(path, name) WHERE item_id NOT IN (SELECT item_id FROM e) GROUP BY 1""")
 def s6(spark, d):
+    """A third of the names have no file of their own, and take the first whose name begins with theirs."""
     from ..sources.latex import resolve_images
 
     b = S.table(spark, d, "benchmark")
@@ -175,3 +191,12 @@ def w5(spark, d):
 @query("w8_kind_counters", f"WITH {S.TALK} SELECT doc_id, ord, count(*) OVER (PARTITION BY doc_id, kind ORDER BY ord) AS n FROM talk")
 def w8(spark, d):
     return S.talk(spark, d).select("doc_id", "ord", F.count("*").over(Window.partitionBy("doc_id", "kind").orderBy("ord")).alias("n"))
+
+
+@query("e28_p_values", """WITH s AS (SELECT DISTINCT l_quantity / 10 AS t, l_linenumber % 4 + 1 AS df, CAST(l_quantity AS DOUBLE) AS x, l_linenumber AS half FROM lineitem)
+       SELECT t, CAST(df AS INTEGER) AS df, CAST(half AS INTEGER) AS half, round(CASE df WHEN 1 THEN 1 - 2 / pi() * atan(t) WHEN 2 THEN 1 - t / sqrt(2 + t * t) WHEN 3 THEN 1 - 2 / pi() * (atan(t / sqrt(3)) + t * sqrt(3) / (3 + t * t)) ELSE 1 - t / sqrt(4 + t * t) * (1 + 2 / (4 + t * t)) END, 8) AS t_p,
+              round(exp(-x / 2) * list_sum(list_transform(range(0, CAST(half AS BIGINT)), lambda j: pow(x / 2, j) / factorial(CAST(j AS INTEGER)))), 8) AS chi_p FROM s""")
+def e28(spark, d):
+    """Where the tails have closed forms: t of one to four degrees of freedom, chi-square of an even number."""
+    rows = S.table(spark, d, "lineitem").select((F.col("l_quantity") / 10).alias("t"), (F.col("l_linenumber") % 4 + 1).alias("df"), F.col("l_quantity").cast("double").alias("x"), F.col("l_linenumber").alias("half")).distinct()
+    return rows.select("t", F.col("df").cast("int").alias("df"), F.col("half").cast("int").alias("half"), F.round(stats.t_p(F.col("t"), F.col("df")), 8).alias("t_p"), F.round(stats.chi_square_p(F.col("x"), 2 * F.col("half")), 8).alias("chi_p"))

@@ -33,23 +33,28 @@ def graphics_paths(text: Column) -> Column:
 
 
 def resolve_images(wanted: DataFrame, files: DataFrame, key: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """The first file that a name stands for: itself, with an extension, or the first whose name begins with it."""
-    tries = wanted.select(key, "name", F.posexplode(F.transform(F.array(*[F.lit(e) for e in extensions]), lambda e: F.concat(F.col("name"), e))).alias("pos", "path"))
-    known = files.select("path").groupBy("path").agg(F.lit(1).alias("one")).select("path")
-    exact = tries.join(known, "path").groupBy(key).agg(F.min_by("path", "pos").alias("path"))
-    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    loose = known.withColumn("stem", stem)
-    rest = wanted.join(exact, key, "left_anti").withColumn("stem", F.regexp_replace(F.regexp_extract("name", r"([^/]*)$", 1), r"\.[^.]*$", ""))
-    guessed = rest.join(loose, "stem").groupBy(key).agg(F.min("path").alias("path"))
+    """The first file that a name stands for: itself, with an extension, or the first by path, in any folder, whose own name begins with
+    that of ``name``. Where both tables have ``doc_id``, files are those of the name's own project.
+
+    Names meet the fronts of files' names, of which a file has no more than its name has characters."""
+    own = ["doc_id"] if "doc_id" in wanted.columns and "doc_id" in files.columns and key != "doc_id" else []
+    tries = wanted.select(key, *own, "name", F.posexplode(F.transform(F.array(*[F.lit(e) for e in extensions]), lambda e: F.concat(F.trim("name"), e))).alias("pos", "path"))
+    known = files.select(*own, "path").distinct()
+    exact = tries.join(known, [*own, "path"]).groupBy(key, *own).agg(F.min_by("path", "pos").alias("path"))
+    last = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    rest = wanted.select(key, *own, last(F.trim("name")).alias("front")).where("front <> ''").join(exact, [key, *own], "left_anti")
+    base = last("path")
+    fronts = known.where(base != "").select(*own, "path", F.explode(F.transform(F.sequence(F.lit(1), F.length(base)), lambda n: F.substring(base, F.lit(1), n))).alias("front"))
+    guessed = rest.join(fronts, [*own, "front"]).groupBy(key, *own).agg(F.min("path").alias("path"))
     return exact.unionByName(guessed)
 
 
 def declared_figures(text: Column) -> Column:
     """How many figures a source declares: one for each float with an image, or one for each caption of its own inside it, and
-    one for each captioned image outside of floats. Comments do not count."""
+    one for each captioned image outside of floats. Sideways and wrapped floats count too; comments do not."""
     clean = F.regexp_replace(text, r"(?m)(?<!\\)%.*$", "")
-    float_ = r"(?s)\\begin\{figure\*?\}.*?\\end\{figure\*?\}"
-    floats = F.regexp_extract_all(clean, F.lit(f"({float_})"), F.lit(1))
+    float_ = r"(?s)\\begin\{(figure\*?|sidewaysfigure\*?|wrapfigure)\}.*?\\end\{\1\}"
+    floats = F.regexp_extract_all(clean, F.lit(float_), F.lit(0))
     own = lambda s: F.size(F.regexp_extract_all(s, F.lit(r"(\\captionof\{figure\})"), F.lit(1)))
     inside = F.aggregate(floats, F.lit(0), lambda n, f: n + F.when(f.rlike(r"\\includegraphics"), F.greatest(own(f), F.lit(1))).otherwise(0))
     return (inside + own(F.regexp_replace(clean, float_, ""))).cast("long")
