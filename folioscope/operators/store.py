@@ -35,6 +35,33 @@ def merge(current: DataFrame, writes: DataFrame) -> DataFrame:
     )
 
 
+def merge_in_order(current: DataFrame, writes: DataFrame, order: list[str]) -> DataFrame:
+    """The state after ``writes`` (``id, op, data, if_version``) of which one id may have several, in the order of the columns ``order``; ``outcomes``
+    has one word for each write of an id, none for ids that nothing was asked of.
+
+    A fold over an id's writes with the version as what is handed on: each write sees what the one before it has left, so a pin holds
+    or fails by the version at its own turn. An id's writes are one row; a batch of writes bounds them. Writes of no id are left out."""
+    turn = F.struct(*order, "op", "data", "if_version")
+    asked = writes.where(F.col("id").isNotNull()).groupBy("id").agg(F.array_sort(F.collect_list(turn)).alias("writes"))
+    both = current.join(asked, "id", "full_outer")
+    start = F.struct(F.col("version").cast("long").alias("version"), F.col("data").alias("data"), F.expr("cast(array() as array<string>)").alias("outcomes"))
+
+    def step(acc, w):
+        conflict = w["if_version"].isNotNull() & (w["if_version"] != F.coalesce(acc["version"], F.lit(0).cast("long")))
+        missing = w["op"].isin("update", "delete") & acc["version"].isNull()
+        outcome = F.when(conflict, "conflict").when(missing, "missing").when(w["op"] == "delete", "deleted").otherwise("written")
+
+        def put(o):
+            version = F.when(o == "deleted", None).when(o == "written", F.coalesce(acc["version"], F.lit(0).cast("long")) + 1).otherwise(acc["version"])
+            data = F.when(o == "deleted", None).when(o == "written", w["data"]).otherwise(acc["data"])
+            return F.struct(version.alias("version"), data.alias("data"), F.concat(acc["outcomes"], F.array(o)).alias("outcomes"))
+
+        return F.transform(F.array(outcome), put)[0]
+
+    folded = F.aggregate(F.coalesce("writes", F.array().cast(asked.schema["writes"].dataType)), start, step)
+    return both.withColumn("after", folded).select("id", "after.version", "after.data", "after.outcomes")
+
+
 def last_writes(feed: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last write of each key: an aggregate, so that busy keys are combined before the shuffle."""
     rest = [c for c in feed.columns if c not in key and c not in order]

@@ -36,6 +36,22 @@ def k8(spark, d):
     return store.merge(current, writes)
 
 
+@query("k8_writes_in_order", """WITH RECURSIVE w AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE event_id % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'update' ELSE 'set' END AS op, event_type AS data, CASE WHEN event_id % 3 = 0 THEN event_id % 4 END AS pin FROM events),
+       c AS (SELECT c_custkey AS id, CAST(1 AS BIGINT) AS version, c_mktsegment AS data FROM customer WHERE c_custkey % 2 = 0),
+       ids AS (SELECT id FROM c UNION SELECT id FROM w),
+       s AS (SELECT id, CAST(0 AS BIGINT) AS n, c.version, c.data, '' AS outcomes FROM ids LEFT JOIN c USING (id)
+             UNION ALL
+             SELECT id, n, CASE o WHEN 'deleted' THEN NULL WHEN 'written' THEN coalesce(version, 0) + 1 ELSE version END, CASE o WHEN 'deleted' THEN NULL WHEN 'written' THEN new ELSE data END, outcomes || o || ' '
+             FROM (SELECT s.id, w.n, s.version, s.data, w.data AS new, s.outcomes, CASE WHEN pin IS NOT NULL AND pin <> coalesce(s.version, 0) THEN 'conflict' WHEN op IN ('update', 'delete') AND s.version IS NULL THEN 'missing' WHEN op = 'delete' THEN 'deleted' ELSE 'written' END AS o
+                   FROM s JOIN w ON w.id = s.id AND w.n = s.n + 1))
+       SELECT id, version, data, rtrim(outcomes, ' ') AS outcomes FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1""")
+def k8_in_order(spark, d):
+    """Events as writes of their users, each seeing what the one before it has left."""
+    writes = S.table(spark, d, "events").selectExpr("user_id id", "event_id pos", "case event_id % 5 when 0 then 'delete' when 1 then 'update' else 'set' end op", "event_type data", "case when event_id % 3 = 0 then event_id % 4 end if_version")
+    current = S.table(spark, d, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey id", "cast(1 as bigint) version", "c_mktsegment data")
+    return store.merge_in_order(current, writes, ["pos"]).withColumn("outcomes", F.array_join("outcomes", " "))
+
+
 @query("t1_latest_state", f"WITH {S.VERSIONS} SELECT block, max(version) AS version, arg_max(op, version) AS op, arg_max(data, version) AS data FROM versions GROUP BY block")
 def t1(spark, d):
     return store.last_writes(S.versions(spark, d), ["block"], ["version"]).select("block", "version", "op", "data")
