@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import anchors, notes as N
 from . import standins as S
 from .registry import query
@@ -12,9 +13,30 @@ from .registry import query
 SIGNS = {"author3": "Kim Test", "@owner": "Sam Sample"}
 
 
-@query("f3_drop_private_fields", f"WITH {S.NOTES} SELECT id, cat, status, author, byOwner FROM notes")
+def _drafts(rows):
+    """Rows as drafts: the columns that they lack are null."""
+    from ..schemas import DRAFTS
+
+    empty = rows.sparkSession.createDataFrame([], DRAFTS)
+    own = rows.select(*[F.col(c).cast(empty.schema[c].dataType).alias(c) for c in rows.columns if c in empty.columns])
+    return empty.unionByName(own, allowMissingColumns=True)
+
+
+def _errors(drafts, blocks, texts):
+    return N.draft_errors(_drafts(drafts), blocks, texts).select("doc_id", "draft_pos", "level", "message")
+
+
+@query("f3_drop_private_fields", f"""WITH {S.NOTES} SELECT doc_id, id, 'author,byOwner,cat,id,price' || CASE WHEN status IS NULL THEN '' ELSE ',status' END AS fields,
+       CASE WHEN author = '' THEN coalesce(nullif(authorName, ''), CASE WHEN byOwner THEN 'Page owner' ELSE 'Reviewer' END) ELSE author END AS author FROM notes WHERE coalesce(status, '') <> 'dismissed'""")
 def f3(spark, d):
-    return S.notes(spark, d).drop("authorId", "authorName", "createdAt", "updatedAt", "price", "num", "doc_id")
+    """The fields of each note of the report's payloads."""
+    notes = S.notes(spark, d).withColumn("updatedAt", F.lit("x")).drop("num")
+    none = S.replies(spark, d).where("false")
+    replies = none.select(F.lit(0).cast("long").alias("doc_id"), "note", F.col("note").alias("id"), "text", *[F.lit(None).cast("string").alias(c) for c in ("author", "authorName", "authorId")], F.lit(False).alias("byOwner"))
+    edits = replies.select("doc_id", F.col("note").alias("block"), "text", "author", "authorName", "authorId", F.lit(None).cast("string").alias("history"))
+    payload = F.from_json("payload", "notes array<string>")
+    each = N.report(notes, replies, edits, "2026-01-01").select("doc_id", F.explode(payload["notes"]).alias("note"))
+    return each.select("doc_id", F.get_json_object("note", "$.id").alias("id"), F.array_join(F.sort_array(F.json_object_keys("note")), ",").alias("fields"), F.get_json_object("note", "$.author").alias("author"))
 
 
 @query("f4_open_notes", f"WITH {S.NOTES} SELECT doc_id, id, cat FROM notes WHERE coalesce(status, 'open') = 'open'")
@@ -27,21 +49,24 @@ def f5(spark, d):
     return N.without_dismissed(S.notes(spark, d)).select("doc_id", "id", "status")
 
 
-@query("f6_unknown_category", f"WITH {S.NOTES} SELECT doc_id, id, cat FROM notes WHERE cat NOT IN ('high', 'medium', 'low', 'urgent')")
+@query("f6_unknown_category", """SELECT o_custkey AS doc_id, CAST(o_orderkey AS INTEGER) AS draft_pos, 'error' AS level, 'unknown cat ' || lower(o_orderpriority) AS message FROM orders WHERE o_orderkey % 3 <> 0""")
 def f6(spark, d):
-    return S.notes(spark, d).where(~F.coalesce("cat", F.lit("low")).isin("high", "medium", "low", "urgent")).select("doc_id", "id", "cat")
+    cat = F.when(F.col("o_orderkey") % 3 == 0, "mine").otherwise(F.lower("o_orderpriority"))
+    drafts = S.table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("draft_pos"), cat.alias("cat"), F.lit("note").alias("kind"))
+    blocks = S.blocks(spark, d)
+    return _errors(drafts, blocks, blocks)
 
 
 @query(
     "f7_box_inside_image",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, w, h,
-              (x >= 0 AND x < 1 AND y >= 0 AND y < 1 AND w > 0 AND w <= 1 - x + 1e-6 AND h > 0 AND h <= 1 - y + 1e-6) AS inside
-       FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 AS x, l_tax * 10 AS y, l_quantity / 50 AS w, l_discount * 5 AS h FROM lineitem)""",
+    """SELECT l_orderkey AS doc_id, l_linenumber AS draft_pos, 'error' AS level, 'box must be fractions inside the image' AS message FROM (SELECT l_orderkey, l_linenumber, l_discount * 10 AS x, l_tax * 10 AS y, l_quantity / 50 AS w, l_discount * 5 AS h FROM lineitem)
+       WHERE NOT (x >= 0 AND x < 1 AND y >= 0 AND y < 1 AND w > 0 AND w <= 1 - x + 1e-6 AND h > 0 AND h <= 1 - y + 1e-6)""",
 )
 def f7(spark, d):
-    b = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 10).alias("x"), (F.col("l_tax") * 10).alias("y"), (F.col("l_quantity") / 50).alias("w"), (F.col("l_discount") * 5).alias("h"))
-    x, y, w, h = (F.col(c) for c in "xywh")
-    return b.withColumn("inside", (x >= 0) & (x < 1) & (y >= 0) & (y < 1) & (w > 0) & (w <= 1 - x + 1e-6) & (h > 0) & (h <= 1 - y + 1e-6))
+    box = F.array(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50, F.col("l_discount") * 5)
+    drafts = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("draft_pos"), F.lit("fig-1").alias("fig"), box.alias("box"))
+    figures = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("ord"), F.lit("fig-1").alias("block_id"), F.lit("figure").alias("kind"), F.lit("").alias("text"))
+    return _errors(drafts, figures, figures)
 
 
 @query("f22_search_with_replies", f"""WITH {S.NOTES}, {S.REPLIES} SELECT id, cat FROM notes WHERE cat IN ('high', 'low') AND
@@ -97,10 +122,25 @@ def a1(spark, d):
     return N.category_counts(S.notes(spark, d).withColumn("pos", F.col("num"))).select("doc_id", "cat", "n", F.col("place").cast("long").alias("place"))
 
 
-@query("a2_conditional_counts", f"""WITH {S.NOTES} SELECT doc_id, count(*) AS notes, CAST(count_if(coalesce(status, 'open') = 'open') AS BIGINT) AS n_open, CAST(count_if(authorId IS NOT NULL) AS BIGINT) AS n_account,
-       CAST(count_if(author = '' AND NOT byOwner) AS BIGINT) AS n_unsigned FROM notes GROUP BY doc_id""")
+#: Orders as notes of all kinds on a customer's only block, whose text is the customer's own segment and name.
+_PAGE = f"""{S.NOTES}, n AS (SELECT *, CASE num % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'box' ELSE 'note' END AS kind, CASE num % 2 WHEN 0 THEN 'b1' ELSE 'b2' END AS block, CASE WHEN num % 5 = 0 THEN 'AUTO' ELSE 'Customer' END AS exact, CASE WHEN num % 4 = 0 THEN 'x' ELSE '' END AS suggestion FROM notes)"""
+
+
+@query("a2_conditional_counts", f"""WITH {_PAGE}, t AS (SELECT c_custkey AS doc_id, 'b1' AS block, c_mktsegment || ' ' || c_name AS text FROM customer), e AS (SELECT c_custkey AS doc_id, 'b1' AS block FROM customer WHERE c_custkey % 3 = 0),
+       {S.REPLIES}, o AS (SELECT n.doc_id, e.block IS NOT NULL AS edited FROM n LEFT JOIN t USING (doc_id, block) LEFT JOIN e USING (doc_id, block) WHERE kind = 'text' AND (t.text IS NULL OR NOT contains(t.text, exact))),
+       r AS (SELECT n.doc_id, count(*) AS replies, count(DISTINCT note) AS threads FROM n JOIN replies ON replies.note = n.id GROUP BY 1), l AS (SELECT doc_id, count_if(NOT edited) AS orphans, count_if(edited) AS edited_quotes FROM o GROUP BY 1)
+       SELECT doc_id, count(*) AS notes, CAST(count_if(coalesce(status, 'open') = 'open') AS BIGINT) AS open, CAST(count_if(status = 'done') AS BIGINT) AS done, CAST(count_if(status = 'dismissed') AS BIGINT) AS dismissed,
+              CAST(count_if(kind = 'text') AS BIGINT) AS marks, CAST(count_if(kind = 'box') AS BIGINT) AS boxes, CAST(count_if(kind = 'note') AS BIGINT) AS general, CAST(count_if(suggestion <> '') AS BIGINT) AS suggestions,
+              CAST(coalesce(any_value(orphans), 0) AS BIGINT) AS orphans, CAST(coalesce(any_value(edited_quotes), 0) AS BIGINT) AS edited_quotes, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS edits, coalesce(any_value(replies), 0) AS replies, coalesce(any_value(threads), 0) AS threads
+       FROM n LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY doc_id""")
 def a2(spark, d):
-    return S.notes(spark, d).groupBy("doc_id").agg(F.count("*").alias("notes"), F.count_if(F.coalesce("status", F.lit("open")) == "open").alias("n_open"), F.count_if(F.col("authorId").isNotNull()).alias("n_account"), F.count_if((F.col("author") == "") & ~F.col("byOwner")).alias("n_unsigned"))
+    kind = F.when(F.col("num") % 3 == 0, "text").when(F.col("num") % 3 == 1, "box").otherwise("note")
+    notes = S.notes(spark, d).withColumns({"kind": kind, "block": F.when(F.col("num") % 2 == 0, "b1").otherwise("b2"), "exact": F.when(F.col("num") % 5 == 0, "AUTO").otherwise("Customer"), "suggestion": F.when(F.col("num") % 4 == 0, "x").otherwise("")})
+    customers = S.table(spark, d, "customer")
+    texts = customers.select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit("b1").alias("block_id"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("text"))
+    edits = customers.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit("b1").alias("block"))
+    replies = S.replies(spark, d).join(notes.select("doc_id", F.col("id").alias("note")), "note")
+    return N.page_state(notes, texts, edits, replies)
 
 
 @query("a3_notes_with_replies", f"WITH {S.REPLIES} SELECT substr(createdAt, 1, 4) AS year, count(DISTINCT note) AS notes, count(*) AS replies FROM replies GROUP BY 1")
@@ -131,12 +171,13 @@ def w3(spark, d):
     return out.select(F.col("old").alias("id"), F.col("id").alias("new_id"))
 
 
-@query("w4_reply_ordinals", f"""WITH {S.REPLIES} SELECT note, text, createdAt, row_number() OVER (PARTITION BY note ORDER BY createdAt, text, price) AS k,
-       strftime(strptime(createdAt, {S.STAMP}) + to_seconds(row_number() OVER (PARTITION BY note ORDER BY createdAt, text, price)), {S.STAMP}) AS stamped FROM replies""")
+@query("w4_reply_ordinals", f"""WITH {S.REPLIES}, k AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY createdAt, text, price) AS k FROM replies)
+       SELECT note || '-c' || k AS id, note, text, strftime(strptime(createdAt, {S.STAMP}) + to_seconds(k), {S.STAMP}) AS createdAt, 'ann' AS author, NULL::BOOLEAN AS byOwner FROM k""")
 def w4(spark, d):
-    k = F.row_number().over(Window.partitionBy("note").orderBy("createdAt", "text", "price"))
-    at = F.to_timestamp(F.regexp_replace("createdAt", "Z$", ""), "yyyy-MM-dd'T'HH:mm:ss")
-    return S.replies(spark, d).withColumn("k", k).select("note", "text", "createdAt", F.col("k").cast("long").alias("k"), F.date_format(at + F.make_dt_interval(secs=F.col("k")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamped"))
+    """Replies as the drafts of notes have them."""
+    said = F.transform(F.sort_array(F.collect_list(F.struct("createdAt", "text", "price"))), lambda r: F.struct(r["text"].alias("text"), F.lit("ann").alias("author"), r["createdAt"].alias("date")))
+    drafts = S.replies(spark, d).groupBy(F.lit(0).alias("doc_id"), F.col("note").alias("id")).agg(said.alias("replies"))
+    return N.reply_rows(drafts, "2026-01-01T00:00:00Z").select("id", "note", "text", "createdAt", "author", "byOwner")
 
 
 @query("w23_section_headers", f"""WITH {S.NOTES} SELECT id, CASE WHEN lag(cat) OVER (PARTITION BY doc_id ORDER BY num) IS DISTINCT FROM cat THEN '## ' || cat ELSE '' END AS header FROM notes""")
@@ -152,31 +193,37 @@ def w25(spark, d):
     return N.latest_replies(rows).select("note", "text", "createdAt", "earlier")
 
 
-@query("o2_manuscript_order", f"""WITH {S.BLOCKS}, q AS (SELECT doc_id, 'q' || CAST(doc_id AS VARCHAR) AS id, substr(text, 6, 12) AS exact FROM blocks WHERE ord = 1 AND length(text) > 20)
-       SELECT b.doc_id, b.block_id, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.ord, instr(b.text, q.exact), b.block_id) AS place
-       FROM blocks b JOIN q USING (doc_id) WHERE contains(b.text, q.exact)""")
+@query("o2_manuscript_order", f"""WITH {S.BLOCKS}, q AS (SELECT doc_id, text AS exact FROM blocks WHERE ord = 1),
+       n AS (SELECT b.doc_id, b.block_id, b.ord, CASE b.ord % 4 WHEN 2 THEN 'box' WHEN 3 THEN 'note' ELSE 'text' END AS kind, q.exact, b.text FROM blocks b JOIN q USING (doc_id)),
+       p AS (SELECT doc_id, block_id, CASE WHEN kind = 'note' THEN -1 WHEN ord % 7 = 6 THEN 1000000 ELSE ord END AS a, CASE kind WHEN 'note' THEN ord WHEN 'box' THEN -1 ELSE 0 END AS b,
+             CASE kind WHEN 'note' THEN 0 WHEN 'box' THEN ord / 10.0 ELSE CASE WHEN exact = '' OR ord % 7 = 6 THEN -1 ELSE instr(text, exact) - 1 END END AS c FROM n)
+       SELECT doc_id, block_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, c, block_id) AS place FROM p""")
 def o2(spark, d):
+    """A note of some kind on every block: general ones, boxes, quotes that are there or not, and blocks that are unknown."""
     blocks = S.blocks(spark, d)
-    quotes = blocks.where("ord = 1 and length(text) > 20").select("doc_id", F.substring("text", 6, 12).alias("exact"))
-    notes = blocks.join(quotes, "doc_id").where(F.contains("text", "exact")).select("doc_id", F.col("block_id").alias("block"), "exact", F.lit("text").alias("kind"), F.lit(0).alias("occ"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("y"))
+    quotes = blocks.where("ord = 1").select("doc_id", F.col("text").alias("exact"))
+    kind = F.when(F.col("ord") % 4 == 2, "box").when(F.col("ord") % 4 == 3, "note").otherwise("text")
+    notes = blocks.join(quotes, "doc_id").select("doc_id", "block_id", F.when(F.col("ord") % 7 == 6, "gone").otherwise(F.col("block_id")).alias("block"), "exact", kind.alias("kind"), F.lit(0).alias("occ"), F.col("ord").cast("long").alias("seq"), (F.col("ord") / 10).alias("y"))
     placed = N.positions(notes, blocks, blocks)
-    return placed.select("doc_id", F.col("block").alias("block_id"), F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "block")).cast("long").alias("place"))
+    return placed.select("doc_id", "block_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "block_id")).cast("long").alias("place"))
 
 
-@query("o3_reply_order", f"WITH {S.REPLIES} SELECT note, text, row_number() OVER (PARTITION BY note ORDER BY createdAt, text, price) AS place FROM replies")
+@query("o3_reply_order", f"WITH {S.REPLIES} SELECT note, text, row_number() OVER (PARTITION BY note ORDER BY createdAt, text, price) AS place FROM replies WHERE note IN (SELECT 'n' || o_orderkey FROM orders)")
 def o3(spark, d):
-    return S.replies(spark, d).select("note", "text", F.row_number().over(Window.partitionBy("note").orderBy("createdAt", "text", "price")).cast("long").alias("place"))
+    own = S.replies(spark, d).select(F.lit(0).alias("doc_id"), "note", F.struct("text", "price").alias("id"), "createdAt")
+    threads = N.with_replies(S.notes(spark, d).select("id", F.lit(0).alias("doc_id")), own)
+    return threads.select(F.col("id").alias("note"), F.posexplode("replies").alias("n", "r")).select("note", "r.id.text", (F.col("n") + 1).cast("long").alias("place"))
 
 
-@query("u1_drafts_and_comments", """WITH d AS (SELECT doc_id, 0 AS draft_pos, 'mine' AS cat, NULL AS kind, substr(text, 1, 10) AS exact, NULL AS comment FROM documents WHERE doc_id % 3 = 0),
+@query("u1_drafts_and_comments", """WITH d AS (SELECT doc_id, 0 AS draft_pos, 'mine' AS cat, NULL AS kind, text AS exact, NULL AS comment FROM documents),
        c AS (SELECT conv_id AS doc_id, turn, text, CASE WHEN turn % 2 = 0 THEN 'b001' END AS block_id FROM conversations)
        SELECT * FROM d UNION ALL
        SELECT c.doc_id, CASE WHEN d.doc_id IS NULL THEN 0 ELSE 1 END + row_number() OVER (PARTITION BY c.doc_id ORDER BY turn) - 1, 'coauthor', CASE WHEN c.block_id IS NULL THEN 'note' END,
-              CASE WHEN c.block_id IS NOT NULL THEN substr(c.text, 1, 20) END, CASE WHEN c.block_id IS NULL THEN c.text || ' (on: “' || substr(c.text, 1, 20) || '”)' ELSE c.text END
+              CASE WHEN c.block_id IS NOT NULL THEN c.text END, CASE WHEN c.block_id IS NULL THEN c.text || ' (on: “' || substr(c.text, 1, 120) || '”)' ELSE c.text END
        FROM c LEFT JOIN d USING (doc_id)""")
 def u1(spark, d):
-    drafts = S.table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("draft_pos"), F.lit("mine").alias("cat"), F.lit(None).cast("string").alias("kind"), F.left("text", F.lit(10)).alias("exact"), F.lit(None).cast("string").alias("comment"))
-    comments = S.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text", F.left("text", F.lit(20)).alias("exact"), F.when(F.col("turn") % 2 == 0, "b001").alias("block_id"), F.lit("a").alias("author"))
+    drafts = S.table(spark, d, "documents").select("doc_id", F.lit(0).alias("draft_pos"), F.lit("mine").alias("cat"), F.lit(None).cast("string").alias("kind"), F.col("text").alias("exact"), F.lit(None).cast("string").alias("comment"))
+    comments = S.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text", F.col("text").alias("exact"), F.when(F.col("turn") % 2 == 0, "b001").alias("block_id"), F.lit("a").alias("author"))
     return N.union_comments(drafts, comments).select("doc_id", F.col("draft_pos").cast("long").alias("draft_pos"), "cat", "kind", "exact", "comment")
 
 
@@ -187,9 +234,35 @@ def k3(spark, d):
     return N.batches(writes, ["num"]).select("doc_id", "id", F.col("batch_no").cast("long").alias("batch_no"))
 
 
-@query("k2_kind_summary", f"WITH {S.TALK} SELECT kind, count(*) AS n, CAST(count_if(length(html) < 50) AS BIGINT) AS short FROM talk GROUP BY kind")
+@query("k2_kind_summary", f"""WITH {S.BLOCKS}, k AS (SELECT doc_id, block_id, CASE ord % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'figure' ELSE 'table' END AS kind, text AS caption FROM blocks)
+       SELECT doc_id, kind, count(*) AS n, coalesce(string_agg(block_id, ',' ORDER BY block_id) FILTER (WHERE kind <> 'p' AND caption = ''), '') AS without_caption FROM k GROUP BY doc_id, kind""")
 def k2(spark, d):
-    return S.talk(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.length("html") < 50).alias("short"))
+    from ..operators.blocks import summary
+
+    kind = F.when(F.col("ord") % 3 == 0, "p").when(F.col("ord") % 3 == 1, "figure").otherwise("table")
+    found = summary(S.blocks(spark, d).select("doc_id", "block_id", kind.alias("kind"), F.col("text").alias("caption")))
+    return found.withColumn("without_caption", F.array_join("without_caption", ","))
+
+
+@query("k5_markdown", f"""WITH {S.NOTES}, o AS (SELECT *, CASE WHEN num % 2 = 0 THEN 'text' ELSE 'note' END AS kind, CASE WHEN num % 2 = 0 THEN 'Part ' || (num % 3) ELSE 'General' END AS section, row_number() OVER (PARTITION BY doc_id ORDER BY num) AS place FROM notes WHERE coalesce(status, 'open') = 'open'),
+       h AS (SELECT *, lag(section) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM o),
+       l AS (SELECT doc_id, place, cat, CASE WHEN before IS DISTINCT FROM section THEN '## ' || section || chr(10) || chr(10) ELSE '' END || '**' || place || '. ' || cat || '**'
+             || CASE WHEN kind = 'text' THEN ' (at ' || id || '): “' || cat || '”' ELSE '' END || '  ' || chr(10) || 'said ' || id || CASE WHEN num % 5 = 0 THEN '  ' || chr(10) || 'Suggested: so' ELSE '' END
+             || coalesce(chr(10) || '_' || coalesce(nullif(author, ''), nullif(authorName, ''), CASE WHEN byOwner THEN 'page owner' END) || '_', '')
+             || coalesce((SELECT string_agg(chr(10) || '> **Ann** (' || substr(r.at, 1, 10) || '): ' || r.text || '  ', '' ORDER BY r.at, r.text) FROM (SELECT 'n' || l_orderkey AS note, strftime(l_shipdate, {S.STAMP}) AS at, concat_ws('/', l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, CAST(l_quantity AS BIGINT)) AS text FROM lineitem) r WHERE r.note = h.id), '') AS part FROM h),
+       c AS (SELECT doc_id, string_agg(cat || ' ' || n, ', ' ORDER BY n DESC, first_seen) AS cats FROM (SELECT doc_id, cat, count(*) AS n, min(place) AS first_seen FROM o GROUP BY ALL) GROUP BY 1)
+       SELECT doc_id, '# Open review notes' || chr(10) || chr(10) || count(*) || ' open notes, in manuscript order.' || chr(10) || chr(10) || 'By category: ' || any_value(cats) || '.' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY place) || chr(10) AS markdown
+       FROM l JOIN c USING (doc_id) GROUP BY doc_id""")
+def k5_whole(spark, d):
+    """Whole Markdown exports, from notes that have been put in order."""
+    notes = N.open_notes(S.notes(spark, d)).withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("num"))).withColumn("place", F.col("pos"))
+    even = F.col("num") % 2 == 0
+    notes = notes.withColumns({
+        "kind": F.when(even, "text").otherwise("note"), "section": F.when(even, F.concat(F.lit("Part "), (F.col("num") % 3).cast("string"))).otherwise("General"), "sub": F.concat(F.lit("at "), "id"), "block": F.lit("b"), "exact": F.col("cat"),
+        "comment": F.concat(F.lit("said "), "id"), "suggestion": F.when(F.col("num") % 5 == 0, "so"),
+    })
+    replies = S.replies(spark, d).join(notes.select("doc_id", F.col("id").alias("note")), "note").withColumns({"by": F.lit("Ann"), "id": F.col("text")})
+    return N.export_markdown(notes, replies)
 
 
 @query("k5_markdown_lines", f"""WITH {S.NOTES} SELECT id, '**' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY num) AS VARCHAR) || '. ' || cat || '** ' || coalesce(nullif(author, ''), CASE WHEN byOwner THEN 'page owner' ELSE 'unsigned' END) || ' (' || substr(createdAt, 1, 10) || ')' AS line
@@ -254,28 +327,43 @@ def j2(spark, d):
     return anchors.resolve(hits, quotes, "item_id", "block_id", "place").select("item_id", "n_hits", "verdict")
 
 
-@query("j3_quote_in_named_block", f"""WITH {S.BLOCKS}, q AS (SELECT doc_id, 'b002' AS block_id, substr(text, 1, 8) AS exact FROM documents)
-       SELECT q.doc_id, CASE WHEN b.text IS NULL THEN 'no block' WHEN contains(b.text, q.exact) THEN 'found' ELSE 'no text' END AS verdict FROM q LEFT JOIN blocks b USING (doc_id, block_id)""")
+_TIDY = r"regexp_replace(q.text, '^[\s\x1c-\x1f\x{85}\x{a0}]+|[\s\x1c-\x1f\x{85}\x{a0}]+$', '', 'g')"
+
+
+@query("j3_quote_in_named_block", f"""WITH {S.BLOCKS}, n AS (SELECT q.doc_id, {_TIDY} AS exact, b.text FROM blocks q LEFT JOIN blocks b ON b.doc_id = q.doc_id AND b.block_id = 'b002' WHERE q.ord = 0)
+       SELECT doc_id, 0 AS draft_pos, 'error' AS level, CASE WHEN exact = '' THEN 'empty exact' WHEN text IS NULL THEN 'block does not exist' ELSE 'text not found in block' END AS message FROM n WHERE exact = '' OR text IS NULL OR NOT contains(text, exact)""")
 def j3(spark, d):
-    quotes = S.table(spark, d, "documents").select("doc_id", F.lit("b002").alias("block_id"), F.left("text", F.lit(8)).alias("exact"))
-    out = quotes.join(S.blocks(spark, d), ["doc_id", "block_id"], "left")
-    return out.select("doc_id", F.when(F.col("text").isNull(), "no block").when(F.contains("text", "exact"), "found").otherwise("no text").alias("verdict"))
+    """Each document's first line, said to stand in its second."""
+    blocks = S.blocks(spark, d)
+    drafts = blocks.where("ord = 0").select("doc_id", F.lit(0).alias("draft_pos"), F.lit("b002").alias("block"), T.strip(F.col("text")).alias("exact"), F.lit(0).alias("occ"))
+    return _errors(drafts, blocks, blocks)
+
 
+@query("f8_figure_ids", f"""WITH {S.BLOCKS} SELECT doc_id, ord AS draft_pos, 'error' AS level, 'not a figure id' AS message FROM blocks WHERE ord % 3 <> 1""")
+def f8(spark, d):
+    """A box on every block, a third of which are figures."""
+    blocks = S.blocks(spark, d).withColumn("kind", F.when(F.col("ord") % 3 == 1, "figure").otherwise("p"))
+    drafts = blocks.select("doc_id", F.col("ord").alias("draft_pos"), F.col("block_id").alias("fig"), F.array(*[F.lit(x) for x in (0.1, 0.1, 0.5, 0.5)]).alias("box"))
+    return _errors(drafts, blocks, blocks)
 
-@query("j4_block_order_and_kind", f"""WITH {S.BLOCKS}, n AS (SELECT conv_id AS doc_id, turn, 'b' || lpad(CAST(turn + 1 AS VARCHAR), 3, '0') AS block_id FROM conversations)
-       SELECT n.doc_id, n.turn, coalesce(b.ord, 1000000) AS ord, b.kind FROM n LEFT JOIN blocks b USING (doc_id, block_id)""")
+
+@query("j4_block_order_and_kind", f"""WITH {S.BLOCKS}, n AS (SELECT conv_id AS doc_id, turn, 'b' || lpad(CAST(turn + 1 AS VARCHAR), 3, '0') AS block_id, text AS exact FROM conversations)
+       SELECT n.doc_id, n.turn, coalesce(b.ord, 1000000) AS a, CASE WHEN n.exact = '' OR b.text IS NULL THEN -1 ELSE instr(b.text, n.exact) - 1 END AS c FROM n LEFT JOIN blocks b USING (doc_id, block_id)""")
 def j4(spark, d):
-    notes = S.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.format_string("b%03d", F.col("turn") + 1).alias("block_id"))
-    return notes.join(S.blocks(spark, d).select("doc_id", "block_id", "ord", "kind"), ["doc_id", "block_id"], "left").select("doc_id", "turn", F.coalesce("ord", F.lit(1_000_000)).alias("ord"), "kind")
+    notes = S.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.format_string("b%03d", F.col("turn") + 1).alias("block"), F.col("text").alias("exact"), F.lit("text").alias("kind"), F.lit(0).alias("occ"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("y"))
+    blocks = S.blocks(spark, d)
+    return N.positions(notes, blocks, blocks).select("doc_id", "turn", "pos.a", F.col("pos.c").cast("long").alias("c"))
 
 
-@query("f23_orphans", f"""WITH {S.BLOCKS}, n AS (SELECT doc_id, 'q' || CAST(doc_id AS VARCHAR) AS id, 'b002' AS block_id, substr(text, 1, 5) AS exact FROM documents), e AS (SELECT DISTINCT conv_id AS doc_id FROM conversations)
-       SELECT n.doc_id, n.id, CASE WHEN e.doc_id IS NULL THEN 'orphan' ELSE 'edited quote' END AS state FROM n LEFT JOIN blocks b USING (doc_id, block_id) LEFT JOIN e USING (doc_id)
+@query("f23_orphans", f"""WITH {S.BLOCKS}, n AS (SELECT doc_id, 'q' || ord AS id, 'b' || CASE WHEN ord < 998 THEN lpad(CAST(ord + 2 AS VARCHAR), 3, '0') ELSE CAST(ord + 2 AS VARCHAR) END AS block_id, text AS exact FROM blocks), e AS (SELECT DISTINCT conv_id AS doc_id, 'b002' AS block_id FROM conversations)
+       SELECT n.doc_id, n.id, CASE WHEN e.doc_id IS NULL THEN 'orphan' ELSE 'edited quote' END AS state FROM n LEFT JOIN blocks b USING (doc_id, block_id) LEFT JOIN e USING (doc_id, block_id)
        WHERE b.text IS NULL OR NOT contains(b.text, n.exact)""")
 def f23(spark, d):
-    notes = S.table(spark, d, "documents").select("doc_id", F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("id"), F.lit("text").alias("kind"), F.lit("b002").alias("block"), F.left("text", F.lit(5)).alias("exact"))
+    """Every line, as a quote of the line behind it."""
+    blocks = S.blocks(spark, d)
+    notes = blocks.select("doc_id", F.concat(F.lit("q"), F.col("ord").cast("string")).alias("id"), F.lit("text").alias("kind"), F.format_string("b%03d", F.col("ord") + 2).alias("block"), F.col("text").alias("exact"))
     edits = S.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("b002").alias("block"))
-    return anchors.orphans(notes, S.blocks(spark, d), edits).select("doc_id", "id", "state")
+    return anchors.orphans(notes, blocks, edits).select("doc_id", "id", "state")
 
 
 @query("e31_apply_suggestion", """SELECT doc_id, substr(text, 1, p - 1) || '<new>' || substr(text, p + 5) AS text FROM (SELECT doc_id, text, instr(text, ' th') AS p FROM documents) WHERE p > 0""")

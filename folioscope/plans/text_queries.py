@@ -112,13 +112,6 @@ def w27(spark, d):
     return S.table(spark, d, "documents").select("doc_id", T.line_number(F.col("text"), F.floor(F.length("text") / 2)).cast("long").alias("line"))
 
 
-@query("f8_figure_ids", f"WITH {S.TALK} SELECT n.doc_id, n.ord, coalesce(f.kind = 'h3', FALSE) AS ok FROM talk n LEFT JOIN talk f ON f.doc_id = n.doc_id AND f.ord = n.ord + 1")
-def f8(spark, d):
-    t = S.talk(spark, d)
-    after = t.select("doc_id", (F.col("ord") - 1).alias("ord"), F.col("kind").alias("k"))
-    return t.join(after, ["doc_id", "ord"], "left").select("doc_id", "ord", F.coalesce(F.col("k") == "h3", F.lit(False)).alias("ok"))
-
-
 @query("f9_dates", "SELECT event_id, event_id % 3 = 0 AS ok FROM events")
 def f9(spark, d):
     day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
