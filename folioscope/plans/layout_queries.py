@@ -68,12 +68,18 @@ def w26(spark, d):
     return rows.withColumn("clash", E.begins_too_soon(F.col("s"), F.col("e"), ["l_orderkey"], ["s", "e"]))
 
 
-@query("j11_changed_cells", """WITH a AS (SELECT item_id, unnest(string_split(text, ' ')) AS c, generate_subscripts(string_split(text, ' '), 1) AS n FROM benchmark)
-       SELECT x.item_id, x.n, x.c AS was, y.c AS now FROM a x JOIN a y ON y.item_id = x.item_id + 1 AND y.n = x.n WHERE x.c <> y.c""")
+@query("j11_changed_cells", """WITH a AS (SELECT item_id, list_transform(string_split(text, ' '), lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) AS c FROM benchmark),
+       n AS (SELECT item_id, len(c) AS size, unnest(c) AS was, generate_subscripts(c, 1) AS n FROM a)
+       SELECT item_id, 'row 1, column ' || n AS cell, was AS old, was || 'x' AS new, NULL AS note FROM n WHERE n % 3 = 1 AND (item_id % 5 <> 0)
+       UNION ALL SELECT item_id, NULL, '', '', 'the shape of the table has changed' FROM a WHERE item_id % 5 = 0""")
 def j11(spark, d):
-    cells = S.table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("n", "c")).withColumn("n", (F.col("n") + 1).cast("long"))
-    now = cells.select((F.col("item_id") - 1).alias("item_id"), "n", F.col("c").alias("now"))
-    return cells.withColumnRenamed("c", "was").join(now, ["item_id", "n"]).where("was <> now")
+    """Texts as tables of one row; every third cell is edited, and a fifth of the tables lose their last cell."""
+    cells = F.transform(F.split("text", " "), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
+    rows = S.table(spark, d, "benchmark").select("item_id", cells.alias("cells"))
+    edited = F.transform("cells", lambda c, k: F.concat(F.lit("<td>"), c, F.when(k % 3 == 0, "x").otherwise(""), F.lit("</td>")))
+    edited = F.when(F.col("item_id") % 5 == 0, F.slice(edited, 1, F.size("cells") - 1)).otherwise(edited)
+    tables = rows.select(F.col("item_id").alias("doc_id"), F.lit("t").alias("block"), F.array("cells").alias("rows"), F.lit("").alias("caption"), F.concat(F.lit("<table><tr>"), F.array_join(edited, ""), F.lit("</tr></table>")).alias("html"))
+    return E.table_hunks(tables).select(F.col("doc_id").alias("item_id"), "cell", "old", "new", F.when(F.col("note").isNotNull(), "the shape of the table has changed").alias("note"))
 
 
 def _words(spark, d):

@@ -112,9 +112,24 @@ def k11(spark, d):
     return lint.stale(new, old, "o_orderkey", "v")
 
 
-@query("u4_unknown_names", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+@query("u4_unknown_names", """WITH s AS (SELECT 'c-' || c_custkey AS skill, c_custkey AS k FROM customer), e AS (
+           SELECT skill, 'error' AS level, 'unexpected keys: odd, other' AS message FROM s WHERE k % 3 = 0
+           UNION ALL SELECT skill, 'error', 'name differs from the folder' FROM s WHERE k % 7 = 0
+           UNION ALL SELECT skill, 'error', 'version is not semantic' FROM s WHERE k % 5 = 0
+           UNION ALL SELECT skill, 'error', 'the change log has no entry for the version' FROM s WHERE k % 5 <> 0 AND k % 2 = 1
+           UNION ALL SELECT skill, 'error', 'mentioned file does not exist: scripts/a.py' FROM s WHERE k % 4 = 0 AND k % 8 <> 0)
+       SELECT skill, CASE WHEN count(e.level) > 0 THEN 'FAIL' ELSE 'ok' END AS state, coalesce(string_agg(e.level || ': ' || e.message, '; ' ORDER BY e.message), '') AS messages FROM s LEFT JOIN e USING (skill) GROUP BY skill""")
 def u4(spark, d):
-    return S.table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct().join(S.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k")), "k", "left_anti")
+    """Customers as skills, some of which break the rules."""
+    own = S.table(spark, d, "customer").select(F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("skill"), F.col("c_custkey").alias("k"), "c_mktsegment")
+    version = F.when(F.col("k") % 5 == 0, "one").otherwise(F.concat(F.lit("1.0."), (F.col("k") % 5).cast("string")))
+    meta = F.create_map(F.lit("name"), F.when(F.col("k") % 7 == 0, "another").otherwise(F.col("skill")), F.lit("description"), F.col("c_mktsegment"), F.lit("version"), version)
+    meta = F.when(F.col("k") % 3 == 0, F.map_concat(meta, F.create_map(F.lit("other"), F.lit("x"), F.lit("odd"), F.lit("y")))).otherwise(meta)
+    skills = own.select("skill", meta.alias("meta"), F.when(F.col("k") % 4 == 0, "Use `scripts/a.py`.").otherwise("").alias("body"))
+    log = own.where("k % 2 = 0").select(F.col("skill").alias("section"), version.alias("version"))
+    files = own.where("k % 8 = 0").select("skill", F.lit("scripts/a.py").alias("path"))
+    found = lint.lint_report(skills, lint.rule_violations(skills, log, files))
+    return found.withColumn("messages", F.array_join("messages", "; "))
 
 
 @query("u6_first_seen", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1")

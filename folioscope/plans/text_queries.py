@@ -138,10 +138,22 @@ def f21(spark, d):
     return lint.packaged(S.table(spark, d, "pages").select("page_id", path.alias("path"))).select("page_id")
 
 
-@query("f20_release_tags", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'tool' ELSE '' END AS skill, CASE WHEN p_size % 2 = 0 THEN '1.2.' || CAST(p_size AS VARCHAR) ELSE '' END AS version FROM part")
+@query("f20_release_tags", """WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'odd ' || p_partkey ELSE 'tool-' || (p_partkey % 7) || '-v1.' || (p_partkey % 3) || '.' || p_size END AS tag, 'tool-' || (p_partkey % 7) AS skill, '1.' || (p_partkey % 3) || '.' || p_size AS version FROM part),
+       s AS (SELECT DISTINCT 'tool-' || (s_suppkey % 6) AS skill FROM supplier), l AS (SELECT DISTINCT 'tool-' || (p_partkey % 7) AS skill, '1.' || (p_partkey % 3) || '.' || p_size AS version FROM part WHERE p_size < 30 AND p_partkey % 3 = 1)
+       SELECT p_partkey, CASE WHEN starts_with(tag, 'odd') THEN '' ELSE t.skill END AS skill, CASE WHEN starts_with(tag, 'odd') THEN '' ELSE t.version END AS version,
+              CASE WHEN starts_with(tag, 'odd') THEN 'no tag of a release' WHEN s.skill IS NULL THEN 'unknown skill' WHEN t.version <> '1.1.7' THEN 'version differs' WHEN l.skill IS NULL THEN 'no notes' ELSE 'ok' END AS state
+       FROM t LEFT JOIN s USING (skill) LEFT JOIN l ON l.skill = t.skill AND l.version = t.version""")
 def f20(spark, d):
-    tag = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("tool-v1.2."), F.col("p_size").cast("string"))).otherwise("tool-1.2")
-    return S.table(spark, d, "part").select("p_partkey", F.regexp_extract(tag, r"^(.*)-v(\d+\.\d+\.\d+)$", 1).alias("skill"), F.regexp_extract(tag, r"^(.*)-v(\d+\.\d+\.\d+)$", 2).alias("version"))
+    """Parts as release tags of tools, all of which are at version 1.1.7."""
+    part = S.table(spark, d, "part")
+    name = F.concat(F.lit("tool-"), (F.col("p_partkey") % 7).cast("string"))
+    version = F.concat(F.lit("1."), (F.col("p_partkey") % 3).cast("string"), F.lit("."), F.col("p_size").cast("string"))
+    tag = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("odd "), F.col("p_partkey").cast("string"))).otherwise(F.concat(name, F.lit("-v"), version))
+    skills = S.table(spark, d, "supplier").select(F.concat(F.lit("tool-"), (F.col("s_suppkey") % 6).cast("string")).alias("skill")).distinct().withColumn("meta", F.create_map(F.lit("version"), F.lit("1.1.7")))
+    log = part.where("p_size < 30 and p_partkey % 3 = 1").select(name.alias("section"), version.alias("version"), F.lit("text").alias("body")).distinct()
+    # A tag names its part, so that equal tags of several parts stay apart.
+    tags = part.select("p_partkey", tag.alias("tag"))
+    return tags.join(lint.release(tags.select("tag").distinct(), skills, log), "tag").select("p_partkey", "skill", "version", "state")
 
 
 @query("o4_first_document_of_text", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
