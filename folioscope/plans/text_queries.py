@@ -29,15 +29,15 @@ def e7(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("e14_change_markdown", """WITH c AS (SELECT conv_id, turn, substr(text, 1, turn * 3 % 20) AS o, substr(text, 5, turn * 5 % 13) AS n FROM conversations), s AS (SELECT *, regexp_replace(o, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(n, '^\\s+|\\s+$', '', 'g') AS b FROM c)
+@query("e14_change_markdown", """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE ' ' END AS o, CASE WHEN turn % 3 <> 0 THEN 'new ' || text || ' ' ELSE chr(10) END AS n FROM conversations), s AS (SELECT *, regexp_replace(o, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(n, '^\\s+|\\s+$', '', 'g') AS b FROM c)
        SELECT conv_id, turn, CASE WHEN a = '' AND b = '' THEN '(see reason)' WHEN a = '' THEN 'insert **' || b || '**' WHEN b = '' THEN 'delete ~~' || a || '~~' ELSE '~~' || a || '~~ → **' || b || '**' END AS change FROM s""")
 def e14(spark, d):
     c = S.table(spark, d, "conversations")
-    o, n = F.expr("substr(text, 1, cast(turn * 3 % 20 as int))"), F.expr("substr(text, 5, cast(turn * 5 % 13 as int))")
+    o, n = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(" "), F.when(F.col("turn") % 3 != 0, F.concat(F.lit("new "), "text", F.lit(" "))).otherwise("\n")
     return c.select("conv_id", "turn", T.change_markdown(o, n).alias("change"))
 
 
-_CAP = "CASE doc_id % 4 WHEN 0 THEN 'Figure ' WHEN 1 THEN 'Supplementary Table S' WHEN 2 THEN 'eFigure ' ELSE 'See ' END || CAST(doc_id % 9 + 1 AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN 'b' ELSE '' END || '. ' || substr(text, 1, 30)"
+_CAP = "CASE doc_id % 4 WHEN 0 THEN 'Figure ' WHEN 1 THEN 'Supplementary Table S' WHEN 2 THEN 'eFigure ' ELSE 'See ' END || CAST(doc_id % 9 + 1 AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN 'b' ELSE '' END || '. ' || text"
 
 
 @query("e15_caption_labels", f"""WITH c AS (SELECT doc_id, {_CAP} AS s FROM documents), n AS (SELECT doc_id, s, regexp_extract(s, '(?i)^\\s*(?:Supplementary\\s+|Extended\\s+Data\\s+)?(Figure|Fig\\.?|eFigure|Table|eTable)\\s*(S?\\d+[A-Za-z]?)', 2) AS k,
@@ -74,10 +74,9 @@ def e21(spark, d):
     return S.table(spark, d, "pages").select("page_id", T.file_stem(u).alias("stem"), T.file_suffix(u).alias("suffix"), T.slug(u).alias("slug"))
 
 
-@query("e22_first_sentence", "SELECT item_id, regexp_extract(t, '(?s)^(.*?[.!?])\\s', 1) AS first FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) WHERE regexp_matches(t, '[.!?]\\s')")
+@query("e22_first_sentence", "SELECT item_id, CASE WHEN regexp_matches(t, '[.!?]\\s') THEN regexp_extract(t, '(?s)^(.*?[.!?])\\s', 1) ELSE t END AS first FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark)")
 def e22(spark, d):
-    b = S.table(spark, d, "benchmark").where(T.squeeze(F.col("text")).rlike(r"[.!?]\s"))
-    return b.select("item_id", T.first_sentence(F.col("text")).alias("first"))
+    return S.table(spark, d, "benchmark").select("item_id", T.first_sentence(F.col("text")).alias("first"))
 
 
 _ENTRY = "CASE doc_id % 6 WHEN 0 THEN ' [' || doc_id || '] ' || text WHEN 1 THEN doc_id || '. ' || text WHEN 2 THEN doc_id || ') ' || text WHEN 3 THEN doc_id || ' ' || text WHEN 4 THEN '[' || doc_id || ' ' || text ELSE text END"
@@ -119,10 +118,10 @@ def f9(spark, d):
     return S.table(spark, d, "events").select("event_id", T.is_iso_date(s).alias("ok"))
 
 
-@query("f10_section_heads", """WITH h AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '2.1 Methods' WHEN 1 THEN 'References:' WHEN 2 THEN substr(text, 1, 20) ELSE '3. Literature cited' END AS s FROM conversations)
+@query("f10_section_heads", """WITH h AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '2.1 Methods' WHEN 1 THEN 'References:' WHEN 2 THEN text ELSE '3. Literature cited' END AS s FROM conversations)
        SELECT conv_id, turn, turn % 4 IN (0, 1) AS is_section, turn % 4 IN (1, 3) AS is_references FROM h""")
 def f10(spark, d):
-    s = F.expr("case turn % 4 when 0 then '2.1 Methods' when 1 then 'References:' when 2 then substr(text, 1, 20) else '3. Literature cited' end")
+    s = F.expr("case turn % 4 when 0 then '2.1 Methods' when 1 then 'References:' when 2 then text else '3. Literature cited' end")
     return S.table(spark, d, "conversations").select("conv_id", "turn", s.rlike(T.SECTION).alias("is_section"), s.rlike(T.REFERENCES).alias("is_references"))
 
 
