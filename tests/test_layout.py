@@ -181,6 +181,25 @@ def test_paragraphs_of_stretches(spark):
     assert L.paragraphs(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_paragraphs_become_blocks(spark):
+    cells = [["a & b", "<c>"], ["1", "2"]]
+    rows = [
+        (1, 0, "title", None, None, None, "A <em>Study</em>"), (1, 1, "h2", None, None, None, "1 Methods &amp; more:"), (1, 2, "p", None, None, None, "text"), (1, 3, "caption", "figure", None, None, "<strong>Figure 2.</strong> A"),
+        (1, 4, "caption", "table", None, cells, "Table S1. B"), (1, 5, "caption", "table", None, None, "Table 3 without cells"), (1, 6, "equation", "equation", "4a", None, "x = y (4a)"), (1, 7, "equation", "equation", None, None, "z"),
+        (1, 8, "ref", None, None, None, "[7] An author"), (1, 9, "ref", None, None, None, "Another author 2020"), (1, 10, "ref", None, None, None, "[7] Again"), (1, 11, "caption", "figure", None, None, "no number"), (2, 0, "p", None, None, None, "other"),
+    ]
+    paras = spark.createDataFrame(rows, "doc_id bigint, para_no int, kind string, region string, number string, cells array<array<string>>, html string").withColumn("page", F.lit(0))
+    got = [(r["block_id"], r["kind"], r["label"], r["fig"]) for r in L.finished_blocks(paras).orderBy("doc_id", "ord").collect()]
+    assert got == [
+        ("b001", "title", None, None), ("b002", "h2", None, None), ("b003", "p", None, None), ("fig-2", "figure", "Figure 2", "fig-2"), ("tab-s1", "table", "Table S1", None), ("tab-3", "figure", "Table 3", "tab-3"),
+        ("eq-4a", "figure", "Equation (4a)", "eq-4a"), ("eq-x5", "figure", "Equation", "eq-x5"), ("ref-7", "ref", None, None), ("ref-x7", "ref", None, None), ("ref-7-2", "ref", None, None), ("fig-3", "figure", "Figure 3", "fig-3"), ("b001", "p", None, None),
+    ]
+    block = {r["block_id"]: r for r in L.finished_blocks(paras).where("doc_id = 1").collect()}
+    assert block["b002"]["html"] == "1 Methods & more" and block["b001"]["html"] == "A <em>Study</em>"
+    assert block["tab-s1"]["rows"] == [["a &amp; b", "&lt;c&gt;"], ["1", "2"]] and block["tab-s1"]["caption"] == "Table S1. B"
+    assert block["eq-4a"]["caption"] == "<em>Equation (4a)</em>" and block["eq-4a"]["equation"] is True
+
+
 def test_comments_of_annotations(spark):
     annots = [(1, 0, 0, "Highlight", None, " Ann ", 10.0, 60.0, 100.0, 110.0), (1, 0, 1, "Text", "why?", None, 0.0, 5.0, 117.0, 121.0), (1, 0, 2, "Link", "x", None, 0.0, 9.0, 0.0, 9.0), (1, 0, 3, "Text", "", None, 500.0, 505.0, 900.0, 901.0), (1, 1, 4, "Text", "", None, 0.0, 1.0, 0.0, 1.0), (1, 0, 5, "Text", "tie", None, 0.0, 1.0, 110.0, 115.0)]
     a = spark.createDataFrame(annots, "doc_id bigint, page int, annot_no int, subtype string, contents string, author string, x0 double, x1 double, top double, bottom double")
