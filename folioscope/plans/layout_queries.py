@@ -23,8 +23,7 @@ def e29(spark, d):
 @query("k1_outline")
 def k1(spark, d):
     pages = S.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    found = B.finished(B.parse_blocks(pages))
-    return B.outline(found, B.block_texts(found))
+    return B.outline(B.finished(B.parse_blocks(pages)))
 
 
 @query("e24_sanitised_html")
