@@ -147,9 +147,12 @@ def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
 
 def read_tracks(data: bytes) -> list[dict]:
     """Codec, time scale, duration and, for each sample of each track, its place, size and whether it is a key frame. Each track is
-    described by its own boxes; a track whose boxes do not fit together raises ValueError, as does a file without any."""
+    described by its own boxes; a track whose boxes do not fit together raises ValueError, as does a file without any, or one in fragments,
+    whose samples are not in these tables."""
     tracks: dict[int, dict[bytes, tuple[int, int]]] = {}
     for kind, track, body, end in walk(data):
+        if kind == b"moof":
+            raise ValueError("samples in fragments are not read")
         if track:
             tracks.setdefault(track, {}).setdefault(kind, (body, end))
     if not tracks:
