@@ -33,7 +33,11 @@ from .common import FILTER_BITS, bit_table, keep_only, map_batches, materialised
 #: drops it, and phrases returned of each language.
 LEAST, LONGEST, INSIDE, FIRST = 10, 3, 50, 2000
 #: Bytes of text of one language that are inverted together, and of all languages that a task holds.
-BLOCK, HELD = 4 << 20, 16 << 20
+BLOCK, HELD = 2 << 20, 16 << 20
+#: Words that a task counts phrases of, where there are more of them than cores: the more, the fewer rows it has to send.
+TASK_WORDS = 8_000_000
+#: A block is a row of over a megabyte, so the writer has to look at the size of its pages after every row.
+WRITTEN = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: A language's candidates are ranked in so many parts before the best of each part are ranked together.
 PARTS = 64
 _SEED = 42
@@ -171,7 +175,9 @@ def _spelled(words: pa.Array, phrases: np.ndarray) -> pa.Array:
 
 def frequent_phrases(df: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", bits: int = FILTER_BITS) -> tuple[DataFrame, list[DataFrame]]:
     """``lang, n``, the words of each language, and for each number of words ``lang, phrase, f`` of the phrases that occur ``least`` times."""
-    blocks = materialised(postings(df, text_col, lang_col))
+    blocks = materialised(postings(df, text_col, lang_col), **WRITTEN)
+    words = blocks.agg(F.sum("n")).first()[0] or 0
+    blocks = blocks.coalesce(max(blocks.sparkSession.sparkContext.defaultParallelism, -(-words // TASK_WORDS)))
     totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     each = blocks.select("lang", F.explode(F.arrays_zip("words", "lengths")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase"))
     levels = [materialised(each.agg(F.sum("w.lengths").alias("f")).where(F.col("f") >= least))]
