@@ -8,8 +8,11 @@
    as many least hashes.
 3. Signatures are cut into bands of ``ROWS`` values. Texts that share a band meet; those of similarity 0.85 share none of 32 in less than
    one case in ten thousand millions. The pairs that meet are confirmed on full sets.
-4. As in ``ngram_join``, a band's texts first meet its hub, and only those that are then not in one component meet each other, with the
-   lengths of their sets and two bits of each value of their signatures to tell them apart before texts are sent.
+4. As in ``ngram_join``, a band's texts first meet its hub. That is the one that shares bands with most others, so the text that a family
+   of copies was made from rather than one of the copies, which may be alike to it and not to each other.
+5. Texts of a band that are then not in one component meet where they also share a shingle among the rarest of their sets, with the filters
+   of ``ngram_join``, all of which similar sets pass. Copies that were changed in different places share no such shingle, so they do not
+   meet in pairs, however many there are.
 
 Null text and text without words: empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is the one shingle.
 Repeated rows are links. Where ids repeat or are null, rows are numbered: each gives a row of its own, and a component's id is the
@@ -18,8 +21,7 @@ smallest that is not null. Columns other than the id and the text are ignored. A
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
-from operator import add
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, map_batches, materialised
-from .ngram_join import class_components, component_of_each, keep_first_of_each, resolved, shingles
+from .common import id_filter, list_array, map_batches, materialised
+from .ngram_join import MARK_COLUMNS, class_components, component_of_each, frequencies, keep_first_of_each, passes, resolved, shingles, signed_sets
 
 #: Words of a shingle, and least similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -36,10 +38,6 @@ WORDS, PERCENT = 5, 80
 PERMUTATIONS, ROWS = 64, 4
 #: Shingles hashed at a time.
 CHUNK = 2048
-#: 64-bit words that hold two bits of each value.
-BIT_COLUMNS = [f"s{i}" for i in range(2 * PERMUTATIONS * 2 // 64)]
-#: Values that may differ in their two bits: of texts of similarity 0.8 more do in less than one case in ten thousand millions.
-SLACK = 51
 
 
 @lru_cache(maxsize=1)
@@ -80,60 +78,53 @@ def bands(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _two_bits(values: np.ndarray) -> np.ndarray:
-    """Two bits of each value, from its middle: the ends of a hash are not even among least and greatest ones."""
-    two = (values >> np.uint64(24) & np.uint64(3)).astype(np.uint8)
-    return np.packbits(np.stack((two & 1, two >> 1), axis=1).ravel(), bitorder="little").view("<i8")
-
-
-def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, n``, ``sig`` (16 bytes that stand for the set; null: empty), ``bands``, none of a set too small to resemble another,
-    and two bits of each value of the signature."""
+def banded_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, n``, ``sig`` (16 bytes that stand for the set; null: empty) and ``bands``, none of a set too small to resemble another."""
 
     def work(batch: pa.RecordBatch) -> dict:
         sizes, sigs, keys = [], [], []
-        bits = np.zeros((batch.num_rows, len(BIT_COLUMNS)), np.int64)
-        for row, text in enumerate(batch.column("text").to_pylist()):
+        for text in batch.column("text").to_pylist():
             s = shingles(text, words)
             n = len(s)
             sizes.append(n)
             sigs.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
-            if n and 100 * n >= percent * (n + 1):
-                values = signature(s)
-                keys.append(bands(values).view(np.int64))
-                bits[row] = _two_bits(values)
-            else:
-                keys.append(np.zeros(0, np.int64))
-        found = {"doc_id": batch.column("doc_id"), "n": sizes, "sig": sigs, "bands": list_array(keys, pa.int64())}
-        return found | {c: bits[:, k] for k, c in enumerate(BIT_COLUMNS)}
+            keys.append(bands(signature(s)).view(np.int64) if n and 100 * n >= percent * (n + 1) else np.zeros(0, np.int64))
+        return {"doc_id": batch.column("doc_id"), "n": sizes, "sig": sigs, "bands": list_array(keys, pa.int64())}
 
-    return map_batches(docs, "doc_id bigint, n int, sig binary, bands array<bigint>" + "".join(f", {c} bigint" for c in BIT_COLUMNS), work)
+    return map_batches(docs, "doc_id bigint, n int, sig binary, bands array<bigint>", work)
 
 
-def _passes(a: str, b: str, percent: int, told: bool) -> Column:
-    """Lengths that allow the similarity and, of rows with bits of their signatures, few enough values that differ in theirs."""
+def _passes(a: str, b: str, percent: int, last: bool) -> Column:
+    """Lengths that allow the similarity and, in the last round, all filters of rows of rare shingles."""
+    if last:
+        return passes(a, b, percent, True)
     n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
-    passes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    if not told:
-        return passes
-    even = F.lit(0x5555555555555555)
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    def differ(c: str) -> Column:
-        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even))
 
-    return passes & (reduce(add, [differ(c) for c in BIT_COLUMNS]) <= SLACK)
+def _with_rare_shingles(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``rows`` for each shingle among the rarest of its document's that another document of ``rows`` has there too; the token is then of the
+    band and the shingle. What is rare is counted over the documents of ``rows``: any order of all shingles gives the same links."""
+    ids = materialised(rows.select("doc_id").distinct())
+    texts = materialised(docs.where(id_filter(ids, "doc_id")(F.col("doc_id"))).join(ids, "doc_id", "left_semi"))
+    signed = materialised(signed_sets(texts, words, percent, frequencies(texts)))
+    rare = signed.select("doc_id", *MARK_COLUMNS, F.posexplode("prefix").alias("pos", "shingle"))
+    shared = rare.groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("shingle")
+    finer = rows.join(rare.join(shared, "shingle"), "doc_id").withColumn("token", F.xxhash64("token", "shingle")).drop("shingle")
+    return materialised(finer)
 
 
 def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    signed = materialised(signed_sets(docs, words, percent))
+    signed = materialised(banded_sets(docs, words, percent))
     members = signed.select("doc_id", "n", "sig")
     classes = materialised(members.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep")))
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     rows = reps.select("doc_id", "n", F.explode("bands").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("token")
+    shared = rows.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > 1)
     rows = materialised(rows.join(shared, "token"))
-    labels = resolved(rows, signed.select("doc_id", *BIT_COLUMNS), docs, words, percent, _passes)
+    degree = rows.groupBy("doc_id").agg(F.sum("k").alias("degree"))
+    rows = materialised(rows.drop("k").join(degree, "doc_id"))
+    labels = resolved(rows, lambda open_rows: _with_rare_shingles(open_rows, docs, words, percent), docs, words, percent, _passes)
     return class_components(members, classes, labels)
 
 

@@ -189,7 +189,7 @@ def _short(n, percent: int):
     return n - F.ceil(2 * percent * n / (100 + percent) - 1e-9)
 
 
-def _passes(a: str, b: str, percent: int, marked: bool):
+def passes(a: str, b: str, percent: int, marked: bool):
     """Length, prefix, positional and, for rows with marks, suffix filter between two prefix rows with the same token.
 
     Of two similar sets the smaller shares a token with the larger one's prefix already within its own first
@@ -207,26 +207,30 @@ def _passes(a: str, b: str, percent: int, marked: bool):
     return passes & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
 
 
-def resolved(rows: DataFrame, marks: DataFrame, docs: DataFrame, words: int, percent: int, passes: Callable[[str, str, int, bool], Column]) -> DataFrame:
+def resolved(rows: DataFrame, narrowed: Callable[[DataFrame], DataFrame], docs: DataFrame, words: int, percent: int, passed: Callable[[str, str, int, bool], Column]) -> DataFrame:
     """``doc_id, comp`` of all documents that links join. ``rows`` is written and has ``token, doc_id, n``: documents with one token may be linked.
 
-    ``passes`` says of two rows, ``a`` and ``b``, whether they still may be; of the rows of the last round, which have the columns of
-    ``marks`` too, it is asked to use these."""
+    A token's hub is its least document or, where ``rows`` has a ``degree``, one that meets the most others. ``passed`` says of two rows,
+    ``a`` and ``b``, whether they still may be linked. For the last round ``narrowed`` says what ``passed`` is then asked of: the rows of
+    tokens whose documents are not in one component, with further columns or finer tokens that linked documents share as well."""
     labels = links = checked = None
     turn = 0
     while True:
         now = rows if labels is None else rows.join(labels, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
         now = now if labels is not None else now.withColumn("comp", F.col("doc_id"))
-        groups = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc_id").alias("hub"))
+        hub = F.max_by("doc_id", "degree") if "degree" in rows.columns else F.min("doc_id")
+        groups = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub.alias("hub"))
         groups = groups.where(F.col("low") != F.col("high")).select("token", "hub")
-        open_rows = now.join(groups, "token")
+        if "degree" in rows.columns:
+            groups = materialised(groups)  # of members that meet as many the hub has to be the same wherever it is asked for
+        open_rows = now.drop("degree").join(groups, "token")
         if turn < HUB_ROUNDS:
             hubs = open_rows.where(F.col("doc_id") == F.col("hub")).drop("hub")
             met = open_rows.where(F.col("doc_id") != F.col("hub")).alias("m").join(hubs.alias("h"), "token")
         else:
-            open_rows = open_rows.drop("hub").join(marks, "doc_id")
+            open_rows = narrowed(open_rows.drop("hub"))
             met = open_rows.alias("m").join(open_rows.alias("h"), "token").where(F.col("m.doc_id") < F.col("h.doc_id"))
-        met = met.where((F.col("m.comp") != F.col("h.comp")) & passes("m", "h", percent, turn >= HUB_ROUNDS))
+        met = met.where((F.col("m.comp") != F.col("h.comp")) & passed("m", "h", percent, turn >= HUB_ROUNDS))
         low, high = F.least("m.doc_id", "h.doc_id"), F.greatest("m.doc_id", "h.doc_id")
         pairs = met.select(low.alias("a"), high.alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         if checked is not None:
@@ -287,7 +291,8 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     early = F.max((F.col("pos") <= _short(F.col("n"), percent)).cast("int")) == 1
     shared = rows.groupBy("token").agg(F.count("*").alias("k"), early.alias("early")).where((F.col("k") > 1) & F.col("early")).select("token")
     rows = materialised(rows.join(shared, "token"))
-    return class_components(members, classes, resolved(rows, signed.select("doc_id", *MARK_COLUMNS), docs, words, percent, _passes))
+    marks = signed.select("doc_id", *MARK_COLUMNS)
+    return class_components(members, classes, resolved(rows, lambda open_rows: open_rows.join(marks, "doc_id"), docs, words, percent, passes))
 
 
 def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

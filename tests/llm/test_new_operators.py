@@ -23,6 +23,15 @@ def texts(spark):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
 
 
+def test_files_in_fragments_are_refused():
+    from folioscope.llm import media
+
+    whole = media.write_container(bytes(64))
+    assert len(media.read_tracks(whole)) == 1
+    with pytest.raises(ValueError, match="fragments"):
+        media.read_tracks(whole + media._box(b"moof", media._box(b"traf", b"")))
+
+
 # -- 11 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -45,7 +54,7 @@ def test_signatures_are_unbiased_and_vary_less_than_least_hashes():
     assert (whole[:, 0] == parts[..., 0].min(0)).all() and (whole[:, 1] == parts[..., 1].max(0)).all()
 
 
-def test_bands_find_similar_sets_and_bits_let_them_through():
+def test_bands_find_similar_sets():
     rng = np.random.default_rng(6)
     for size in (6, 20, 400):
         for _ in range(200):
@@ -53,9 +62,6 @@ def test_bands_find_similar_sets_and_bits_let_them_through():
             rng.shuffle(s)
             x, y = (min_max.signature(v) for v in (s[:size], s[len(s) - size :]))
             assert np.intersect1d(min_max.bands(x), min_max.bands(y)).size or len(s) > size / 0.8
-            a, b = (min_max._two_bits(v).view(np.uint8) for v in (x, y))
-            differ = np.unpackbits(a ^ b, bitorder="little").reshape(-1, 2).any(axis=1)
-            assert (~differ | (x != y)).all() and differ.sum() <= min_max.SLACK
 
 
 @pytest.mark.parametrize("words,percent,told_apart", [(3, 85, False), (5, 80, True)])
