@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -53,25 +54,35 @@ class Pair:
     """Both tokenisers, with the bytes of every token and the ids of each part met so far."""
 
     def __init__(self, byte_path: str, piece_path: str):
+        import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True
-        self.b = piece_codec.load(piece_path)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         values = byte_values()
         with open(byte_path) as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(values[c] for c in token)
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if kind == piece_codec.BYTE else p.replace(piece_codec.SPACE, " ").encode() for p, _, kind in self.b.pieces]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if kind == piece_codec.BYTE else p.replace(piece_codec.SPACE, " ").encode() for p, _, kind in piece_codec.PieceModel(piece_path).pieces]
         self.width_a, self.width_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         # Each id as text with what may follow it: within a side, after A, after B.
         self.text = np.array([f"{i}{end}" for table, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for end in ends for i in range(len(table))], object)
         self.memo: dict[str, tuple[bytes, bytes] | bool | None] = {}
 
-    def spelled(self, table: list[bytes], ids: bytes) -> bytes:
-        return b"".join([table[i] for i in np.frombuffer(ids, "<i4").tolist()])
+    def coded(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of a space and each part in both, as little-endian 32-bit integers; None where they do not spell it."""
+        of_a, of_b, out = self.bytes_a, self.bytes_b, []
+        left = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
+        right = self.b.encode(parts, num_threads=1)
+        for p, x, y in zip(parts, left, right, strict=True):
+            x = x.ids
+            raw = b" " + p.encode()
+            same = b"".join([of_a[i] for i in x]) == raw == b"".join([of_b[i] for i in y])
+            out.append((array("i", x).tobytes(), array("i", y).tobytes()) if same else None)
+        return out
 
     def _learn(self, parts: set[str]) -> None:
         """What a space and each part are in both. False: not to be encoded alone, None: not spelled by its tokens."""
@@ -81,10 +92,7 @@ class Pair:
                 fit.append(p)
             else:
                 self.memo[p] = False
-        for p, e in zip(fit, self.a.encode_batch_fast([" " + p for p in fit], add_special_tokens=False), strict=True):
-            a, b = np.array(e.ids, "<i4").tobytes(), self.b._word(piece_codec.SPACE + p)[0]
-            raw = (" " + p).encode()
-            self.memo[p] = (a, b) if self.spelled(self.bytes_a, a) == raw == self.spelled(self.bytes_b, b) else None
+        self.memo.update(zip(fit, self.coded(fit), strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """The ids of each text in A and B; both empty where they do not spell it."""
@@ -101,17 +109,8 @@ class Pair:
         return out
 
     def _mended(self, parts: list[str]) -> list:
-        """Parts with white space of their own; these are not remembered. Pieces are found without a break at any space."""
-        found = []
-        for p in parts:
-            x = self.memo.get(p)
-            if not x:
-                a = np.array(self.a.encode_batch_fast([" " + p], add_special_tokens=False)[0].ids, "<i4").tobytes()
-                b = self.b.encode(p, spans=False)[0].astype("<i4").tobytes()
-                raw = (" " + p).encode()
-                x = (a, b) if self.spelled(self.bytes_a, a) == raw == self.spelled(self.bytes_b, b) else None
-            found.append(x)
-        return found
+        """Parts with white space of their own; these are not remembered."""
+        return [self.memo.get(p) or self.coded([p])[0] for p in parts]
 
 
 @lru_cache(maxsize=1)
