@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import written
 
 #: Side of a grid cell in points, and cells along an edge; what lies beyond the last cell is in it.
 CELL, CELLS = 72.0, 32
@@ -78,7 +79,7 @@ def nearest_tables(captions: DataFrame, tables: DataFrame) -> DataFrame:
 def caption_boxes(lines: DataFrame, graphics: DataFrame, tables: DataFrame) -> DataFrame:
     """The captions of each page with ``kind`` and ``box``, what each would take if it stood alone; null without room."""
     caps = lines.where("caption").select(*PAGE, "place", "is_table", "col", F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), "top", "bottom", F.col("span0").alias("a"), F.col("span1").alias("b"))
-    caps = caps.join(page_lines(lines), PAGE)
+    caps = written(caps.join(page_lines(lines), PAGE))
     a, b, body, h = (F.col(c) for c in ("a", "b", "body", "h"))
     over = lambda x: (x["x1"] > a) & (x["x0"] < b)
     # Above a figure's caption the last line of running text, or across the page, or large, ends the room.
@@ -97,7 +98,7 @@ def caption_boxes(lines: DataFrame, graphics: DataFrame, tables: DataFrame) -> D
     ends = F.filter("ls", lambda x: (x["top"] > F.col("end") + 2) & (x["span0"] <= a + 1) & (x["span1"] >= b - 1) & (x["body_like"] | (x["size"] >= 1.1 * body) | x["section_name"]) & ~x["captioned"])
     floor = F.coalesce(F.array_min(F.transform(ends, lambda x: x["top"])), 0.95 * h)
     caps = caps.withColumns({"y0": F.when(F.col("is_table"), F.col("end")).otherwise(ceiling), "y1": F.when(F.col("is_table"), floor).otherwise(F.col("top"))})
-    caps = caps.withColumn("lower", F.when(F.col("is_table"), F.col("y1") + 2).otherwise(F.col("top") + 2))
+    caps = written(caps.withColumn("lower", F.when(F.col("is_table"), F.col("y1") + 2).otherwise(F.col("top") + 2)))
 
     room = caps.select(*PAGE, "place", "is_table", F.col("a").alias("x0"), (F.col("y0") - 2).alias("top"), F.col("b").alias("x1"), F.col("lower").alias("bottom"))
     area = (F.col("r_x1") - F.col("r_x0")) * (F.col("r_bottom") - F.col("r_top"))
@@ -230,8 +231,8 @@ def regions(lines: DataFrame, graphics: DataFrame | None = None, tables: DataFra
     if pages is None:
         pages = lines.groupBy(*PAGE).agg(F.first("w").alias("w"), F.first("h").alias("h"), F.sum(F.size("words")).alias("n_words"))
     places = lines.select(*PAGE, "place", *BOX)
-    captions = claimed_boxes(caption_boxes(lines, graphics, tables))
-    claims = claimed_pages(captions, pages)
+    captions = written(claimed_boxes(caption_boxes(lines, graphics, tables)))
+    claims = written(claimed_pages(captions, pages))
     lost = claims.where(F.col("q") > F.col("page")).select("doc_id", F.col("q").alias("page"))
     held = captions.where(F.col("box").isNotNull()).join(lost, PAGE, "left_anti")
     inside = (F.col("l.top") >= F.col("r.box.top") - 1) & (F.col("l.bottom") <= F.col("r.box.bottom") + 1) & (F.col("l.x0") >= F.col("r.box.x0") - 2) & (F.col("l.x1") <= F.col("r.box.x1") + 2)
@@ -246,7 +247,7 @@ def regions(lines: DataFrame, graphics: DataFrame | None = None, tables: DataFra
     sheet = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), F.col("w").alias("x1"), F.col("h").alias("bottom"))
     whole = whole.join(pages.select(*PAGE, "w", "h"), PAGE).join(every, PAGE, "left").select(*PAGE, "place", "kind", sheet.alias("box"), F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(None).cast("string").alias("number"), F.coalesce("consumed", empty).alias("consumed"))
 
-    first = boxed.unionByName(whole)
+    first = written(boxed.unionByName(whole))
     taken = first.select(*PAGE, F.explode("consumed").alias("place")).distinct()
     display = grown_equations(lines, equation_groups(lines, taken), taken).select(*PAGE, "place", F.lit("equation").alias("kind"), "box", F.lit(None).cast("array<array<string>>").alias("rows"), "number", "consumed")
     found = first.unionByName(display)
