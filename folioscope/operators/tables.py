@@ -1,11 +1,13 @@
-"""Intermediate tables."""
+"""Intermediate tables, and Python functions of single values."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -23,3 +25,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{where}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_row(change: Callable, returns: str) -> Callable[..., Column]:
+    """``change`` as a column function. A worker holds a hundred rows at a time, where Arrow's batches hold thousands of documents, however long.
+
+    It is made when it is called, for types need a session, and says of itself that it is not deterministic, so that a filter of its result does
+    not evaluate it again."""
+    return lambda *columns: F.udf(change, returns, useArrow=False).asNondeterministic()(*columns)

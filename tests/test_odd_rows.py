@@ -2,6 +2,8 @@
 
 import duckdb
 
+from folioscope.operators import blocks as B
+from folioscope.operators import edits as E
 from folioscope.plans import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -25,3 +27,17 @@ def test_states_of_notes_without_any(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "a2_conditional_counts", changed)
     assert any("None" in r for r in want)
     assert got == want
+
+
+def holds_few_rows(df):
+    """Whether no Python step of a plan takes Arrow's batches, which hold thousands of documents however long they are."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "BatchEvalPython" in plan and not any(p in plan for p in ("ArrowEvalPython", "InPandas", "InArrow"))
+
+
+def test_pages_are_read_a_few_at_a_time(spark):
+    """Null and empty pages among others give the elements that they have."""
+    pages = spark.createDataFrame([(1, "<h1>a</h1><p>b <b>c</b></p>"), (2, None), (3, ""), (4, "<p>d</p>")], "doc_id long, html string")
+    found = B.page_elements(pages)
+    assert holds_few_rows(found)
+    assert sorted((r.doc_id, r.pos, r.role, r.text) for r in found.collect()) == [(1, 0, "head", "a"), (1, 1, "text", "b c"), (4, 0, "text", "d")]
