@@ -41,3 +41,10 @@ def test_pages_are_read_a_few_at_a_time(spark):
     found = B.page_elements(pages)
     assert holds_few_rows(found)
     assert sorted((r.doc_id, r.pos, r.role, r.text) for r in found.collect()) == [(1, 0, "head", "a"), (1, 1, "text", "b c"), (4, 0, "text", "d")]
+
+
+def test_html_is_cleaned_a_few_at_a_time(spark):
+    pages = spark.createDataFrame([(1, "<p onclick='x'>a<script>b</script></p>"), (2, None)], "doc_id long, html string")
+    clean = pages.select("doc_id", B.sanitised("html").alias("html"))
+    assert holds_few_rows(clean)
+    assert dict(clean.collect()) == {1: "<p>a</p>", 2: None}
