@@ -48,3 +48,10 @@ def test_html_is_cleaned_a_few_at_a_time(spark):
     clean = pages.select("doc_id", B.sanitised("html").alias("html"))
     assert holds_few_rows(clean)
     assert dict(clean.collect()) == {1: "<p>a</p>", 2: None}
+
+
+def test_texts_are_compared_a_few_at_a_time(spark):
+    pairs = spark.createDataFrame([(1, "a b c", "a x c"), (2, "", "a")], "k long, before string, after string")
+    changed = E.tracked_changes(pairs, "k", "before", "after")
+    assert holds_few_rows(changed)
+    assert sorted((r.k, r.n, r.op, r.text) for r in changed.collect()) == [(1, 0, "keep", "a "), (1, 1, "delete", "b"), (1, 2, "insert", "x"), (1, 3, "keep", " c"), (2, 0, "insert", "a")]
