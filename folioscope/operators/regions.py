@@ -60,8 +60,9 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return met.where(meets).drop("__x", "__y")
 
 
-def page_lines(lines: DataFrame) -> DataFrame:
-    """``ls``, the lines of each page in reading order."""
+def page_lines(lines: DataFrame, with_any: str) -> DataFrame:
+    """``ls``, the lines of each page in reading order, of pages with any line of the kind."""
+    lines = lines.withColumn("__any", F.bool_or(with_any).over(Window.partitionBy(*PAGE))).where("__any")
     names = ["place", *BOX, "size", "col", "span0", "span1", "body_like", "section_name", "equation", "prose"]
     more = [F.col("text").rlike(T.CAPTION).alias("captioned"), F.length("text").alias("length"), F.regexp_extract("text", r"\((\d+[a-z]?)\)\s*$", 1).alias("number"), F.size("words").alias("n_words")]
     return lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*names, *more))).alias("ls"), F.first("body").alias("body"), F.first("w").alias("w"), F.first("h").alias("h"))
@@ -76,10 +77,10 @@ def nearest_tables(captions: DataFrame, tables: DataFrame) -> DataFrame:
     return met.groupBy(*PAGE, "place").agg(F.min_by(F.struct("d", *[F.col(f"t_{c}").alias(c) for c in BOX], "rows"), order).alias("near"))
 
 
-def caption_boxes(lines: DataFrame, graphics: DataFrame, tables: DataFrame) -> DataFrame:
+def caption_boxes(lines: DataFrame, graphics: DataFrame, tables: DataFrame, tasks: int | None = None) -> DataFrame:
     """The captions of each page with ``kind`` and ``box``, what each would take if it stood alone; null without room."""
     caps = lines.where("caption").select(*PAGE, "place", "is_table", "col", F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), "top", "bottom", F.col("span0").alias("a"), F.col("span1").alias("b"))
-    caps = written(caps.join(page_lines(lines), PAGE))
+    caps = written(caps.join(page_lines(lines, "caption"), PAGE), tasks)
     a, b, body, h = (F.col(c) for c in ("a", "b", "body", "h"))
     over = lambda x: (x["x1"] > a) & (x["x0"] < b)
     # Above a figure's caption the last line of running text, or across the page, or large, ends the room.
@@ -98,7 +99,7 @@ def caption_boxes(lines: DataFrame, graphics: DataFrame, tables: DataFrame) -> D
     ends = F.filter("ls", lambda x: (x["top"] > F.col("end") + 2) & (x["span0"] <= a + 1) & (x["span1"] >= b - 1) & (x["body_like"] | (x["size"] >= 1.1 * body) | x["section_name"]) & ~x["captioned"])
     floor = F.coalesce(F.array_min(F.transform(ends, lambda x: x["top"])), 0.95 * h)
     caps = caps.withColumns({"y0": F.when(F.col("is_table"), F.col("end")).otherwise(ceiling), "y1": F.when(F.col("is_table"), floor).otherwise(F.col("top"))})
-    caps = written(caps.withColumn("lower", F.when(F.col("is_table"), F.col("y1") + 2).otherwise(F.col("top") + 2)))
+    caps = written(caps.withColumn("lower", F.when(F.col("is_table"), F.col("y1") + 2).otherwise(F.col("top") + 2)), tasks)
 
     room = caps.select(*PAGE, "place", "is_table", F.col("a").alias("x0"), (F.col("y0") - 2).alias("top"), F.col("b").alias("x1"), F.col("lower").alias("bottom"))
     area = (F.col("r_x1") - F.col("r_x0")) * (F.col("r_bottom") - F.col("r_top"))
@@ -180,7 +181,7 @@ def equation_groups(lines: DataFrame, taken: DataFrame) -> DataFrame:
 def grown_equations(lines: DataFrame, groups: DataFrame, taken: DataFrame) -> DataFrame:
     """``doc_id, page, place, box, number, consumed`` of each display with the lines it has grown by; those of one page in order, none
     taking what one before it has."""
-    page = groups.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("place", "col", "span0", "span1", "top", "bottom"))).alias("groups")).join(page_lines(lines), PAGE)
+    page = groups.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("place", "col", "span0", "span1", "top", "bottom"))).alias("groups")).join(page_lines(lines, "equation"), PAGE)
     gone = taken.groupBy(*PAGE).agg(F.collect_list("place").alias("gone"))
     page = page.join(gone, PAGE, "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<int>)")))
     body = F.col("body")
@@ -220,19 +221,19 @@ def grown_equations(lines: DataFrame, groups: DataFrame, taken: DataFrame) -> Da
     return page.select(*PAGE, F.inline(F.aggregate("groups", start, grow)["out"]))
 
 
-def regions(lines: DataFrame, graphics: DataFrame | None = None, tables: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+def regions(lines: DataFrame, graphics: DataFrame | None = None, tables: DataFrame | None = None, pages: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """``lines`` as ``described`` returns them. A row a region; ``page:N`` is a whole page for a caption on page N.
 
     ``pages`` (``doc_id, page, w, h, n_words``) also has the pages without lines, which a figure may fill; without it only pages with lines
-    are known."""
+    are known. Given ``tasks``, intermediate tables are in so many buckets, as ``lines`` should be."""
     spark = lines.sparkSession
     graphics = graphics if graphics is not None else spark.createDataFrame([], GRAPHICS)
     tables = tables if tables is not None else spark.createDataFrame([], TABLES)
     if pages is None:
         pages = lines.groupBy(*PAGE).agg(F.first("w").alias("w"), F.first("h").alias("h"), F.sum(F.size("words")).alias("n_words"))
     places = lines.select(*PAGE, "place", *BOX)
-    captions = written(claimed_boxes(caption_boxes(lines, graphics, tables)))
-    claims = written(claimed_pages(captions, pages))
+    captions = written(claimed_boxes(caption_boxes(lines, graphics, tables, tasks)), tasks)
+    claims = written(claimed_pages(captions, pages), tasks)
     lost = claims.where(F.col("q") > F.col("page")).select("doc_id", F.col("q").alias("page"))
     held = captions.where(F.col("box").isNotNull()).join(lost, PAGE, "left_anti")
     inside = (F.col("l.top") >= F.col("r.box.top") - 1) & (F.col("l.bottom") <= F.col("r.box.bottom") + 1) & (F.col("l.x0") >= F.col("r.box.x0") - 2) & (F.col("l.x1") <= F.col("r.box.x1") + 2)
@@ -247,7 +248,7 @@ def regions(lines: DataFrame, graphics: DataFrame | None = None, tables: DataFra
     sheet = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), F.col("w").alias("x1"), F.col("h").alias("bottom"))
     whole = whole.join(pages.select(*PAGE, "w", "h"), PAGE).join(every, PAGE, "left").select(*PAGE, "place", "kind", sheet.alias("box"), F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(None).cast("string").alias("number"), F.coalesce("consumed", empty).alias("consumed"))
 
-    first = written(boxed.unionByName(whole))
+    first = written(boxed.unionByName(whole), tasks)
     taken = first.select(*PAGE, F.explode("consumed").alias("place")).distinct()
     display = grown_equations(lines, equation_groups(lines, taken), taken).select(*PAGE, "place", F.lit("equation").alias("kind"), "box", F.lit(None).cast("array<array<string>>").alias("rows"), "number", "consumed")
     found = first.unionByName(display)

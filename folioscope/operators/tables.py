@@ -10,9 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
+def tasks_for(rows: DataFrame, most: int) -> int:
+    """How many tasks to deal ``rows`` to, so that one has about ``most`` of them however many there are. They are counted, so they should be cheap to read."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+
+
+def written(df: DataFrame, tasks: int | None = None, dealt: bool = False) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read again, so that what is built on it is planned on its own and does not recompute it.
 
+    Given ``tasks``, it is written in so many buckets by ``doc_id``. Aggregates and windows of such tables by keys with the document, and joins
+    by the document alone, then shuffle nothing. Rows that are ``dealt`` so already are not shuffled for it.
+
     Only a session without a cluster may leave that folder unset, and gets a local one."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,8 +31,12 @@ def written(df: DataFrame) -> DataFrame:
         where = tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if tasks is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    name = f"folioscope_{uuid.uuid4().hex}"
+    (df if dealt else df.repartition(tasks, "doc_id")).write.format("parquet").bucketBy(tasks, "doc_id").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def by_row(change: Callable, returns: str) -> Callable[..., Column]:

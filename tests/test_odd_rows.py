@@ -4,6 +4,8 @@ import duckdb
 
 from folioscope.operators import blocks as B
 from folioscope.operators import edits as E
+from folioscope.operators import layout as L
+from folioscope.operators.tables import written
 from folioscope.plans import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +57,17 @@ def test_texts_are_compared_a_few_at_a_time(spark):
     changed = E.tracked_changes(pairs, "k", "before", "after")
     assert holds_few_rows(changed)
     assert sorted((r.k, r.n, r.op, r.text) for r in changed.collect()) == [(1, 0, "keep", "a "), (1, 1, "delete", "b"), (1, 2, "insert", "x"), (1, 3, "keep", " c"), (2, 0, "insert", "a")]
+
+
+def test_words_of_a_page_are_shuffled_once(spark):
+    """Lines of words in buckets are those of the same words as they come, with nothing shuffled for them."""
+    names = "doc_id long, page int, word_no int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, cid boolean"
+    words = spark.createDataFrame([(d, p, n, f"w{n}", 40.0 * n, 40.0 * n + 30, 60.0 + 14 * (n % 3), 70.0 + 14 * (n % 3), 10.0, "Times", False) for d in (1, 2, 3) for p in (0, 1) for n in range(8)], names)
+    pages = spark.createDataFrame([(d, p, 612.0, 792.0) for d in (1, 2) for p in (0, 1)], "doc_id long, page int, w double, h double")
+    gutter = words.where("doc_id = 1").select("doc_id", "page").distinct().select("doc_id", L.F.lit(1e9).alias("left_edge"), L.F.lit(2e9).alias("right_edge")).distinct()
+    want = L.lines_of(L.usable_words(words, pages), gutter)
+    bucketed = written(L.usable_words(L.sized(words, pages, 3), pages), 3)
+    got = L.lines_of(bucketed, written(gutter, 3), 3)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.drop("w", "h").collect())) == sorted(map(str, want.collect()))
+    assert {r.w for r in got.collect()} == {612.0}
