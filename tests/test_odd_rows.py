@@ -71,3 +71,13 @@ def test_words_of_a_page_are_shuffled_once(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, got.drop("w", "h").collect())) == sorted(map(str, want.collect()))
     assert {r.w for r in got.collect()} == {612.0}
+
+
+def test_lines_of_pages_with_and_without_raised_words(spark):
+    """Pages of one baseline, and of equal sizes, are as the search for what a small word touches leaves them; a raised word moves."""
+    names = "doc_id long, page int, word_no int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, cid boolean"
+    put = lambda d, n, bottom, size: (d, 0, n, f"w{n}", 40.0 * n, 40.0 * n + 38, bottom - size, bottom, size, "Times", False)
+    words = [put(1, 0, 100.0, 10.0), put(1, 1, 100.0, 6.0), put(2, 0, 100.0, 10.0), put(2, 1, 130.0, 9.0), put(3, 0, 100.0, 10.0), put(3, 1, 94.0, 6.0)]
+    gutter = spark.createDataFrame([], "doc_id long, left_edge double, right_edge double")
+    found = {(r.doc_id, r.word_no): (r.row, r.line, r.ref) for r in L.on_lines(spark.createDataFrame(words, names), gutter).collect()}
+    assert found == {(1, 0): (0, 0, 10.0), (1, 1): (0, 0, 10.0), (2, 0): (0, 0, 10.0), (2, 1): (1, 1, 9.0), (3, 0): (1, 1, 10.0), (3, 1): (0, 1, 10.0)}
