@@ -15,6 +15,11 @@ def tasks_for(rows: DataFrame, most: int) -> int:
     return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
 
 
+def dealt(df: DataFrame, most: int = 250_000) -> DataFrame:
+    """``df`` dealt by ``doc_id`` to tasks of about ``most`` rows however many there are, so that what sorts a document's rows needs no more memory for more documents."""
+    return df.repartition(tasks_for(df, most), "doc_id")
+
+
 def written(df: DataFrame, tasks: int | None = None, dealt: bool = False) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read again, so that what is built on it is planned on its own and does not recompute it.
 

@@ -10,6 +10,7 @@ from ..operators import edits as E
 from ..operators import layout as L
 from ..operators import pixels as P
 from ..operators import regions as R
+from ..operators.tables import dealt
 from . import standins as S
 from .registry import query
 
@@ -133,9 +134,10 @@ def w11(spark, d):
        SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(band AS INTEGER) AS band, CASE WHEN two_col THEN side ELSE 'full' END AS col, two_col,
               CAST(row_number() OVER (PARTITION BY doc_id ORDER BY band, CASE WHEN side = 'right' THEN 1 ELSE 0 END, top, CASE WHEN side = 'right' THEN 350.0 ELSE 50.0 END, line_no) - 1 AS INTEGER) AS place FROM b""")
 def w12(spark, d):
-    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_discount")
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_discount")
     side = F.when(F.col("l_tax") > 0.06, "full").when(F.col("l_discount") > 0.04, "right").otherwise("left")
-    lines = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.row_number().over(own).alias("line_no"), side.alias("side"), F.col("l_quantity").alias("top"), F.lit(612.0).alias("w"))
+    lines = dealt(S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), *order)).withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    lines = lines.select("doc_id", F.lit(0).alias("page"), "line_no", side.alias("side"), F.col("l_quantity").alias("top"), F.lit(612.0).alias("w"))
     lines = lines.withColumns({"x0": F.when(F.col("side") == "right", 350.0).otherwise(50.0), "x1": F.when(F.col("side") == "left", 280.0).otherwise(560.0)})
     return L.reading_order(lines).select("doc_id", "line_no", "band", "col", "two_col", "place")
 

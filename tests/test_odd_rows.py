@@ -5,7 +5,7 @@ import duckdb
 from folioscope.operators import blocks as B
 from folioscope.operators import edits as E
 from folioscope.operators import layout as L
-from folioscope.operators.tables import written
+from folioscope.operators.tables import dealt, written
 from folioscope.plans import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -81,3 +81,14 @@ def test_lines_of_pages_with_and_without_raised_words(spark):
     gutter = spark.createDataFrame([], "doc_id long, left_edge double, right_edge double")
     found = {(r.doc_id, r.word_no): (r.row, r.line, r.ref) for r in L.on_lines(spark.createDataFrame(words, names), gutter).collect()}
     assert found == {(1, 0): (0, 0, 10.0), (1, 1): (0, 0, 10.0), (2, 0): (0, 0, 10.0), (2, 1): (1, 1, 9.0), (3, 0): (1, 1, 10.0), (3, 1): (0, 1, 10.0)}
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "doc_id")
+    assert [dealt(rows.where(f"doc_id < {n}"), 10).rdd.getNumPartitions() for n in (500, 1000)] == [50, 100]
+
+
+def test_bands_are_dealt_by_document(spark):
+    """The steps of reading order stay in the tasks that the rows were dealt to."""
+    plan = QUERIES["w12_bands"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
