@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nth_offset, squeeze, strip, without_tags
 from ..schemas import CATEGORIES, NOTE_FIELDS, REPLY_FIELDS
+from .tables import tasks_for
 
 UNKNOWN_BLOCK = 1_000_000
 
@@ -275,13 +276,19 @@ def report(notes: DataFrame, replies: DataFrame, edits: DataFrame, date: str, na
     return all_docs.select("doc_id", F.replace(payload, F.lit("</"), F.lit("<\\/")).alias("payload"), count.alias("unsigned"))
 
 
+#: Fixed value: how many drafts a task of ``draft_errors`` has.
+DRAFTS_A_TASK = 100_000
+
+
 def draft_errors(drafts: DataFrame, blocks: DataFrame, texts: DataFrame) -> DataFrame:
     """``doc_id, draft_pos, level, message`` for everything wrong with a draft. A document with an error must not be written."""
     text_of = texts.select("doc_id", F.col("block_id").alias("block"), F.col("text").alias("__text"))
     kinds = blocks.select("doc_id", F.col("block_id").alias("fig"), F.col("kind").alias("__kind"))
     kind = F.when(F.col("kind") == "note", "note").when(F.col("fig").isNotNull() | F.col("box").isNotNull(), "box").otherwise("text")
     rows = drafts.withColumn("__variant", kind).withColumn("__quote", strip(_empty("exact")))
-    rows = rows.join(text_of, ["doc_id", "block"], "left").join(kinds, ["doc_id", "fig"], "left")
+    # dealt to tasks of so many drafts, however many there are; else a task's share would grow with the table
+    tasks = tasks_for(drafts, DRAFTS_A_TASK)
+    rows = rows.join(text_of, ["doc_id", "block"], "left").repartition(tasks, "doc_id", "fig").join(kinds.repartition(tasks, "doc_id", "fig"), ["doc_id", "fig"], "left")
     # quotes without a block are looked for within their document, an equality that makes this a hash join
     free = rows.where((F.col("__variant") == "text") & F.col("block").isNull() & (F.col("__quote") != "")).select("doc_id", "draft_pos", "__quote")
     hits = free.join(texts.select("doc_id", "ord", F.col("block_id").alias("__b"), F.col("text").alias("__t")), "doc_id").where(F.contains("__t", "__quote"))

@@ -92,3 +92,8 @@ def test_bands_are_dealt_by_document(spark):
     """The steps of reading order stay in the tasks that the rows were dealt to."""
     plan = QUERIES["w12_bands"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_drafts_are_dealt_to_tasks_of_bounded_size(spark):
+    plan = QUERIES["f7_box_inside_image"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
