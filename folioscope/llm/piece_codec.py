@@ -15,6 +15,7 @@ import heapq
 import math
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO = 400_000
 #: Characters up to which a word's pairs are looked through instead of queued.
 SHORT = 40
+#: Punctuation that is encoded apart from the word it closes, where no piece has both.
+CLOSING = ".,;:!?\"'()[]{}*&%$#@+-/=_~^"
 
 
 def _fields(data: bytes):
@@ -112,8 +115,9 @@ class PieceModel:
         # crosses the front of a word, and words can be encoded one by one.
         free = not own and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if free else r"(?s).+")
+        # Nor does one cross two characters that stand side by side in no piece.
+        self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)} if free and self.byte_fallback else None
         self.memo: dict[str, bytes] = {}
-        self.widths: dict[str, bytes] = {}
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
         self.is_byte = np.array([k == BYTE for _, _, k in self.pieces])
 
@@ -211,23 +215,34 @@ class PieceModel:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], none)
         return parts
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids and widths in characters of a word's pieces, as packed integers."""
-        ids, widths = [], []
+    def _word(self, word: str) -> bytes:
+        """The id of each of a word's pieces and its width in characters, in turns, as packed integers."""
+        if self.beside is not None:
+            core = word.rstrip(CLOSING)
+            if 0 < len(core) < len(word) and word[len(core) - 1 : len(core) + 1] not in self.beside:
+                # Both have no other pieces beside each other than alone; the word without its end is often known.
+                return self._known(core) + self._known(word[len(core) :])
+        out = array("i")
+        get = self.ids.get
         for part in self._merge(word):
-            if (i := self.ids.get(part)) is not None:
-                ids.append(i)
-                widths.append(len(part))
+            if (i := get(part)) is not None:
+                out.append(i)
+                out.append(len(part))
             elif self.byte_fallback:
-                raw = part.encode()
-                ids += [self.byte_ids[b] for b in raw]
-                widths += [0] * (len(raw) - 1) + [len(part)]
-            elif ids and ids[-1] == self.unk:
-                widths[-1] += len(part)
+                *raw, last = part.encode()
+                for b in raw:
+                    out.extend((self.byte_ids[b], 0))
+                out.extend((self.byte_ids[last], len(part)))
+            elif out and out[-2] == self.unk:
+                out[-1] += len(part)
             else:
-                ids.append(self.unk)
-                widths.append(len(part))
-        return np.array(ids, "<i4").tobytes(), np.array(widths, "<i4").tobytes()
+                out.extend((self.unk, len(part)))
+        return out.tobytes()
+
+    def _known(self, word: str) -> bytes:
+        if (found := self.memo.get(word)) is None:
+            found = self.memo[word] = self._word(word)
+        return found
 
     def encode(self, text: str, spans: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Ids, and the first and last-plus-one byte of ``text`` that each piece covers.
@@ -240,15 +255,12 @@ class PieceModel:
         if None in found:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-                self.widths.clear()
-            for word in set(words):
-                if word not in self.memo:
-                    self.memo[word], self.widths[word] = self._word(word)
-            found = list(map(self.memo.get, words))
-        ids = np.frombuffer(b"".join(found), "<i4")
+            found = list(map(self._known, words))
+        coded = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)
+        ids = np.ascontiguousarray(coded[:, 0])
         if not spans:
             return ids, None, None
-        ends = np.cumsum(np.frombuffer(b"".join(map(self.widths.__getitem__, words)), "<i4"))
+        ends = np.cumsum(coded[:, 1])
         return ids, source[np.concatenate(([0], ends[:-1])).astype(np.int64)] if len(ids) else ends, source[ends]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -76,6 +76,23 @@ def test_pieces_equal_the_library(texts):
         assert model.decode(np.array(ids)) == lib.decode(ids)
 
 
+def test_word_is_merged_once_whatever_closes_it(monkeypatch):
+    import sentencepiece
+
+    model, lib = piece_codec.PieceModel(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    merged = []
+    merge = model._merge
+    monkeypatch.setattr(model, "_merge", lambda word: merged.append(word) or merge(word))
+    ends = ["", ",", ".", "...", ".\"", "?!", ")", "&&&", "'", "%$", "://", "-", "\u2581."]
+    for core in ("▁qwhatherei", "▁日本", "▁🖍", "▁C", "▁1", "▁", "▁x_", "▁(a"):
+        text = " ".join(core[1:] + e for e in ends)
+        ids, begins, ends_at = model.encode(text)
+        assert ids.tolist() == lib.encode(text)
+        raw = text.encode()
+        assert b"".join(raw[a:b] for a, b in zip(begins, ends_at, strict=True)) == raw
+    assert merged.count("▁qwhatherei") == 1 and not any("qwhatherei" in w for w in merged if w != "▁qwhatherei")
+
+
 def test_piece_query_projects_every_piece(spark, texts):
     import sentencepiece
 
