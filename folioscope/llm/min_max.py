@@ -12,7 +12,7 @@
    of copies was made from rather than one of the copies, which may be alike to it and not to each other.
 5. Texts of a band that are then not in one component meet where they also share a shingle among the rarest of their sets, with the filters
    of ``ngram_join``, all of which similar sets pass. Copies that were changed in different places share no such shingle, so they do not
-   meet in pairs, however many there are.
+   meet in pairs, however many there are. They meet by the shingles alone, so not once more for each band that they share.
 
 Null text and text without words: empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is the one shingle.
 Repeated rows are links. Where ids repeat or are null, rows are numbered: each gives a row of its own, and a component's id is the
@@ -21,6 +21,7 @@ smallest that is not null. Columns other than the id and the text are ignored. A
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -102,16 +103,23 @@ def _passes(a: str, b: str, percent: int, last: bool) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _with_rare_shingles(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``rows`` for each shingle among the rarest of its document's that another document of ``rows`` has there too; the token is then of the
-    band and the shingle. What is rare is counted over the documents of ``rows``: any order of all shingles gives the same links."""
-    ids = materialised(rows.select("doc_id").distinct())
+def _by_rare_shingles(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """For the documents of ``rows``, whose tokens are bands, a row for each shingle among the rarest of the set that a document of another
+    component has there too, however many bands the two share; and which of the pairs that meet so share a band. What is rare is counted
+    over the documents of ``rows``: any order of all shingles gives the same links."""
+    held = materialised(rows.groupBy("doc_id").agg(F.first("comp").alias("comp"), F.collect_set("token").alias("bands")))
+    ids = held.select("doc_id")
     texts = materialised(docs.where(id_filter(ids, "doc_id")(F.col("doc_id"))).join(ids, "doc_id", "left_semi"))
     signed = materialised(signed_sets(texts, words, percent, frequencies(texts)))
-    rare = signed.select("doc_id", *MARK_COLUMNS, F.posexplode("prefix").alias("pos", "shingle"))
-    shared = rare.groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("shingle")
-    finer = rows.join(rare.join(shared, "shingle"), "doc_id").withColumn("token", F.xxhash64("token", "shingle")).drop("shingle")
-    return materialised(finer)
+    rare = signed.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).join(held.select("doc_id", "comp"), "doc_id")
+    shared = rare.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high"))
+    finer = rare.join(shared.select("token"), "token").join(signed.select("doc_id", *MARK_COLUMNS), "doc_id")
+
+    def share_a_band(pairs: DataFrame) -> DataFrame:
+        left, right = (held.select(F.col("doc_id").alias(c), F.col("bands").alias(f"bands_{c}")) for c in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b")
+
+    return materialised(finer), share_a_band
 
 
 def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -124,7 +132,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = materialised(rows.join(shared, "token"))
     degree = rows.groupBy("doc_id").agg(F.sum("k").alias("degree"))
     rows = materialised(rows.drop("k").join(degree, "doc_id"))
-    labels = resolved(rows, lambda open_rows: _with_rare_shingles(open_rows, docs, words, percent), docs, words, percent, _passes)
+    labels = resolved(rows, lambda open_rows: _by_rare_shingles(open_rows, docs, words, percent), docs, words, percent, _passes)
     return class_components(members, classes, labels)
 
 

@@ -40,8 +40,8 @@ WORDS, PERCENT = 5, 80
 COUNTERS = 1 << 19
 #: Rounds in which a group's members meet its hub before all of them meet.
 HUB_ROUNDS = 1
-#: 64-bit words of marks of a set.
-MARKS = 4
+#: 64-bit words of marks of a set: the more, the fewer of the shingles in which two sets differ flip one bit and are not seen.
+MARKS = 16
 MARK_COLUMNS = [f"m{i}" for i in range(MARKS)]
 _MEMO: dict[bytes, int] = {}
 remembers(__name__, _MEMO.clear)
@@ -207,12 +207,13 @@ def passes(a: str, b: str, percent: int, marked: bool):
     return passes & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
 
 
-def resolved(rows: DataFrame, narrowed: Callable[[DataFrame], DataFrame], docs: DataFrame, words: int, percent: int, passed: Callable[[str, str, int, bool], Column]) -> DataFrame:
+def resolved(rows: DataFrame, narrowed: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]], docs: DataFrame, words: int, percent: int, passed: Callable[[str, str, int, bool], Column]) -> DataFrame:
     """``doc_id, comp`` of all documents that links join. ``rows`` is written and has ``token, doc_id, n``: documents with one token may be linked.
 
     A token's hub is its least document or, where ``rows`` has a ``degree``, one that meets the most others. ``passed`` says of two rows,
-    ``a`` and ``b``, whether they still may be linked. For the last round ``narrowed`` says what ``passed`` is then asked of: the rows of
-    tokens whose documents are not in one component, with further columns or finer tokens that linked documents share as well."""
+    ``a`` and ``b``, whether they still may be linked. For the last round ``narrowed`` says what ``passed`` is then asked of, given the rows of
+    tokens whose documents are not in one component: these with further columns, or rows of other tokens that linked documents share as
+    well; and which of the distinct pairs (``a, b``) that meet there are to be verified."""
     labels = links = checked = None
     turn = 0
     while True:
@@ -228,11 +229,13 @@ def resolved(rows: DataFrame, narrowed: Callable[[DataFrame], DataFrame], docs:
             hubs = open_rows.where(F.col("doc_id") == F.col("hub")).drop("hub")
             met = open_rows.where(F.col("doc_id") != F.col("hub")).alias("m").join(hubs.alias("h"), "token")
         else:
-            open_rows = narrowed(open_rows.drop("hub"))
+            open_rows, agreed = narrowed(open_rows.drop("hub"))
             met = open_rows.alias("m").join(open_rows.alias("h"), "token").where(F.col("m.doc_id") < F.col("h.doc_id"))
         met = met.where((F.col("m.comp") != F.col("h.comp")) & passed("m", "h", percent, turn >= HUB_ROUNDS))
         low, high = F.least("m.doc_id", "h.doc_id"), F.greatest("m.doc_id", "h.doc_id")
         pairs = met.select(low.alias("a"), high.alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+        if turn >= HUB_ROUNDS:
+            pairs = agreed(pairs)
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialised(pairs)
@@ -292,7 +295,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     shared = rows.groupBy("token").agg(F.count("*").alias("k"), early.alias("early")).where((F.col("k") > 1) & F.col("early")).select("token")
     rows = materialised(rows.join(shared, "token"))
     marks = signed.select("doc_id", *MARK_COLUMNS)
-    return class_components(members, classes, resolved(rows, lambda open_rows: open_rows.join(marks, "doc_id"), docs, words, percent, passes))
+    return class_components(members, classes, resolved(rows, lambda open_rows: (open_rows.join(marks, "doc_id"), lambda pairs: pairs), docs, words, percent, passes))
 
 
 def link_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

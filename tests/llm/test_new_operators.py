@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import alignment, collocations, min_max, queries
+from folioscope.llm import alignment, collocations, min_max, ngram_join, queries
 
 from .test_operators import ODD, SMALL, brute_links
 
@@ -54,6 +54,44 @@ def test_signatures_are_unbiased_and_vary_less_than_least_hashes():
     assert (whole[:, 0] == parts[..., 0].min(0)).all() and (whole[:, 1] == parts[..., 1].max(0)).all()
 
 
+def test_last_round_meets_by_shingles_once(spark, monkeypatch):
+    """A pair that shares several bands meets once for each rare shingle, and marks tell long sets apart that are not similar."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(1200)]
+
+    def changed(n):
+        out = list(base)
+        for i in rnd.sample(range(len(out)), n):
+            out[i] = f"x{rnd.random()}"
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, changed(28)) for i in range(12)], "doc_id bigint, text string")
+    seen = []
+
+    def spied(rows, narrowed, *rest):
+        open_rows = rows.drop("degree").withColumn("comp", F.col("doc_id"))
+        found = narrowed(open_rows)
+        finer, agreed = found if isinstance(found, tuple) else (found, lambda pairs: pairs)
+        seen.append((open_rows, finer, agreed))
+        return ngram_join.resolved(rows, narrowed, *rest)
+
+    monkeypatch.setattr(min_max, "resolved", spied)
+    texts = {r["doc_id"]: set(ngram_join.shingles(r["text"], 3).tolist()) for r in docs.collect()}
+    got = {r["doc_id"]: r["component_id"] for r in min_max.near_copies(docs, words=3, percent=85).collect()}
+    assert got == {i: i for i in texts}
+    ((open_rows, finer, agreed),) = seen
+    assert open_rows.groupBy("doc_id").count().agg(F.max("count")).first()[0] > 1
+    assert finer.groupBy("doc_id", "pos").count().agg(F.max("count")).first()[0] == 1
+    met = finer.alias("m").join(finer.alias("h"), "token").where(F.col("m.doc_id") < F.col("h.doc_id"))
+    assert met.count() and not met.where(ngram_join.passes("m", "h", 85, True)).count()
+    bands = {}
+    for r in open_rows.collect():
+        bands.setdefault(r["doc_id"], set()).add(r["token"])
+    every = [(a, b) for a in bands for b in bands if a < b]
+    told = {(r["a"], r["b"]) for r in agreed(spark.createDataFrame(every, "a bigint, b bigint")).collect()}
+    assert told == {(a, b) for a, b in every if bands[a] & bands[b]}
+
+
 def test_bands_find_similar_sets():
     rng = np.random.default_rng(6)
     for size in (6, 20, 400):
