@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,35 @@ def keep_only(module: str) -> None:
             forget()
 
 
+class KnownLists:
+    """Lists of integers that strings stand for. They lie in Arrow arrays, which take a fraction of what a dict of as many strings does.
+
+    When they take more than ``most`` bytes, only those of the last batch are kept, or none if even these take more."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.strings, self.lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+    def of(self, strings: pa.Array, make: Callable[[list[str]], pa.Array]) -> pa.Array:
+        """The lists of ``strings``, which are distinct; ``make`` gives those of the ones that are not known."""
+        at = pc.index_in(strings, value_set=self.strings)
+        new = strings.filter(at.is_null())
+        if not len(new):
+            return self.lists.take(at)
+        places, unknown = at.fill_null(0).to_numpy().copy(), at.is_null().to_numpy(zero_copy_only=False)
+        places[unknown] = range(len(self.strings), len(self.strings) + len(new))
+        self.strings, self.lists = pa.concat_arrays([self.strings, new]), pa.concat_arrays([self.lists, make(new.to_pylist())])
+        found = self.lists.take(pa.array(places))
+        if self.strings.nbytes + self.lists.nbytes > self.most:
+            self.strings, self.lists = strings, found
+            if strings.nbytes + found.nbytes > self.most:
+                self.clear()
+        return found
+
+
 def set_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -19,15 +19,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, materialised, remembers
+from .common import KnownLists, id_and_text, map_batches, materialised, remembers
 from .linear import solve, times
 
 CAPACITY, STEP, END_ID = 2048, 8, 1
-#: Entries of a worker's memo of tokenised words and parts of words; it is emptied when full.
-MEMO = 1_000_000
+#: Bytes of a worker's memo of tokenised parts of words, some 200,000 of them.
+MEMO_BYTES = 8 << 20
 #: Parts of words that are tokenised in one call, and a mark between them: one digit is always one token.
 TOGETHER, MARK = 2000, "0"
 #: Punctuation that is split off a word's end.
@@ -35,11 +36,11 @@ CLOSING = ".,;:!?\"'()[]{}*&%$#@+-/=_~^"
 
 
 class WordTokens:
-    """Ids of texts as little-endian 32-bit integers.
+    """Ids of texts.
 
     The tokeniser's rules never join characters across ASCII white space, which they drop, nor letters with punctuation
-    after them; so each word between white space is tokenised once and remembered, and words that differ in nothing but
-    closing punctuation share what is remembered of their letters.
+    after them; so each word between white space is tokenised once in a batch, and words that differ in nothing but
+    closing punctuation share their letters, which are remembered from batch to batch.
     """
 
     def __init__(self, path: str):
@@ -47,52 +48,48 @@ class WordTokens:
 
         self.tok = Tokenizer.from_file(path)
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = KnownLists(MEMO_BYTES)
 
-    def _encode(self, parts: list[str]) -> None:
+    def _encode(self, parts: list[str]) -> pa.Array:
         """Letters go many to a call, between marks that no such part holds."""
-        letters = [p for p in parts if p.isalpha()]
-        others = [p for p in parts if not p.isalpha()]
+        letters = [i for i, p in enumerate(parts) if p.isalpha()]
+        others = [i for i, p in enumerate(parts) if not p.isalpha()]
+        made = []
         for at in range(0, len(letters), TOGETHER):
             some = letters[at : at + TOGETHER]
-            (coded,) = self.tok.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
+            (coded,) = self.tok.encode_batch_fast([f" {MARK} ".join(parts[i] for i in some)], add_special_tokens=False)
+            ids = np.array(coded.ids, np.int32)
             cuts = np.flatnonzero(ids == self.mark)
-            raw = ids.tobytes()
-            for p, a, b in zip(some, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self.memo[p.encode()] = raw[a:b]
-        for p, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.memo[p.encode()] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, split = self.memo, []
-        for w in words:
-            text = w.decode()
-            core = text.rstrip(CLOSING)
+            if len(cuts) != len(some) - 1:
+                raise ValueError("letters were taken for a mark")
+            ends = np.concatenate(([0], cuts - np.arange(len(cuts)), [len(ids) - len(cuts)]))
+            made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.delete(ids, cuts))))
+        coded = self.tok.encode_batch_fast([parts[i] for i in others], add_special_tokens=False)
+        made.append(pa.array([e.ids for e in coded], pa.list_(pa.int32())))
+        places = np.empty(len(parts), np.int64)
+        places[letters + others] = np.arange(len(parts))
+        return pa.concat_arrays(made).take(pa.array(places))
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        cores, ends = [], []
+        for word in coded.dictionary.to_pylist():
+            core = word.rstrip(CLOSING)
             if core.isalpha():
-                split.append((w, core.lower() if core.isascii() else core, text[len(core) :]))
+                cores.append(core.lower() if core.isascii() else core)
+                ends.append(word[len(core) :])
             else:
-                split.append((w, text, ""))
-        self._encode([p for p in {p for _, *both in split for p in both if p} if p.encode() not in memo])
-        for w, core, rest in split:
-            memo[w] = memo[core.encode()] + memo[rest.encode()] if rest else memo[core.encode()]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        get = self.memo.get
-        for text in texts:
-            words = text.encode().split()
-            found = list(map(get, words))
-            if None in found:
-                self._learn([w for w in set(words) if w not in self.memo])
-                found = list(map(get, words))
-                if None in found:  # the memo was emptied meanwhile
-                    self._learn([w for w in set(words) if w not in self.memo])
-                    found = list(map(get, words))
-            out.append(b"".join(found))
-        return out
+                cores.append(word)
+                ends.append("")
+        parts = pa.array(cores + ends, pa.string()).dictionary_encode()
+        del cores, ends
+        lists = self.memo.of(parts.dictionary, self._encode)
+        order = parts.indices.to_numpy().reshape(2, -1).T[coded.indices.to_numpy()]
+        ids = lists.take(pa.array(order.ravel())).flatten().to_numpy()
+        n = pc.list_value_length(lists).to_numpy()[order].sum(axis=1)
+        cuts = np.concatenate(([0], np.cumsum(n)))[words.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -103,23 +100,18 @@ def _tokeniser(path: str) -> WordTokens:
 remembers(__name__, _tokeniser.cache_clear)
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers."""
-    return _tokeniser(path).ids(texts)
-
-
 def cut_pieces(df: DataFrame, tokeniser_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens``."""
 
     def work(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-        coded = token_bytes(batch.column("text").to_pylist(), tokeniser_path)
+        coded = _tokeniser(tokeniser_path).ids(batch.column("text"))
         last = np.array([END_ID], "<u4").tobytes()
         for doc, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
-            ids += last
-            n = len(ids) // 4
+            raw = ids.astype("<u4").tobytes() + last
+            n = len(raw) // 4
             for start in range(0, n, capacity):
-                part = ids[4 * start : 4 * (start + capacity)]
+                part = raw[4 * start : 4 * (start + capacity)]
                 for c, v in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), n), strict=True):
                     out[c].append(v)
         return out

@@ -247,6 +247,31 @@ def check_packing(rows, texts):
     return sum(r["length"] for r in rows) / (2048 * len(used))
 
 
+def test_packing_remembers_few_bytes():
+    """Of 240,000 words a dict of bytes took over 40 MB in each worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    letters, lib = np.array([*"abcdefghijklmnopqrstuvwxyz"]), Tokenizer.from_file(WORDS)
+    rng = np.random.default_rng(5)
+    words = packing.WordTokens(WORDS)
+    pool = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for turn in range(6):
+            made = ["".join(w) for w in letters[rng.integers(0, 26, (40_000, 9))]]
+            texts = [*(t or "" for t in ODD), *(f" {' '.join(made[k : k + 400])},\tthe End?! " for k in range(0, len(made), 400))]
+            for text, ids in zip(texts, words.ids(pa.array(texts)), strict=True):
+                if turn in (0, 5):
+                    assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+        del made, texts, text, ids
+        assert tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - pool < 3 * packing.MEMO_BYTES
+    finally:
+        tracemalloc.stop()
+
+
 def test_packing_query(spark, texts, odd, nothing):
     assert check_packing(queries.op3_packing(spark, SMALL).collect(), texts) > 0.97
     check_packing(packing.pack(odd, WORDS).collect(), {i: t or "" for i, t in enumerate(ODD)})
