@@ -16,18 +16,20 @@ import math
 import re
 import struct
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, list_array, map_batches, remembers
+from .common import KnownLists, id_and_text, list_array, map_batches, remembers
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO = 400_000
+#: Bytes of a worker's memo of encoded words without their closing punctuation, some 500,000 of them.
+MEMO_BYTES = 24 << 20
 #: Characters up to which a word's pairs are looked through instead of queued.
 SHORT = 40
 #: Punctuation that is encoded apart from the word it closes, where no piece has both.
@@ -117,7 +119,7 @@ class PieceModel:
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if free else r"(?s).+")
         # Nor does one cross two characters that stand side by side in no piece.
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)} if free and self.byte_fallback else None
-        self.memo: dict[str, bytes] = {}
+        self.memo = KnownLists(MEMO_BYTES)
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
         self.is_byte = np.array([k == BYTE for _, _, k in self.pieces])
 
@@ -215,53 +217,66 @@ class PieceModel:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], none)
         return parts
 
-    def _word(self, word: str) -> bytes:
-        """The id of each of a word's pieces and its width in characters, in turns, as packed integers."""
+    def _split(self, word: str) -> tuple[str, str]:
+        """A word and the punctuation that closes it, where both have no other pieces beside each other than alone."""
         if self.beside is not None:
             core = word.rstrip(CLOSING)
             if 0 < len(core) < len(word) and word[len(core) - 1 : len(core) + 1] not in self.beside:
-                # Both have no other pieces beside each other than alone; the word without its end is often known.
-                return self._known(core) + self._known(word[len(core) :])
-        out = array("i")
+                return core, word[len(core) :]
+        return word, ""
+
+    def _pieces(self, words: list[str]) -> pa.Array:
+        """For each word the id of each of its pieces and its width in characters, in turns."""
+        out, ends = array("i"), array("i", [0])
         get = self.ids.get
-        for part in self._merge(word):
-            if (i := get(part)) is not None:
-                out.append(i)
-                out.append(len(part))
-            elif self.byte_fallback:
-                *raw, last = part.encode()
-                for b in raw:
-                    out.extend((self.byte_ids[b], 0))
-                out.extend((self.byte_ids[last], len(part)))
-            elif out and out[-2] == self.unk:
-                out[-1] += len(part)
-            else:
-                out.extend((self.unk, len(part)))
-        return out.tobytes()
-
-    def _known(self, word: str) -> bytes:
-        if (found := self.memo.get(word)) is None:
-            found = self.memo[word] = self._word(word)
-        return found
+        for word in words:
+            start = len(out)
+            for part in self._merge(word):
+                if (i := get(part)) is not None:
+                    out.append(i)
+                    out.append(len(part))
+                elif self.byte_fallback:
+                    *raw, last = part.encode()
+                    for b in raw:
+                        out.extend((self.byte_ids[b], 0))
+                    out.extend((self.byte_ids[last], len(part)))
+                elif len(out) > start and out[-2] == self.unk:
+                    out[-1] += len(part)
+                else:
+                    out.extend((self.unk, len(part)))
+            ends.append(len(out))
+        return pa.ListArray.from_arrays(pa.array(np.array(ends)), pa.array(np.array(out, np.int32)))
+
+    def encode_all(self, texts: list[str], spans: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        """``encode`` of each text. A word is looked up once, however often the texts hold it."""
+        if not texts:
+            return
+        norms = [self.normalise(t) for t in texts]
+        words = [pa.array(self.words.findall(norm), pa.string()) for norm, _ in norms]
+        at = np.cumsum([0, *map(len, words)])
+        coded = pa.concat_arrays(words).dictionary_encode()
+        halves = list(zip(*map(self._split, coded.dictionary.to_pylist()), strict=True)) or [(), ()]
+        parts = pa.array([*halves[0], *halves[1]], pa.string()).dictionary_encode()
+        del words, halves
+        lists = self.memo.of(parts.dictionary, self._pieces)
+        order = parts.indices.to_numpy().reshape(2, -1).T[coded.indices.to_numpy()]
+        found = lists.take(pa.array(order.ravel())).flatten().to_numpy().reshape(-1, 2)
+        n = pc.list_value_length(lists).to_numpy()[order].sum(axis=1) // 2
+        cuts = np.concatenate(([0], np.cumsum(n)))[at]
+        for (_, source), a, b in zip(norms, cuts, cuts[1:], strict=False):
+            ids = np.ascontiguousarray(found[a:b, 0])
+            if not spans:
+                yield ids, None, None
+                continue
+            ends = np.cumsum(found[a:b, 1], dtype=np.int64)
+            yield ids, source[np.concatenate(([0], ends[:-1]))] if len(ids) else ends, source[ends]
 
     def encode(self, text: str, spans: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Ids, and the first and last-plus-one byte of ``text`` that each piece covers.
 
         Of the byte pieces of one character the last covers it, the others are empty.
         """
-        norm, source = self.normalise(text)
-        words = self.words.findall(norm)
-        found = list(map(self.memo.get, words))
-        if None in found:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            found = list(map(self._known, words))
-        coded = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)
-        ids = np.ascontiguousarray(coded[:, 0])
-        if not spans:
-            return ids, None, None
-        ends = np.cumsum(coded[:, 1])
-        return ids, source[np.concatenate(([0], ends[:-1])).astype(np.int64)] if len(ids) else ends, source[ends]
+        return next(self.encode_all([text], spans))
 
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface
@@ -316,15 +331,19 @@ def encode_documents(
 
     def work(batch: pa.RecordBatch) -> dict:
         model = load(model_path)
-        coded = [model.encode(t, spans) for t in batch.column("text").to_pylist()]
-        out = {"doc_id": batch.column("doc_id")}
-        for k, (name, kind) in enumerate((("ids", pa.int32()), ("begins", pa.int64()), ("ends", pa.int64()))):
-            if name in columns:
-                out[name] = list_array([c[k] for c in coded], kind)
-        if "decoded" in columns:
-            out["decoded"] = [model.decode(c[0]) for c in coded]
-        if "spans_sha256" in columns:
-            out["spans_sha256"] = [hashlib.sha256(begins.astype("<i8").tobytes() + ends.astype("<i8").tobytes()).hexdigest() for _, begins, ends in coded]
+        made: dict[str, list] = {c: [] for c in columns}
+        for ids, begins, ends in model.encode_all(batch.column("text").to_pylist(), spans):
+            for c, v in (("ids", ids), ("begins", begins), ("ends", ends)):
+                if c in made:
+                    made[c].append(v)
+            if "decoded" in made:
+                made["decoded"].append(model.decode(ids))
+            if "spans_sha256" in made:
+                made["spans_sha256"].append(hashlib.sha256(begins.astype("<i8").tobytes() + ends.astype("<i8").tobytes()).hexdigest())
+        out = {"doc_id": batch.column("doc_id"), **made}
+        for name, kind in (("ids", pa.int32()), ("begins", pa.int64()), ("ends", pa.int64())):
+            if name in made:
+                out[name] = list_array(made[name], kind)
         return out
 
     return map_batches(id_and_text(df, id_col, text_col), schema, work)

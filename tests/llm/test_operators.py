@@ -93,6 +93,27 @@ def test_word_is_merged_once_whatever_closes_it(monkeypatch):
     assert merged.count("▁qwhatherei") == 1 and not any("qwhatherei" in w for w in merged if w != "▁qwhatherei")
 
 
+@pytest.mark.parametrize("most", [0, 3000, 1 << 24])
+def test_word_is_merged_once_a_batch_however_little_is_remembered(monkeypatch, most):
+    import sentencepiece
+
+    model, lib = piece_codec.PieceModel(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    model.memo.most = most
+    merged = []
+    merge = model._merge
+    monkeypatch.setattr(model, "_merge", lambda word: merged.append(word) or merge(word))
+    for turn in range(3):
+        batch = [t or "" for t in ODD] + [f"{t or ''} qwhatherei{'.' * (k % 3)} w{turn}x{k}" for k, t in enumerate(ODD * 20)]
+        before = len(merged)
+        for text, (ids, begins, ends) in zip(batch, model.encode_all(batch), strict=True):
+            assert ids.tolist() == lib.encode(text)
+            assert b"".join(text.encode()[a:b] for a, b in zip(begins, ends, strict=True)) == text.encode()
+        assert len(set(merged[before:])) == len(merged) - before
+        assert ("▁qwhatherei" in merged[before:]) == (turn == 0 or most < 1 << 24)
+        assert model.memo.strings.nbytes + model.memo.lists.nbytes <= most or not len(model.memo.strings)
+    assert list(model.encode_all([])) == []
+
+
 def test_piece_query_projects_every_piece(spark, texts):
     import sentencepiece
 
