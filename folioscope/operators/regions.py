@@ -60,11 +60,17 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return met.where(meets).drop("__x", "__y")
 
 
+def on_pages(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """The lines of some ``pages`` (``doc_id, page``). A document is told its pages, so that lines in buckets by document are not shuffled."""
+    own = pages.groupBy("doc_id").agg(F.collect_set("page").alias("__pages"))
+    return lines.join(own.hint("shuffle_hash"), "doc_id").where(F.array_contains("__pages", F.col("page"))).drop("__pages")
+
+
 def page_lines(lines: DataFrame, with_any: str) -> DataFrame:
     """``ls``, the lines of each page in reading order, of pages with any line of the kind."""
-    lines = lines.withColumn("__any", F.bool_or(with_any).over(Window.partitionBy(*PAGE))).where("__any")
+    lines = on_pages(lines, lines.where(with_any))
     names = ["place", *BOX, "size", "col", "span0", "span1", "body_like", "section_name", "equation", "prose"]
-    more = [F.col("text").rlike(T.CAPTION).alias("captioned"), F.length("text").alias("length"), F.regexp_extract("text", r"\((\d+[a-z]?)\)\s*$", 1).alias("number"), F.size("words").alias("n_words")]
+    more = [F.col("text").rlike(T.CAPTION).alias("captioned"), F.length("text").alias("length"), F.regexp_extract("text", r"\((\d+[a-z]?)\)\s*$", 1).alias("number")]
     return lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*names, *more))).alias("ls"), F.first("body").alias("body"), F.first("w").alias("w"), F.first("h").alias("h"))
 
 
@@ -244,7 +250,7 @@ def regions(lines: DataFrame, graphics: DataFrame | None = None, tables: DataFra
     boxed = held.join(consumed, [*PAGE, "place"], "left").select(*PAGE, "place", "kind", "box", "rows", F.lit(None).cast("string").alias("number"), F.coalesce("consumed", empty).alias("consumed"))
 
     whole = claims.select("doc_id", F.col("q").alias("page"), "place", F.concat(F.lit("page:"), F.col("page")).alias("kind"))
-    every = places.groupBy(*PAGE).agg(F.sort_array(F.collect_set("place")).alias("consumed"))
+    every = on_pages(places, whole).groupBy(*PAGE).agg(F.sort_array(F.collect_set("place")).alias("consumed"))
     sheet = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), F.col("w").alias("x1"), F.col("h").alias("bottom"))
     whole = whole.join(pages.select(*PAGE, "w", "h"), PAGE).join(every, PAGE, "left").select(*PAGE, "place", "kind", sheet.alias("box"), F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(None).cast("string").alias("number"), F.coalesce("consumed", empty).alias("consumed"))
 

@@ -10,7 +10,7 @@ from ..operators import edits as E
 from ..operators import layout as L
 from ..operators import pixels as P
 from ..operators import regions as R
-from ..operators.tables import dealt
+from ..operators.tables import dealt, tasks_for, written
 from . import standins as S
 from .registry import query
 
@@ -224,9 +224,13 @@ def s7(spark, d):
 @query("l1_words_to_paragraphs")
 def l1(spark, d):
     """Documents set in lines of twelve words on a page, and read back from their words' places."""
-    words = S.table(spark, d, "documents").where(F.length(F.trim("text")) > 0).select("doc_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("n", "text"))
+    texts = S.table(spark, d, "documents").where(F.length(F.trim("text")) > 0)
+    cut = F.split(F.trim("text"), r"\s+")
+    last = ((F.size(cut) - 1) / 600).cast("int")
+    pages = written(texts.select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("page"), F.lit(612.0).alias("w"), F.lit(792.0).alias("h")))
+    tasks = tasks_for(pages, L.PAGES_A_TASK)
+    words = texts.select("doc_id", "text").repartition(tasks, "doc_id").select("doc_id", F.posexplode(cut).alias("n", "text"))
     line = F.floor(F.col("n") / 12)
     at = (F.col("n") % 12) * 45.0 + 40
     placed = words.select("doc_id", F.floor(line / 50).cast("int").alias("page"), F.col("n").alias("word_no"), "text", at.alias("x0"), (at + 40).alias("x1"), ((line % 50) * 14.0 + 60).alias("top"), ((line % 50) * 14.0 + 70).alias("bottom"), F.lit(10.0).alias("size"), F.lit("Times").alias("fontname"), F.lit(False).alias("cid"))
-    pages = placed.groupBy("doc_id", "page").agg(F.lit(612.0).alias("w"), F.lit(792.0).alias("h"))
-    return L.blocks_of(placed, pages).select("doc_id", "para_no", "kind", "html")
+    return L.blocks_of(placed, pages, tasks=tasks).select("doc_id", "para_no", "kind", "html")
